@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.functions.keys import file_key, page_key, tag_key
-from pagelattice.llm import encode, leakage, setjoin, survivors
+from pagelattice.llm import encode, leakage, neighbours, setjoin, survivors
 from pagelattice.plans.references import sql_file_key, sql_page_key, sql_tag_key
 from pagelattice.session import table
 
@@ -43,6 +43,10 @@ def p6_classes(spark, d):
     return members.join(ends, ["field", "cls"], "left").select(F.col("field").alias("set_field"), F.col("key").alias("id"), F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
 
 
+def p4_found(spark, d):
+    return neighbours.nearest(table(spark, d, "chunk_vectors")).select(F.col("id").alias("vec_id"), F.col("near").alias("near_id"))
+
+
 def p7_ids(spark, d):
     return encode.encode_corpus(table(spark, d, "documents"))
 
@@ -113,7 +117,7 @@ def _grams(key: str, t: str) -> str:
 
 def queries():
     return {
-        "p1_found": p1_found, "p1_canonical_pages": p1_canonical_pages, "p6_found": p6_found, "p6_classes": p6_classes,
+        "p1_found": p1_found, "p1_canonical_pages": p1_canonical_pages, "p4_found": p4_found, "p6_found": p6_found, "p6_classes": p6_classes,
         "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_found": p8_found, "p8_items": p8_items, "p8_clean": p8_clean,
     }
 
@@ -121,6 +125,12 @@ def queries():
 def oracle_sql():
     return {
         "p1_found": _SQL_P1 + "SELECT request_id, field_name, slug FROM w WHERE r = 1",
+        "p4_found": """
+            WITH v AS (SELECT vec_id, any_value(CAST(embedding AS DOUBLE[])) e FROM chunk_vectors
+              WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
+            s AS (SELECT a.vec_id, b.vec_id near_id, list_cosine_similarity(a.e, b.e) c FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+            SELECT vec_id, near_id FROM s WHERE c >= 0.85 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, near_id) <= 5""",
         "p6_found": _SQL_SETS + """SELECT a.set_field, a.id id_a, b.id id_b FROM e a JOIN e b ON a.set_field = b.set_field AND a.k = b.k AND a.id < b.id
             GROUP BY a.set_field, a.id, b.id, a.n, b.n HAVING 5 * count(*) >= 3 * (a.n + b.n - count(*))""",
         "p7_roundtrip": "SELECT layout, count(*) n_docs, count(*) n_same FROM documents GROUP BY 1",
