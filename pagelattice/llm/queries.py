@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelattice.functions.keys import file_key, page_key, tag_key
-from pagelattice.llm import encode, leakage, neighbours, setjoin, survivors
+from pagelattice.llm import encode, leakage, neighbours, sentences, setjoin, splitting, survivors
 from pagelattice.plans.references import sql_file_key, sql_page_key, sql_tag_key
 from pagelattice.session import table
 
@@ -21,6 +21,30 @@ def p1_canonical_pages(spark, d):
     return survivors.canonical_pages(table(spark, d, "merge_members"))
 
 
+def _pieces(spark, d):
+    return splitting.split_sources(table(spark, d, "long_sources"))
+
+
+def p2_found(spark, d):
+    """The blocks of which the splitter made pieces that are parts of a block."""
+    return _pieces(spark, d).where("cut_inside").select("source_id", F.col("first_block").alias("block_no")).distinct()
+
+
+def p2_pieces(spark, d):
+    return _pieces(spark, d).select("source_id", "piece_no", "heading_path", "overlap_before", "main")
+
+
+def p9_found(spark, d):
+    return sentences.sentence_units(table(spark, d, "documents")).select("doc_id", "end_pos")
+
+
+def p9_units_per_language(spark, d):
+    docs = table(spark, d, "documents")
+    per = sentences.sentence_units(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    lang = F.lower(F.trim(F.coalesce("lang", F.lit("")))).alias("lang")
+    return docs.select("doc_id", lang).join(per, "doc_id", "left").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.coalesce("n", F.lit(0))).alias("n_units"))
+
+
 def _sets(spark, d):
     nodes, tags = table(spark, d, "retrieval_nodes"), table(spark, d, "entity_summaries")
     keyed = lambda c, key: F.transform(c, key)
@@ -117,8 +141,9 @@ def _grams(key: str, t: str) -> str:
 
 def queries():
     return {
-        "p1_found": p1_found, "p1_canonical_pages": p1_canonical_pages, "p4_found": p4_found, "p6_found": p6_found, "p6_classes": p6_classes,
+        "p1_found": p1_found, "p1_canonical_pages": p1_canonical_pages, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p6_found": p6_found, "p6_classes": p6_classes,
         "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_found": p8_found, "p8_items": p8_items, "p8_clean": p8_clean,
+        "p9_found": p9_found, "p9_units_per_language": p9_units_per_language,
     }
 
 
