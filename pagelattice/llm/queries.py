@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelattice.functions.keys import file_key, page_key, tag_key
-from pagelattice.llm import encode, leakage, neighbours, sentences, setjoin, splitting, survivors
+from pagelattice.functions.keys import file_key, is_blank, page_key, tag_key
+from pagelattice.llm import encode, leakage, nearcopies, neighbours, sentences, setjoin, splitting, survivors
 from pagelattice.plans.references import sql_file_key, sql_page_key, sql_tag_key
 from pagelattice.session import table
 
@@ -45,6 +45,28 @@ def p9_units_per_language(spark, d):
     return docs.select("doc_id", lang).join(per, "doc_id", "left").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.coalesce("n", F.lit(0))).alias("n_units"))
 
 
+ORIGINS = ["chunk_vectors", "entity_summaries"]
+
+
+def _texts(spark, d):
+    chunks = table(spark, d, "chunk_vectors").select(F.lit(0).alias("origin"), F.col("vec_id").alias("id"), F.col("chunk_text").alias("text"))
+    s = table(spark, d, "entity_summaries").where(~is_blank(F.col("description")))
+    return chunks.unionByName(s.select(F.lit(1).alias("origin"), F.col("summary_id").alias("id"), F.concat(F.coalesce("title", F.lit("")), F.lit(" "), "description").alias("text")))
+
+
+def _origin(c="origin"):
+    return F.element_at(F.array(*map(F.lit, ORIGINS)), F.col(c) + 1).alias("origin")
+
+
+def p5_found(spark, d):
+    return nearcopies.expand(*nearcopies.near_copies(_texts(spark, d))).select(_origin(), "id_a", "id_b")
+
+
+def p5_groups(spark, d):
+    """Each record with the group of near-copies that it belongs to."""
+    return nearcopies.groups(*nearcopies.near_copies(_texts(spark, d))).select(_origin(), "id", "group_id")
+
+
 def _sets(spark, d):
     nodes, tags = table(spark, d, "retrieval_nodes"), table(spark, d, "entity_summaries")
     keyed = lambda c, key: F.transform(c, key)
@@ -139,9 +161,19 @@ def _grams(key: str, t: str) -> str:
 
 
 
+_SQL_RUNS = r"""
+WITH t AS (SELECT 'chunk_vectors' origin, vec_id id, chunk_text x FROM chunk_vectors
+  UNION ALL SELECT 'entity_summaries', summary_id, coalesce(title, '') || ' ' || description FROM entity_summaries WHERE regexp_matches(description, '[^\p{Z}\s]')),
+c AS (SELECT DISTINCT origin, id, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) x FROM t WHERE x IS NOT NULL),
+s AS (SELECT DISTINCT origin, id, substr(x, i, 5) g FROM (SELECT origin, id, x, unnest(range(1, length(x) - 3)) i FROM c WHERE length(x) >= 5)),
+n AS (SELECT origin, id, count(*) n FROM s GROUP BY ALL),
+e AS (SELECT s.*, n.n FROM s JOIN n USING (origin, id))
+"""
+
+
 def queries():
     return {
-        "p1_found": p1_found, "p1_canonical_pages": p1_canonical_pages, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p6_found": p6_found, "p6_classes": p6_classes,
+        "p1_found": p1_found, "p1_canonical_pages": p1_canonical_pages, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_classes": p6_classes,
         "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_found": p8_found, "p8_items": p8_items, "p8_clean": p8_clean,
         "p9_found": p9_found, "p9_units_per_language": p9_units_per_language,
     }
@@ -156,6 +188,8 @@ def oracle_sql():
                 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
             s AS (SELECT a.vec_id, b.vec_id near_id, list_cosine_similarity(a.e, b.e) c FROM v a JOIN v b ON a.vec_id <> b.vec_id)
             SELECT vec_id, near_id FROM s WHERE c >= 0.85 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, near_id) <= 5""",
+        "p5_found": _SQL_RUNS + """SELECT a.origin, a.id id_a, b.id id_b FROM e a JOIN e b ON a.origin = b.origin AND a.g = b.g AND a.id < b.id
+            GROUP BY a.origin, a.id, b.id, a.n, b.n HAVING 5 * count(*) >= 3 * (a.n + b.n - count(*))""",
         "p6_found": _SQL_SETS + """SELECT a.set_field, a.id id_a, b.id id_b FROM e a JOIN e b ON a.set_field = b.set_field AND a.k = b.k AND a.id < b.id
             GROUP BY a.set_field, a.id, b.id, a.n, b.n HAVING 5 * count(*) >= 3 * (a.n + b.n - count(*))""",
         "p7_roundtrip": "SELECT layout, count(*) n_docs, count(*) n_same FROM documents GROUP BY 1",

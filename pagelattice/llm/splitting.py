@@ -180,6 +180,10 @@ def split(text: str, size: int) -> list[Piece]:
             options = [k for k in range(i, j + 1) if bs[k].end >= least] or [j]
             rank = lambda k: (bs[k + 1].heading > 0 and not bs[k].heading, not bs[k].heading, round(deep[k], 6), k)
             j = max(options, key=rank)
+        back = j
+        while back > i and bs[back].heading:
+            back -= 1
+        j = j if bs[back].heading or j + 1 == len(bs) else back
         out.append(Piece(bs[i].start, bs[j].end, paths[i], bs[i].number, bs[j].number, False))
         i = j + 1
     return out
