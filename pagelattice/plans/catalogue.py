@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelattice.plans import references
+from pagelattice.plans import pages, references
 
-_MODULES = (references,)
+_MODULES = (references, pages)
 
 
 def modules():
