@@ -15,6 +15,11 @@ _MARK = re.compile(r"\s{0,3}(`{3,}|~{3,})")
 FILE_SCHEMA = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("path", "content", "problem")]))
 
 
+def _trim(c: Column) -> Column:
+    """``F.trim`` of one argument: with two, ``F.transform`` would hand it the position as the characters to trim."""
+    return F.trim(c)
+
+
 def safe_generated_path(path: str) -> bool:
     """Under wiki/, relative, without climbing, control characters or names that some file system refuses."""
     p = path.replace("\\", "/")
@@ -88,7 +93,7 @@ def _line(body: Column, name: str) -> Column:
 
 
 def _list(line: Column, cut: str) -> Column:
-    return F.filter(F.transform(F.split(line, cut), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(line, cut), _trim), lambda x: x != "")
 
 
 def parse_review_blocks(c: Column) -> Column:
@@ -125,7 +130,7 @@ def parse_lint_blocks(c: Column) -> Column:
 def topic_and_queries(c: Column, fallback: Column, n: int = 3) -> Column:
     """Struct ``topic, queries`` of a research proposal; the fallback is both where the answer has neither."""
     topic = F.trim(F.regexp_extract(c, r"(?m)^\s*TOPIC:[ \t]*([^\r\n]+)", 1))
-    qs = F.slice(F.transform(F.regexp_extract_all(c, F.lit(r"(?m)^\s*QUERY:[ \t]*([^\r\n]+)"), 1), F.trim), 1, n)
+    qs = F.slice(F.transform(F.regexp_extract_all(c, F.lit(r"(?m)^\s*QUERY:[ \t]*([^\r\n]+)"), 1), _trim), 1, n)
     return F.struct(F.when(topic != "", topic).otherwise(fallback).alias("topic"), F.when(F.size(qs) > 0, qs).otherwise(F.array(fallback)).alias("queries"))
 
 

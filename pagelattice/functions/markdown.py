@@ -16,6 +16,11 @@ LOOSE = rf"(?s)\A\x{{FEFF}}?(?:[^\n]*\n){{0,5}}?---[ \t]*{_NL}(.*?){_NL}?---[ \t
 LINK = r"\[\[([^\]|]+)(?:\|([^\]]+))?\]\]"
 
 
+def _trim(c: Column) -> Column:
+    """``F.trim`` of one argument: with two, ``F.transform`` would hand it the position as the characters to trim."""
+    return F.trim(c)
+
+
 def _some(c: Column) -> Column:
     return F.when(c != "", c)
 
@@ -132,7 +137,7 @@ def type_of_path(path: Column) -> Column:
 
 def wikilinks(c: Column) -> Column:
     """Trimmed targets of all wikilinks in order, repeated ones kept."""
-    return F.transform(F.regexp_extract_all(c, F.lit(LINK), 1), F.trim)
+    return F.transform(F.regexp_extract_all(c, F.lit(LINK), 1), _trim)
 
 
 def wikilink_labels(c: Column) -> Column:
@@ -205,7 +210,7 @@ def local_image_refs(c: Column) -> Column:
     embedded = F.regexp_extract_all(c, F.lit(r"!\[\[([^\]|#]+)[^\]]*\]\]"), 1)
     linked = F.regexp_extract_all(c, F.lit(r"!\[[^\]]*\]\(<?([^)>]+?)>?(?:\s+\"[^\"]*\")?\)"), 1)
     local = lambda u: ~u.rlike(r"(?i)^(?:[a-z][a-z0-9+.-]*:|//)") & F.lower(F.regexp_extract(u, r"\.([A-Za-z0-9]+)$", 1)).isin(IMAGE_EXT)
-    return F.array_distinct(F.filter(F.transform(F.concat(embedded, linked), F.trim), local))
+    return F.array_distinct(F.filter(F.transform(F.concat(embedded, linked), _trim), local))
 
 
 def image_context(c: Column, url: Column, width: int = 150) -> Column:

@@ -19,6 +19,11 @@ _CUT = rf"[\s!-/:-@\[-`{{-~{SEPARATORS}]+"
 _CJK = r"[\x{3400}-\x{9FFF}]"
 
 
+def _trim(c: Column) -> Column:
+    """``F.trim`` of one argument: with two, ``F.transform`` would hand it the position as the characters to trim."""
+    return F.trim(c)
+
+
 def tokenize(query: str) -> list[str]:
     """Sorted distinct tokens of a query: no stop words or single characters; long CJK tokens also as bigrams and characters."""
     out: set[str] = set()
@@ -182,7 +187,7 @@ def entity_summary(c: Column, size: int = 200) -> Column:
     """Description of the frontmatter, else the first line that is no heading, table or list mark, cut with an ellipsis."""
     from pagelattice.functions.markdown import body, frontmatter_block, scalar_field
 
-    line = F.element_at(F.filter(F.transform(F.split(body(c), r"\r?\n"), F.trim), lambda s: (s != "") & ~s.rlike(r"^(?:#|\||```|~~~|---)")), 1)
+    line = F.element_at(F.filter(F.transform(F.split(body(c), r"\r?\n"), _trim), lambda s: (s != "") & ~s.rlike(r"^(?:#|\||```|~~~|---)")), 1)
     text = F.coalesce(scalar_field(frontmatter_block(c), "description"), line)
     return F.when(frontmatter_block(c).isNotNull(), F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("…"))).otherwise(text))
 
