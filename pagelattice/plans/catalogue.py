@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelattice.plans import pages, references
+from pagelattice.plans import pages, references, search
 
-_MODULES = (references, pages)
+_MODULES = (references, pages, search)
 
 
 def modules():
@@ -14,4 +14,4 @@ def modules():
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return references.p3_report(spark, sf_dir)
+    return search.hybrid_search(spark, sf_dir)
