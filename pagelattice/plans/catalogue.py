@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelattice.plans import pages, references, search
+from pagelattice.plans import graph, pages, references, search
 
-_MODULES = (references, pages, search)
+_MODULES = (references, pages, search, graph)
 
 
 def modules():
