@@ -215,7 +215,7 @@ def local_image_refs(c: Column) -> Column:
 
 def image_context(c: Column, url: Column, width: int = 150) -> Column:
     """Struct ``before, after``: the text around the first image of that url."""
-    at = F.locate(F.lit("!["), c)
+    at = F.instr(c, "![")
     opening = F.concat(F.lit("]("), url, F.lit(")"))
     end = F.instr(c, opening)
     before = F.substring_index(F.substring(c, F.lit(1), F.greatest(end - 1, F.lit(0))), "![", -1)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelattice.plans import graph, pages, references, search
+from pagelattice.plans import graph, pages, references, search, upkeep
 
-_MODULES = (references, pages, search, graph)
+_MODULES = (references, pages, search, graph, upkeep)
 
 
 def modules():
