@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagelattice.functions.bind import let
 from pagelattice.functions.keys import page_key
 
 _NL = r"(?:\r\n|\n)"
@@ -72,8 +73,8 @@ def fields_map(block: Column) -> Column:
     names = F.regexp_extract_all(block, F.lit(r"(?m)^([A-Za-z_][\w-]*):[ \t]*([^\r\n]*)"), 1)
     values = F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^([A-Za-z_][\w-]*):[ \t]*([^\r\n]*)"), 2), unquoted)
     pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(names, i + F.lit(2), F.greatest(F.size(names) - i - 1, F.lit(0))), p["k"]))
-    return F.map_from_entries(last)
+    last = lambda ks: lambda p, i: ~F.array_contains(F.slice(ks, i + F.lit(2), F.greatest(F.size(ks) - i - 1, F.lit(0))), p["k"])
+    return F.map_from_entries(let(pairs, lambda b: let(F.transform(b, lambda x: x["k"]), lambda ks: F.filter(b, last(ks)))))
 
 
 def write_array(c: Column, field: str, values: Column) -> Column:
@@ -199,7 +200,8 @@ def image_refs(c: Column) -> Column:
     p = r"!\[([^\]]*)\]\(([^)\s]+)\)"
     alt, url = F.regexp_extract_all(c, F.lit(p), 1), F.regexp_extract_all(c, F.lit(p), 2)
     both = F.arrays_zip(url.alias("url"), alt.alias("alt"))
-    return F.filter(both, lambda x, i: F.array_position(url, x["url"]) == i + 1)
+    first = lambda urls: lambda x, i: F.array_position(urls, x["url"]) == i + 1
+    return let(both, lambda b: let(F.transform(b, lambda x: x["url"]), lambda urls: F.filter(b, first(urls))))
 
 
 IMAGE_EXT = "png jpg jpeg gif webp svg bmp tif tiff avif heic".split()
@@ -239,8 +241,8 @@ def list_union(old: Column, new: Column) -> Column:
     """Both lists in order, each value once whatever its case, in the first spelling."""
     both = F.concat(F.coalesce(old, F.array().cast("array<string>")), F.coalesce(new, F.array().cast("array<string>")))
     both = F.filter(both, lambda v: v.isNotNull() & (F.trim(v) != ""))
-    lowered = F.transform(both, F.lower)
-    return F.filter(both, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
+    first = lambda low: lambda v, i: F.array_position(low, F.lower(v)) == i + 1
+    return let(both, lambda b: let(F.transform(b, F.lower), lambda low: F.filter(b, first(low))))
 
 
 def canonical_page(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelattice.functions import markdown as M
+from pagelattice.functions.bind import let
 from pagelattice.functions.keys import page_key
 from pagelattice.functions.text import normalise_review_title
 
@@ -33,16 +34,19 @@ def merge_pages(old: Column, new: Column, merged_body: Column | None = None) ->
     page = F.concat(head, F.when(F.trim(body_old) == F.trim(body_new), body_old).otherwise(body))
     for f in LISTS:
         union = M.list_union(M.array_field(b_old, f), M.array_field(b_new, f))
-        page = _let(page, lambda p, f=f, u=union: F.when(F.size(u) > 0, M.write_array(p, f, u)).otherwise(p))
+        page = let(page, _written(f, union))
     for f in LOCKED:
         v = M.scalar_field(b_old, f)
-        page = _let(page, lambda p, f=f, v=v: F.when(v.isNotNull(), M.set_scalar(p, f, v)).otherwise(p))
+        page = let(page, _locked(f, v))
     return F.when(old.isNull(), new).when(new.isNull() | (old == new), old).when(b_old.isNull() | b_new.isNull(), new).otherwise(page)
 
 
-def _let(c: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of ``c`` with ``c`` evaluated once: as a plain column it would be repeated wherever ``f`` names it."""
-    return F.element_at(F.transform(F.array(c), f), 1)
+def _written(field: str, union: Column) -> Callable[[Column], Column]:
+    return lambda p: F.when(F.size(union) > 0, M.write_array(p, field, union)).otherwise(p)
+
+
+def _locked(field: str, v: Column) -> Callable[[Column], Column]:
+    return lambda p: F.when(v.isNotNull(), M.set_scalar(p, field, v)).otherwise(p)
 
 
 def valid_groups(groups: DataFrame, pages: DataFrame, apart: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagelattice.functions import markdown as M
+from pagelattice.functions.bind import let
 from pagelattice.functions.keys import file_key
 from pagelattice.operators import changes as C
 from pagelattice.operators import chunks as H
@@ -94,9 +95,9 @@ def merged_pages(spark, d):
     """The first and the second member of each merge request written over each other: the tags and title that result."""
     m = table(spark, d, "merge_members").where("content IS NOT NULL").groupBy("request_id", "member_no").agg(F.max("content").alias("content"))
     a, b = m.where("member_no = 1").select("request_id", F.col("content").alias("old")), m.where("member_no = 2").select("request_id", F.col("content").alias("new"))
-    page = U.merge_pages(F.col("old"), F.col("new"))
-    fm = M.frontmatter_block(F.col("page"), strict=True)
-    return a.join(b, "request_id").select("request_id", page.alias("page")).select("request_id", M.scalar_field(fm, "title").alias("title"), M.scalar_field(fm, "type").alias("type"), F.array_join(M.array_field(fm, "tags"), "|").alias("tags"))
+    fields = lambda b: F.struct(M.scalar_field(b, "title").alias("title"), M.scalar_field(b, "type").alias("type"), F.array_join(M.array_field(b, "tags"), "|").alias("tags"))
+    read = let(U.merge_pages(F.col("old"), F.col("new")), lambda p: let(M.frontmatter_block(p, strict=True), fields))
+    return a.join(b, "request_id").select("request_id", read.alias("r")).select("request_id", "r.*")
 
 
 def deleted_sources(spark, d):
