@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TABLES, ROWS, FAR, RUN = 36, 4, 41, 5
+#: A node of CROWD texts is compared in blocks; crowded nodes are looked for among one in SHARE of the texts.
+CROWD, SHARE = 1 << 15, 64
 #: Pairs that are expanded at once; bounds a task's memory in nodes of any size.
 CHUNK = 1 << 20
 _OTHER = re.compile(r"[\W_]+")
@@ -166,6 +168,40 @@ def close_pairs(node: np.ndarray, rank1: np.ndarray, rank2: np.ndarray, far: int
                 todo.append((level + 1, x, y, got))
 
 
+def _spread(node: np.ndarray, cols: list[np.ndarray], hot: dict[int, int]) -> list[np.ndarray]:
+    """One row per text and node; in a crowded node one per pair of blocks that the text's block is part of, each pair a node of its own."""
+    flat, rest = node.ravel(), [np.repeat(c, TABLES) for c in cols]
+    if not hot:
+        return [flat, *rest]
+    at = np.isin(flat, np.array(list(hot), dtype=np.uint64))
+    blocks = np.array([hot[int(x)] for x in flat[at]], dtype=np.int64)
+    src = np.repeat(np.flatnonzero(at), blocks)
+    other = np.arange(len(src)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    mine = (_mix(rest[2][src].view(np.uint64)) % np.repeat(blocks, blocks).astype(np.uint64)).astype(np.int64)
+    pair = np.minimum(mine, other) * (1 << 20) + np.maximum(mine, other) + 1
+    split = _mix(flat[src] ^ _mix(pair.astype(np.uint64)))
+    return [np.concatenate([flat[~at], split]), *[np.concatenate([c[~at], c[src]]) for c in rest]]
+
+
+def _crowded(df: DataFrame) -> dict[int, int]:
+    """Nodes of about CROWD texts or more, and in how many blocks their texts are to be compared.
+
+    Estimated on the texts whose id's hash is divisible by SHARE. The estimate only decides how work is spread: any answer
+    gives the same pairs. At most TABLES * texts / CROWD nodes can reach the driver, and only where they exist.
+    """
+    seen = _classes(df.where(F.pmod(F.xxhash64("id"), F.lit(SHARE)) == 0)).groupBy("origin", "h1", "h2").agg(F.first("norm").alias("norm"))
+
+    def count(batches):
+        for b in batches:
+            for s in range(0, len(b), 2048):
+                part = b.slice(s, 2048)
+                at, n = np.unique(node_patterns(min_hashes(part.column(1).to_pylist()), part.column(0).to_numpy()), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(n, pa.int64())], names=["node", "n"])
+
+    nodes = seen.select("origin", "norm").mapInArrow(count, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
+    return {int(np.int64(r.node).view(np.uint64)): -(-r.n * SHARE * 2 // CROWD) for r in nodes.where(F.col("n") >= CROWD // SHARE).toLocalIterator()}
+
+
 def _classes(df: DataFrame) -> DataFrame:
     """``origin, id, h1, h2, norm``: usable rows with the hash of their normalised text."""
 
@@ -203,6 +239,8 @@ def near_copies(df: DataFrame, numerator: int = 3, denominator: int = 5) -> tupl
     texts = rows.groupBy("origin", "h1", "h2").agg(F.min("id").alias("cls"), F.first("norm").alias("norm"))
     cases = texts.select("origin", "cls", "norm")
 
+    hot = df.sparkSession.sparkContext.broadcast(_crowded(df))
+
     def index(batches):
         for b in batches:
             for s in range(0, len(b), 2048):
@@ -211,7 +249,7 @@ def near_copies(df: DataFrame, numerator: int = 3, denominator: int = 5) -> tupl
                 origin = part.column(0).to_numpy()
                 node, f = node_patterns(m, origin), fingerprints(m)
                 r1, r2 = gray_rank(f[:, 0]), gray_rank(f[:, 1])
-                cols = [node.ravel(), *[np.repeat(x, TABLES) for x in (r1, r2, part.column(1).to_numpy())]]
+                cols = _spread(node, [r1, r2, part.column(1).to_numpy()], hot.value)
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in cols], names=["node", "r1", "r2", "cls"])
 
     def compare(batches):

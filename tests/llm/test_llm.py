@@ -127,6 +127,17 @@ def test_near_copies_against_brute_force(spark):
     assert nearcopies.expand(*nearcopies.near_copies(empty)).count() == 0
 
 
+def test_crowded_nodes_give_the_same_pairs(spark, monkeypatch):
+    texts = [f"shared beginning of every text in this crowd, told again and again until it is long enough {i % 7} tail {i}" for i in range(150)]
+    df = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "origin int, id bigint, text string")
+    plain = {(r.a, r.b) for r in nearcopies.near_copies(df)[0].collect()}
+    monkeypatch.setattr(nearcopies, "CROWD", 20)
+    monkeypatch.setattr(nearcopies, "SHARE", 2)
+    hot = nearcopies._crowded(df)
+    assert hot and max(hot.values()) > 1
+    assert {(r.a, r.b) for r in nearcopies.near_copies(df)[0].collect()} == plain and len(plain) > 1000
+
+
 def test_gray_index_is_exact():
     rng = np.random.default_rng(0)
     node = np.sort(rng.integers(0, 3, 400)).astype(np.int64)
