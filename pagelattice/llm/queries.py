@@ -192,6 +192,18 @@ def oracle_sql():
             GROUP BY a.origin, a.id, b.id, a.n, b.n HAVING 5 * count(*) >= 3 * (a.n + b.n - count(*))""",
         "p6_found": _SQL_SETS + """SELECT a.set_field, a.id id_a, b.id id_b FROM e a JOIN e b ON a.set_field = b.set_field AND a.k = b.k AND a.id < b.id
             GROUP BY a.set_field, a.id, b.id, a.n, b.n HAVING 5 * count(*) >= 3 * (a.n + b.n - count(*))""",
+        "p1_canonical_pages": _SQL_P1 + f""", f AS (SELECT request_id, {", ".join(f"max(v) FILTER (WHERE field_name = '{x}') {x}" for x in survivors.FIELDS)}, max(slug) FILTER (WHERE field_name = 'title') ts FROM w WHERE r = 1 GROUP BY 1),
+            m AS (SELECT request_id, min(slug) lowest FROM merge_members GROUP BY 1),
+            nm AS (SELECT request_id, min(trim(canonical_slug)) named FROM merge_members a WHERE trim(canonical_slug) IN (SELECT slug FROM merge_members b WHERE b.request_id = a.request_id) GROUP BY 1),
+            t AS (SELECT request_id, string_agg(k, ',' ORDER BY k) tags FROM (SELECT DISTINCT request_id, {sql_tag_key('v')} k FROM (SELECT request_id, unnest(tags) v FROM merge_members) WHERE v IS NOT NULL) WHERE k <> '' GROUP BY 1)
+            SELECT m.request_id, coalesce(named, ts, lowest) canonical_slug, {", ".join(survivors.FIELDS)}, coalesce(t.tags, '') tags
+            FROM m LEFT JOIN nm USING (request_id) LEFT JOIN f USING (request_id) LEFT JOIN t USING (request_id)""",
+        "p6_classes": _SQL_SETS + """, c AS (SELECT set_field, id, string_agg(k, chr(1) ORDER BY k) sig FROM e GROUP BY 1, 2), cl AS (SELECT *, min(id) OVER (PARTITION BY set_field, sig) class_id FROM c),
+            p AS (SELECT a.set_field, a.id x, b.id y FROM e a JOIN e b ON a.set_field = b.set_field AND a.k = b.k AND a.id <> b.id GROUP BY a.set_field, a.id, b.id, a.n, b.n HAVING 5 * count(*) >= 3 * (a.n + b.n - count(*))),
+            l AS (SELECT u.set_field, u.class_id, count(DISTINCT v.class_id) n_links FROM p JOIN cl u ON u.set_field = p.set_field AND u.id = x JOIN cl v ON v.set_field = p.set_field AND v.id = y WHERE u.class_id <> v.class_id GROUP BY 1, 2)
+            SELECT cl.set_field, id, cl.class_id, coalesce(n_links, 0) n_links FROM cl LEFT JOIN l ON l.set_field = cl.set_field AND l.class_id = cl.class_id""",
+        "p8_clean": f"""WITH d AS ({_grams('doc_id', 'documents')}), q AS ({_grams('item_id', 'eval_items')})
+            SELECT layout, count(*) n_docs FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM d JOIN q USING (g)) GROUP BY 1""",
         "p7_roundtrip": "SELECT layout, count(*) n_docs, count(*) n_same FROM documents GROUP BY 1",
         "p8_found": f"WITH d AS ({_grams('doc_id', 'documents')}), q AS ({_grams('item_id', 'eval_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN q USING (g)",
     }
