@@ -58,6 +58,38 @@ def test_splitting(spark):
     assert splitting.split_sources(spark.createDataFrame([(1, "tail", 4, 0, "m")], schema)).first().main == "tail"
 
 
+def plain_blocks(text):
+    """Blocks as lists of lines, by a parser of its own."""
+    out, held, mark = [], [], None
+    for line in text.replace("\r\n", "\n").split("\n"):
+        bare = line.strip()
+        run = len(bare) - len(bare.lstrip(bare[:1])) if bare[:1] in ("`", "~") else 0
+        if mark:
+            held.append(line)
+            if run >= mark[1] and bare == mark[0] * run:
+                out.append(held)
+                held, mark = [], None
+        elif run >= 3:
+            if held:
+                out.append(held)
+            held, mark = [line], (bare[0], run)
+        elif bare:
+            held.append(line)
+        elif held:
+            out.append(held)
+            held = []
+    return out + ([held] if held else [])
+
+
+def test_long_blocks_of_the_tables(spark, small):
+    rows = spark.read.parquet(f"{small}/long_sources.parquet").dropDuplicates(["source_id"]).collect()
+    want = {(r.source_id, n) for r in rows if r.content for n, b in enumerate(plain_blocks(r.content), 1) if len("\n".join(b).strip()) > r.max_chars}
+    from pagelattice.llm import queries as Q
+
+    got = {(r.source_id, r.block_no) for r in Q.p2_found(spark, small).collect()}
+    assert got == want and want
+
+
 def unit(rng, base, cos):
     v = rng.normal(size=64)
     v -= v @ base * base
