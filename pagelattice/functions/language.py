@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagelattice.functions.bind import let
+
 #: Code point ranges of each script, under the language it stands for.
 SCRIPTS = {
     "Chinese": "4E00-9FFF 3400-4DBF 20000-2A6DF F900-FAFF", "Japanese": "3040-309F 30A0-30FF 31F0-31FF FF65-FF9F", "Korean": "AC00-D7AF 1100-11FF 3130-318F",
@@ -76,22 +80,32 @@ def _arabic_or_persian(c: Column) -> Column:
 
 def detect_language(c: Column) -> Column:
     """English name of the language; Japanese if kana and Han meet, else the most frequent script (ties: first in the table), else the first Latin rule that holds, else English. Null for null."""
-    low = F.lower(c)
-    latin = F.lit("English")
-    for name, marks, words, mode in reversed(LATIN):
-        tests = [low.rlike(f"[{marks}]")] if marks else []
-        if words:
-            tests.append(low.rlike(word_pattern(words)))
-        hit = tests[0] if len(tests) == 1 else (tests[0] & tests[1]) if mode == "both" else (tests[0] | tests[1])
-        latin = F.when(hit, name).otherwise(latin)
-    # the counts are bound once, as a lambda's variable: as plain columns they would be repeated for each script
-    counted = F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("turn"), F.lit(name).alias("name")) for i, (name, n) in enumerate(script_counts(c).items())])
-    by_script = F.transform(F.array(F.array_max(counted)), lambda t: F.when(t["n"] < 2, latin).when(t["name"] == "Arabic", _arabic_or_persian(c)).otherwise(t["name"]))
+    wide_only = F.regexp_replace(c, r"[\x00-\x{24F}]+", "")
+    # what is used more than once is bound as a lambda's variable: as plain columns it would be evaluated again for each use
+    latin = let(F.lower(c), lambda low: let(F.array_distinct(F.split(low, "[^A-Za-z0-9_]+")), lambda words: let(F.regexp_replace(low, r"[\x00-\x7F]+", ""), lambda accents: _latin(low, words, accents))))
+    by_script = let(wide_only, lambda s: let(_most(s), lambda t: F.when(t["n"] < 2, latin).when(t["name"] == "Arabic", _arabic_or_persian(c)).otherwise(t["name"])))
     kana = c.rlike(script_class("Japanese")) & c.rlike(script_class("Chinese"))
-    wide = F.when(kana, "Japanese").otherwise(F.element_at(by_script, 1))
+    wide = F.when(kana, "Japanese").otherwise(by_script)
     return F.when(c.isNull(), None).when(c.rlike(r"[^\x00-\x{24F}]"), wide).otherwise(latin)
 
 
+def _most(s: Column) -> Column:
+    return F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("turn"), F.lit(name).alias("name")) for i, (name, n) in enumerate(script_counts(s).items())]))
+
+
+def _latin(low: Column, words: Column, accents: Column) -> Column:
+    """The first rule that holds. A word of ASCII letters alone is looked up among the text's words; marks, and other words before they are looked for, among its few characters beyond ASCII."""
+    out = F.lit("English")
+    for name, marks, ws, mode in reversed(LATIN):
+        plain, other = [w for w in ws.split() if w.isascii()], [w for w in ws.split() if not w.isascii()]
+        tests = ([F.arrays_overlap(words, F.array(*map(F.lit, plain)))] if plain else []) + ([accents.rlike("[" + "".join(sorted({ch for w in other for ch in w if not ch.isascii()})) + "]") & low.rlike(word_pattern(" ".join(other)))] if other else [])
+        word = reduce(lambda x, y: x | y, tests) if tests else None
+        mark = accents.rlike(f"[{marks}]") if marks else None
+        hit = word if mark is None else mark if word is None else (mark & word) if mode == "both" else (mark | word)
+        out = F.when(hit, name).otherwise(out)
+    return out
+
+
 def prose(c: Column) -> Column:
     """The text without frontmatter, code and math, its first 1500 code points; what the language guard looks at."""
     from pagelattice.functions.markdown import body
