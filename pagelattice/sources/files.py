@@ -46,7 +46,7 @@ def watched(path: Column, size: Column | None = None) -> Column:
     """Whether a project-relative path is watched: no application folder, media, excluded folder, pattern or extension; sources by extension, of the rest the pages and two settings files."""
     p = T.slashes(path)
     low = F.lower(p)
-    own = low.rlike(r"^(?:\.llm-wiki|media)(?:/|$)|(?:^|/)media/|(?:^|/)(?:\.ds_store|thumbs\.db)$")
+    own = low.rlike(r"^(?:\.[^/]+|media)(?:/|$)|(?:^|/)media/|(?:^|/)(?:\.ds_store|thumbs\.db)$")
     folder = F.exists(F.slice(F.split(low, "/"), F.lit(1), F.greatest(F.size(F.split(low, "/")) - 1, F.lit(0))), lambda s: s.isin(FOLDERS))
     ext = T.extension(p)
     source = low.startswith("raw/sources/") & ext.isin(INCLUDE) & ~ext.isin(EXCLUDE)
