@@ -27,6 +27,8 @@ AFFINITY = [
     [1.0, 1.2, 1.0, 1.0, 0.8],
 ]
 STRUCTURAL = ["index", "overview", "log", "schema", "purpose"]
+#: Ids of one block of a key that many share; links of a page whose neighbours are ordered in one task.
+BLOCK, GATHERED = 2000, 10_000
 #: Pairs of types that are far apart.
 DISTANT = [("source", "concept"), ("source", "synthesis"), ("query", "entity")]
 
@@ -103,18 +105,90 @@ def relevance(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``a, b, ways, shared, aa, weight`` of every linked pair. nodes: ``id, type, sources``."""
     edges = shared_checkpoint(edges)
     pairs = shared_checkpoint(undirected(edges))
+    return _weighed(pairs, adamic_adar(pairs, degrees(edges)), nodes)
+
+
+def _weighed(pairs: DataFrame, aa: DataFrame, nodes: DataFrame) -> DataFrame:
     types = nodes.select("id", F.col("type"))
-    out = pairs.join(shared_sources(pairs, nodes), ["a", "b"], "left").join(adamic_adar(pairs, degrees(edges)), ["a", "b"], "left")
+    out = pairs.join(shared_sources(pairs, nodes), ["a", "b"], "left").join(aa, ["a", "b"], "left")
     out = out.join(types.select(F.col("id").alias("a"), F.col("type").alias("ta")), "a", "left").join(types.select(F.col("id").alias("b"), F.col("type").alias("tb")), "b", "left")
     shared, aa = F.coalesce("shared", F.lit(0)), F.coalesce("aa", F.lit(0.0))
     weight = F.col("ways") * DIRECT + shared * SOURCE + aa * NEIGHBOUR + affinity(F.coalesce("ta", F.lit("")), F.coalesce("tb", F.lit("")))
     return out.select("a", "b", "ways", shared.alias("shared"), aa.alias("aa"), weight.alias("weight"), F.col("ta").alias("type_a"), F.col("tb").alias("type_b"))
 
 
+def together(held: DataFrame) -> DataFrame:
+    """``a, b``: pairs a < b of ids that hold the same key, once each. held: ``id, k``, distinct. A key that many hold is cut into blocks."""
+    n = held.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    h = held.join(n, "k")
+    left = h.select("k", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+    right = h.select("k", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    return left.join(right, ["k", "block"]).where("a < b").select("a", "b").distinct()
+
+
+def relevance_of_all(edges: DataFrame, nodes: DataFrame, least: float = 0.0) -> DataFrame:
+    """As ``relevance``, of every pair of pages of at least ``least`` with a link, a source or a neighbour in common.
+
+    Pairs that have none of these are scored by their types alone and left to ``related_pages``. A pair without link and
+    source reaches ``least`` only by its neighbours. The most linked neighbours of a page that together can't lift any pair
+    to ``least`` need not be met over: a pair that reaches it has its least linked shared neighbour among the others of both.
+    """
+    edges = shared_checkpoint(edges)
+    pairs = shared_checkpoint(undirected(edges))
+    linked = pairs.select(F.col("a").alias("id"), F.col("b").alias("k")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("k")))
+    count = linked.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    part = 1 / F.log(F.greatest(F.col("degree").cast("double"), F.lit(2.0)))
+    hops = shared_checkpoint(linked.join(degrees(edges).select(F.col("id").alias("k"), "degree"), "k").join(count, "id").select("id", "k", "n", "degree", part.alias("part")))
+    needed = (least - max(map(max, AFFINITY))) / NEIGHBOUR - 1e-9
+    if needed > 0:
+        few = hops.where(F.col("n") <= GATHERED)  # of pages with more links, all neighbours are met over
+        few = few.withColumn("most", F.sum("part").over(Window.partitionBy("id").orderBy(F.desc("degree"), "k").rowsBetween(Window.unboundedPreceding, 0)))
+        met = few.where(F.col("most") >= needed).select("id", "k").unionByName(hops.where(F.col("n") > GATHERED).select("id", "k"))
+    else:
+        met = hops.select("id", "k")
+    cited = nodes.select("id", F.explode("sources").alias("k")).where("k IS NOT NULL AND k <> ''").distinct()
+    found = shared_checkpoint(together(met).unionByName(together(cited)).unionByName(pairs.select("a", "b")).distinct())
+    size = lambda x: count.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"))
+    first = F.col("na") <= F.col("nb")
+    e = found.join(size("a"), "a").join(size("b"), "b").select("a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"))
+    aa = e.join(hops.select(F.col("id").alias("u"), "k", "part"), "u").join(hops.select(F.col("id").alias("v"), "k"), ["v", "k"]).groupBy("a", "b").agg(F.sum("part").alias("aa"))
+    ways = found.join(pairs.select("a", "b", "ways"), ["a", "b"], "left").select("a", "b", F.coalesce("ways", F.lit(0)).alias("ways"))
+    return _weighed(ways, aa, nodes).where(F.col("weight") >= least)
+
+
+def related_pages(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, n: int = 5, least: float = 0.0, unlike: DataFrame | None = None) -> DataFrame:
+    """As ``related``, ranking every other page for each seed, linked or not. nodes: ``id, type, sources``; seeds: ``seed``.
+
+    Where ``least`` is so low that an affinity of types reaches it, pages that share nothing else with the seed are ranked too:
+    from the best of them by affinity and id, so many are looked at that ``n`` remain when the seed's own pairs are left out.
+    """
+    if least > max(map(max, AFFINITY)):
+        return related(relevance_of_all(edges, nodes, least), seeds, n, least, unlike)
+    ends = ends_of(shared_checkpoint(relevance_of_all(edges, nodes)))
+    known = nodes.select("id", F.when(F.col("type").isin(TYPES), F.col("type")).otherwise("").alias("type"))
+    own = seeds.select("seed").distinct().join(known.select(F.col("id").alias("seed"), F.col("type").alias("kind")), "seed")
+    own = shared_checkpoint(own.join(ends.groupBy("seed").agg(F.count(F.lit(1)).alias("k")), "seed", "left").select("seed", "kind", (F.coalesce("k", F.lit(0)) + n + 1).alias("most")))
+    deepest = own.agg(F.max("most")).first()[0] or 0
+    pool = known if unlike is None else known.join(unlike.select("id"), "id", "left_anti")
+    ranked = []
+    for kind in [*TYPES, ""]:
+        top = pool.select(F.lit(kind).alias("kind"), "id", affinity(F.lit(kind), F.col("type")).alias("weight")).orderBy(F.desc("weight"), "id").limit(deepest)
+        ranked.append(top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("weight"), "id"))))
+    rest = own.join(reduce(DataFrame.unionByName, ranked), "kind").where("place <= most AND id <> seed").join(ends, ["seed", "id"], "left_anti")
+    return _top(ends.join(own.select("seed"), "seed", "left_semi").unionByName(rest.select("seed", "id", "weight")), n, least, unlike)
+
+
+def ends_of(weighted: DataFrame) -> DataFrame:
+    return weighted.select(F.col("a").alias("seed"), F.col("b").alias("id"), "weight").unionByName(weighted.select(F.col("b").alias("seed"), F.col("a").alias("id"), "weight"))
+
+
 def related(weighted: DataFrame, seeds: DataFrame, n: int = 5, least: float = 0.0, unlike: DataFrame | None = None) -> DataFrame:
-    """``seed, id, relevance, turn``: for each seed its ``n`` most relevant linked pages of at least ``least``; pages in ``unlike`` (ids) are left out."""
-    ends = weighted.select(F.col("a").alias("seed"), F.col("b").alias("id"), "weight").unionByName(weighted.select(F.col("b").alias("seed"), F.col("a").alias("id"), "weight"))
-    c = ends.join(seeds.select("seed").distinct(), "seed", "left_semi").where(F.col("weight") >= least)
+    """``seed, id, relevance, turn``: for each seed its ``n`` most relevant pages among the pairs given, of at least ``least``; pages in ``unlike`` (ids) are left out."""
+    return _top(ends_of(weighted).join(seeds.select("seed").distinct(), "seed", "left_semi"), n, least, unlike)
+
+
+def _top(ends: DataFrame, n: int, least: float, unlike: DataFrame | None) -> DataFrame:
+    c = ends.where(F.col("weight") >= least)
     c = c if unlike is None else c.join(unlike.select("id"), "id", "left_anti")
     w = Window.partitionBy("seed").orderBy(F.desc("r"), "id")
     return c.withColumn("r", F.round("weight", 9)).withColumn("turn", F.row_number().over(w).cast("bigint")).where(F.col("turn") <= n).select("seed", "id", F.col("r").alias("relevance"), "turn")

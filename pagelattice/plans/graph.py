@@ -63,7 +63,7 @@ def pair_relevance(spark, d):
 def related_pages(spark, d):
     nodes = _nodes(spark, d)
     seeds = nodes.select(F.col("id").alias("seed"))
-    return G.related(G.relevance(_edges(nodes), nodes), seeds, 3, 2.0).select("seed", "id", F.round("relevance", 6).alias("relevance"), "turn")
+    return G.related_pages(_edges(nodes), nodes, seeds, 3, 2.0).select("seed", "id", F.round("relevance", 6).alias("relevance"), "turn")
 
 
 def communities(spark, d):
