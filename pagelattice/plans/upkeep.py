@@ -92,12 +92,19 @@ def rate_limit(spark, d):
 
 
 def merged_pages(spark, d):
-    """The first and the second member of each merge request written over each other: the tags and title that result."""
-    m = table(spark, d, "merge_members").where("content IS NOT NULL").groupBy("request_id", "member_no").agg(F.max("content").alias("content"))
-    a, b = m.where("member_no = 1").select("request_id", F.col("content").alias("old")), m.where("member_no = 2").select("request_id", F.col("content").alias("new"))
-    fields = lambda b: F.struct(M.scalar_field(b, "title").alias("title"), M.scalar_field(b, "type").alias("type"), F.array_join(M.array_field(b, "tags"), "|").alias("tags"))
-    read = let(U.merge_pages(F.col("old"), F.col("new")), lambda p: let(M.frontmatter_block(p, strict=True), fields))
-    return a.join(b, "request_id").select("request_id", read.alias("r")).select("request_id", "r.*")
+    """All members of each merge request that have content, written over each other in their order: the tags, sources, related pages and title that result."""
+    return read_merged(table(spark, d, "merge_members"))
+
+
+def read_merged(members):
+    """``request_id, title, type, tags, sources, related``. A request with one member with content is that member; one with none gives no row; a null number comes last."""
+    m = members.where("content IS NOT NULL AND request_id IS NOT NULL").groupBy("request_id", "member_no").agg(F.max("content").alias("content"))
+    turn = F.struct(F.col("member_no").isNull().alias("late"), "member_no", "content")
+    m = m.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["content"]).alias("pages"))
+    merged = F.aggregate(F.slice("pages", F.lit(2), F.size("pages")), F.element_at("pages", 1), lambda old, new: U.merge_pages(old, new))
+    listed = lambda b, f: F.array_join(M.array_field(b, f), "|").alias(f)
+    fields = lambda b: F.struct(M.scalar_field(b, "title").alias("title"), M.scalar_field(b, "type").alias("type"), *[listed(b, f) for f in U.LISTS])
+    return m.select("request_id", let(merged, lambda p: let(M.frontmatter_block(p, strict=True), fields)).alias("r")).select("request_id", "r.*")
 
 
 def deleted_sources(spark, d):

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelattice.operators import graph
+from pagelattice.plans import upkeep
 
 
 def scores(pages, edges):
@@ -46,3 +47,13 @@ def test_related_pages_ranks_every_page(spark, monkeypatch, least):
         best = sorted((-round(w, 9), j) for (k, j), w in s.items() if k == i and w >= least and j not in unlike)
         want |= {(i, n): (j, -w) for n, (w, j) in enumerate(best[:4], 1)}
     assert want == got and (least > 2 or any((i, j) not in edges and (j, i) not in edges for (i, _), (j, _) in want.items()))
+
+
+def test_merged_pages_reads_every_member(spark):
+    page = lambda title, tags, *lists: f"---\ntitle: {title}\ntags: [{tags}]\n" + "".join(f"{x}\n" for x in lists) + f"---\n\nBody of {title}\n"
+    rows = [
+        (1, 3, page("C", "z, x", "sources: [s3.md]")), (1, 1, page("A", "x", "type: entity")), (1, 2, page("B", "y", "related: [r2]")), (1, 4, None), (1, 5, page("E", "w")), (1, 5, page("E", "w")),
+        (2, 1, None), (2, 2, page("B", "k")), (3, 1, None), (3, 2, page("X", "a")), (3, 3, page("Y", "b")), (4, 1, None), (5, 1, page("P", "m")), (5, 2, page("Q", "n")), (None, 1, page("N", "n")),
+    ]
+    got = {r.request_id: (r.title, r.tags, r.sources, r.related) for r in upkeep.read_merged(spark.createDataFrame(rows, "request_id bigint, member_no int, content string")).collect()}
+    assert got == {1: ("A", "x|y|z|w", "s3.md", "r2"), 2: ("B", "k", "", ""), 3: ("X", "a|b", "", ""), 5: ("P", "m|n", "", "")}
