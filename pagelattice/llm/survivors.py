@@ -27,6 +27,8 @@ STAND_INS = [
 #: Origins from the least to the most trusted.
 ORIGINS = ["guessed", "clipped", "ingested", "reviewed"]
 FIELDS = ["title", "page_type", "description", "created_on"]
+#: What a canonical page has besides: selected like the fields, but not counted for a record's completeness.
+TEXTS = ["content", "path"]
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
@@ -69,14 +71,14 @@ def instant(c: Column) -> Column:
     return F.when(number, epoch).otherwise(when)
 
 
-def candidates(members: DataFrame, fields: list[str]) -> DataFrame:
-    """One row per dominance cell: ``request_id, field_name, trust, filled, best(recency, order, slug, value)``."""
+def candidates(members: DataFrame, fields: list[str], more: list[str] = ()) -> DataFrame:
+    """One row per dominance cell: ``request_id, field_name, trust, filled, best(recency, order, slug, value)``. ``more``: fields that don't count in ``filled``."""
     filled = sum((usable(F.col(f)).cast("int") for f in fields), F.lit(0))
     m = members.select(
         "request_id", "member_no", "slug", trust(F.col("origin")).alias("trust"), filled.alias("filled"), instant(F.col("updated_on")).alias("at"),
-        *[F.when(usable(F.col(f)), F.col(f)).alias(f) for f in fields],
+        *[F.when(usable(F.col(f)), F.col(f)).alias(f) for f in [*fields, *more]],
     ).where(F.col("request_id").isNotNull())
-    long = m.select("request_id", "member_no", "slug", "trust", "filled", "at", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("f"))
+    long = m.select("request_id", "member_no", "slug", "trust", "filled", "at", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in [*fields, *more]])).alias("f"))
     long = long.select("request_id", "member_no", "slug", "trust", "filled", F.coalesce("at", F.lit(-(1 << 62))).alias("at"), "f.field_name", "f.value")
     best = F.max(F.struct("at", (-F.coalesce(F.col("member_no").cast("bigint"), F.lit(1 << 40))).alias("turn"), "slug", "value"))
     return long.where(F.col("value").isNotNull()).groupBy("request_id", "field_name", "trust", "filled").agg(best.alias("best"))
@@ -90,23 +92,26 @@ def skyline(cells: DataFrame) -> DataFrame:
     return grouped.select("request_id", "field_name", F.filter("points", lambda b: ~F.exists("points", lambda a: beats(a, b))).alias("front"))
 
 
-def surviving_values(members: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
+def surviving_values(members: DataFrame, fields: list[str] = FIELDS, more: list[str] = ()) -> DataFrame:
     """``request_id, field_name, slug, value``: the value that survives in each field that some member can fill.
 
     Defined results: a field that no member fills gives no row; an unreadable or missing date is the earliest; an unknown
     origin is the least trusted; repeated rows count once; ties go to the lowest member number; a null request is no group.
     """
-    front = skyline(candidates(members, fields))
+    front = skyline(candidates(members, fields, more))
     return front.select("request_id", "field_name", F.array_max("front").alias("w")).select("request_id", "field_name", "w.slug", "w.value")
 
 
 def canonical_pages(members: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
-    """One row per request: ``request_id, canonical_slug``, the surviving fields, and ``tags``: all tags united, sorted, by key.
+    """One row per request: ``request_id, canonical_slug``, the surviving fields, the surviving ``content`` and ``path``
+    (those of them that ``members`` has), and ``tags``: all tags united, sorted, by key.
 
     canonical_slug is the request's own, if it names a member, else the slug of the member whose title survives, else the
     lowest slug of all.
     """
-    wide = surviving_values(members, fields).groupBy("request_id").pivot("field_name", fields).agg(F.first("value").alias("v"), F.first("slug").alias("s"))
+    texts = [f for f in TEXTS if f in members.columns]
+    every = [*fields, *texts]
+    wide = surviving_values(members, fields, texts).groupBy("request_id").pivot("field_name", every).agg(F.first("value").alias("v"), F.first("slug").alias("s"))
     tags = (
         members.select("request_id", F.explode("tags").alias("t")).where(F.col("t").isNotNull() & (tag_key(F.col("t")) != ""))
         .select("request_id", tag_key(F.col("t")).alias("t")).distinct().groupBy("request_id").agg(F.concat_ws(",", F.sort_array(F.collect_list("t"))).alias("tags"))
@@ -117,4 +122,4 @@ def canonical_pages(members: DataFrame, fields: list[str] = FIELDS) -> DataFrame
     lowest = slugs.groupBy("request_id").agg(F.min("slug").alias("lowest"))
     out = lowest.join(named, "request_id", "left").join(wide, "request_id", "left").join(tags, "request_id", "left")
     first = F.coalesce("named", f"{fields[0]}_s", "lowest") if fields else F.coalesce("named", "lowest")
-    return out.select("request_id", first.alias("canonical_slug"), *[F.col(f"{f}_v").alias(f) for f in fields], F.coalesce("tags", F.lit("")).alias("tags"))
+    return out.select("request_id", first.alias("canonical_slug"), *[F.col(f"{f}_v").alias(f) for f in every], F.coalesce("tags", F.lit("")).alias("tags"))
