@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelattice.llm import survivors
+from pagelattice.llm import nearcopies, survivors
 from pagelattice.operators import graph
 from pagelattice.plans import upkeep
 
@@ -71,3 +72,13 @@ def test_canonical_pages_have_their_text(spark):
     got = {r.request_id: r for r in survivors.canonical_pages(m).collect()}
     assert (got[1].title, got[1].content, got[1].path, got[1].tags) == ("B", "text of e", "wiki/b.md", "t") and (got[2].title, got[2].content, got[2].path) == ("D", None, None)
     assert {r.field_name for r in survivors.surviving_values(m).collect()} == set(survivors.FIELDS)
+
+
+@pytest.mark.parametrize("bits", [42, 44, 46])
+def test_near_copies_are_not_dropped_far_above_the_expected_distance(bits):
+    f = np.zeros((2, 2), dtype=np.uint64)
+    f[1] = [(1 << 40) - 1, (1 << (bits - 40)) - 1]
+    ranks = nearcopies.gray_rank(f[:, 0]), nearcopies.gray_rank(f[:, 1])
+    order = np.lexsort((ranks[1], ranks[0]))
+    pairs = nearcopies.close_pairs(np.zeros(2, dtype=np.uint64), ranks[0][order], ranks[1][order], nearcopies.FAR)
+    assert {(min(i, j), max(i, j)) for a, b in pairs for i, j in zip(a.tolist(), b.tolist(), strict=True) if i != j} == {(0, 1)}
