@@ -81,12 +81,38 @@ def initial_cohesion(spark, d):
     return G.community_stats(pairs, c, nodes, counts).select("community", "n_nodes", F.round("cohesion", 6).alias("cohesion"), "top_nodes")
 
 
+def _found(spark, d):
+    """The graph as in ``_graph``, weighted, with the communities that ``louvain`` finds; a page without links has none."""
+    nodes = _nodes(spark, d)
+    return found_graph(nodes, _edges(nodes))
+
+
+def found_graph(nodes, edges):
+    weighted = shared_checkpoint(G.relevance(edges, nodes))
+    pairs = G.undirected(edges)
+    return nodes, weighted, pairs, G.link_counts(pairs, every=True), shared_checkpoint(G.louvain(weighted))
+
+
+def louvain_surprising_links(spark, d):
+    """Surprising links between the communities found; SQL can't repeat these."""
+    nodes, weighted, _, counts, c = _found(spark, d)
+    return G.surprising(weighted, nodes, c, counts)
+
+
+def louvain_knowledge_gaps(spark, d):
+    """Gaps of the communities found; SQL can't repeat these."""
+    nodes, _, pairs, counts, c = _found(spark, d)
+    return G.knowledge_gaps(pairs, nodes, c, counts)
+
+
 def surprising_links(spark, d):
+    """A check of the rules alone against SQL, with a page's first letter as its community; see louvain_surprising_links for the real chain."""
     nodes, edges, _, counts, c = _graph(spark, d)
     return G.surprising(G.relevance(edges, nodes), nodes, c, counts)
 
 
 def knowledge_gaps(spark, d):
+    """A check of the rules alone against SQL, with a page's first letter as its community; see louvain_knowledge_gaps for the real chain."""
     nodes, _, pairs, counts, c = _graph(spark, d)
     return G.knowledge_gaps(pairs, nodes, c, counts)
 
@@ -160,7 +186,7 @@ _HID = """CASE WHEN type = 'query' THEN 'type' WHEN lower(id) IN ('index', 'over
 
 
 def queries():
-    fs = (link_resolution, page_degrees, linked_pairs, link_counts_all, link_counts_once, pair_relevance, related_pages, communities, initial_cohesion, surprising_links, knowledge_gaps,
+    fs = (link_resolution, page_degrees, linked_pairs, link_counts_all, link_counts_once, pair_relevance, related_pages, communities, initial_cohesion, surprising_links, knowledge_gaps, louvain_surprising_links, louvain_knowledge_gaps,
           graph_filters, graph_induced, graph_text_search, graph_api, lint_findings, missing_pages, type_counts)
     return {f.__name__: f for f in fs}
 

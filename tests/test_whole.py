@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelattice.llm import nearcopies, survivors
 from pagelattice.operators import graph
+from pagelattice.plans import graph as plan
 from pagelattice.plans import upkeep
 
 
@@ -82,3 +83,18 @@ def test_near_copies_are_not_dropped_far_above_the_expected_distance(bits):
     order = np.lexsort((ranks[1], ranks[0]))
     pairs = nearcopies.close_pairs(np.zeros(2, dtype=np.uint64), ranks[0][order], ranks[1][order], nearcopies.FAR)
     assert {(min(i, j), max(i, j)) for a, b in pairs for i, j in zip(a.tolist(), b.tolist(), strict=True) if i != j} == {(0, 1)}
+
+
+def test_insights_over_found_communities(spark):
+    groups = [[f"{g}{i}" for i in range(6)] for g in "wxyz"]  # every group has pages of one letter, but page q is in the first
+    groups[0][5] = "q"
+    types = {p: "entity" for g in groups for p in g} | {"x0": "concept"}
+    edges = {(a, b) for g in groups for a in g for b in g if a < b} | {("w0", "x0"), ("q", "y0"), ("q", "z0")}
+    nodes = spark.createDataFrame([(p, p, t, []) for p, t in types.items()] + [("lone", "lone", "entity", [])], "id string, label string, type string, sources array<string>")
+    e = spark.createDataFrame([(a, b, 1) for a, b in sorted(edges)], "src string, dst string, times bigint")
+    nodes, weighted, pairs, counts, c = plan.found_graph(nodes, e)
+    place = {r.id: r.community for r in c.collect()}
+    assert all(len({place[p] for p in g}) == 1 for g in groups) and len({place[g[0]] for g in groups}) == 4
+    got = {(r.a, r.b): (r.score, r.reasons) for r in graph.surprising(weighted, nodes, c, counts, 50).collect()}
+    assert got == {("w0", "x0"): (4, "communities|types"), ("q", "y0"): (3, "communities"), ("q", "z0"): (3, "communities")}
+    assert {(r.kind, r.key, r.n) for r in graph.knowledge_gaps(pairs, nodes, c, counts).collect()} == {("isolated", "lone", 0), ("bridge", "q", 3)}
