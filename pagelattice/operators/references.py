@@ -3,22 +3,47 @@
 Two operators share one idea: the instants (or integers) at which a parent exists are compressed into contiguous runs,
 every reference is as-of matched to the run that starts at or before it, and what lies beyond that run's end is an orphan.
 
-The as-of match never gathers one key in one task. It runs in two levels: the largest run end of every (key, hour) is
-pre-aggregated on the map side, a window over these few rows per key carries the end into the hours that follow, and only
-then a window over (key, hour) places the single references. A key that holds a third of all links is thereby spread over
-as many groups as it has hours.
+Periods are compressed twice, per (key, hour) and then per key, by windows that stream; what is left of a key is its gaps. A
+key's runs are kept as short sorted arrays of CHUNK runs, so a reference meets one row however many periods its parent had.
+References are shuffled once, by key, and nothing is gathered or ordered on their side: a key that holds a third of them is
+split over tasks by the engine's skew handling, and where the runs are small they are broadcast, which Spark decides by size.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelattice.functions.keys import file_key, is_blank, page_key
 
 FOREVER = "9999-12-31 00:00:00"
+#: Runs of a key in one row.
+CHUNK = 1024
+
+
+def time_runs(parents: DataFrame, grain: str = "hour") -> DataFrame:
+    """``key, start, end, n``: the contiguous runs of each key's periods, numbered from 1 in order of time.
+
+    parents: ``key, since, until``; a period ends before ``until``, null means never. Periods that overlap or touch are one
+    run. A null key or ``since`` and an empty period are left out.
+    """
+    p = (
+        parents.where(F.col("key").isNotNull() & F.col("since").isNotNull())
+        .select("key", F.col("since").alias("start"), F.coalesce("until", F.lit(FOREVER).cast("timestamp_ntz")).alias("end"))
+        .where(F.col("end") > F.col("start"))
+        .groupBy("key", "start")
+        .agg(F.max("end").alias("end"))
+    )
+
+    def compressed(d: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("start")
+        reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        fresh = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
+        islands = d.withColumn("fresh", fresh).withColumn("n", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return islands.groupBy(*by, "n").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+    hours = compressed(p.withColumn("slot", F.date_trunc(grain, "start")), "key", "slot")
+    return compressed(hours.select("key", "start", "end"), "key").select("key", "start", "end", "n")
 
 
 def orphans_as_of(refs: DataFrame, parents: DataFrame, grain: str = "hour") -> DataFrame:
@@ -32,34 +57,15 @@ def orphans_as_of(refs: DataFrame, parents: DataFrame, grain: str = "hour") -> D
     rows of ``refs`` come out as often as they went in.
     """
     payload = [c for c in refs.columns if c not in ("key", "at")]
-    hour = lambda c: F.date_trunc(grain, c)
-    p = (
-        parents.where(F.col("key").isNotNull() & F.col("since").isNotNull())
-        .select("key", F.col("since").alias("at"), F.coalesce("until", F.lit(FOREVER).cast("timestamp_ntz")).alias("run_end"))
-        .groupBy("key", "at")
-        .agg(F.max("run_end").alias("run_end"))
-    )
-    r = refs.where(F.col("key").isNotNull() & F.col("at").isNotNull()).select(
-        "key", "at", F.struct(*[F.col(c) for c in payload]).alias("ref") if payload else F.struct(F.lit(1).alias("_")).alias("ref")
-    )
-    slots = (
-        p.select("key", hour("at").alias("slot"), "run_end")
-        .unionByName(r.select("key", hour("at").alias("slot"), F.lit(None).cast("timestamp_ntz").alias("run_end")))
-        .groupBy("key", "slot")
-        .agg(F.max("run_end").alias("run_end"))
-    )
-    before = Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slots.select("key", "slot", F.max("run_end").over(before).alias("run_end")).where(F.col("run_end").isNotNull())
-    none = F.lit(None).cast(r.schema["ref"].dataType)
-    events = (
-        p.select("key", hour("at").alias("slot"), "at", F.lit(1).alias("turn"), "run_end", none.alias("ref"))
-        .unionByName(carried.select("key", "slot", F.col("slot").alias("at"), F.lit(0).alias("turn"), "run_end", none.alias("ref")))
-        .unionByName(r.select("key", hour("at").alias("slot"), "at", F.lit(2).alias("turn"), F.lit(None).cast("timestamp_ntz").alias("run_end"), "ref"))
-    )
-    upto = Window.partitionBy("key", "slot").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    matched = events.withColumn("end_here", F.max("run_end").over(upto)).where(F.col("turn") == 2)
-    lost = matched.where(F.col("end_here").isNull() | (F.col("end_here") <= F.col("at")))
-    return lost.select("key", "at", *[F.col(f"ref.`{c}`").alias(c) for c in payload])
+    runs = time_runs(parents, grain).groupBy("key", F.floor((F.col("n") - 1) / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    # a chunk is good until the next one begins; most keys have one
+    behind = runs.select("key", (F.col("chunk") - 1).alias("chunk"), F.element_at("runs", 1).start.alias("until"))
+    chunks = runs.join(behind.where("chunk >= 0"), ["key", "chunk"], "left").select(F.col("key").alias("_key"), "runs", F.element_at("runs", 1).start.alias("_since"), F.col("until").alias("_until"))
+    r = refs.where(F.col("key").isNotNull() & F.col("at").isNotNull()).select("key", "at", F.struct(*([F.col(c) for c in payload] or [F.lit(1).alias("_")])).alias("_ref"))
+    here = (F.col("key") == F.col("_key")) & (F.col("at") >= F.col("_since")) & (F.col("_until").isNull() | (F.col("at") < F.col("_until")))
+    before = F.element_at(F.filter("runs", lambda x: x.start <= F.col("at")), -1)
+    lost = r.join(chunks, here, "left").where(F.col("_key").isNull() | (F.col("at") >= before.end))
+    return lost.select("key", "at", *[F.col(f"_ref.`{c}`").alias(c) for c in payload])
 
 
 def contiguous_runs(keys: DataFrame, key: str = "key", block: int = 1 << 16) -> DataFrame:
@@ -100,22 +106,26 @@ def orphan_keys(children: DataFrame, child_key: str, parents: DataFrame, parent_
     return m.where(F.col("end_here").isNull() | (F.col("k") > F.col("end_here"))).select(F.col("k").alias("key"), "n_rows")
 
 
-def exploded(df: DataFrame, field: str, ref_id: str, at: str, values: str, key: Column, kind: str) -> DataFrame:
-    """One row per different non-blank entry of the array column ``values``."""
-    e = df.select(F.lit(field).alias("ref_field"), F.col(ref_id).cast("bigint").alias("ref_id"), F.col(at).alias("at"), F.explode(values).alias("target"))
-    e = e.where(~is_blank(F.col("target"))).withColumn("key", F.concat(F.lit(kind), key))
-    return e
+def exploded(records: DataFrame, ref_id: str, at: str, fields: dict[str, tuple[str, Column]]) -> DataFrame:
+    """One row per different non-blank entry of the array columns ``fields``: ``ref_field, ref_id, at, target, key``. Values of ``fields``: kind and key of an entry ``target``.
+
+    Repeated deliveries of a record are collapsed before its arrays are unfolded.
+    """
+    once = records.select(F.col(ref_id).cast("bigint").alias("ref_id"), F.col(at).alias("at"), *fields).distinct()
+    named = lambda f: F.transform(F.array_distinct(F.coalesce(f, F.array().cast("array<string>"))), lambda v: F.struct(F.lit(f).alias("ref_field"), v.alias("target")))
+    entries = F.concat(*map(named, fields))
+    e = once.select("ref_id", "at", F.explode(entries).alias("e")).select("e.ref_field", "ref_id", "at", "e.target").where(~is_blank(F.col("target")))
+    key = F.lit(None).cast("string")
+    for f, (kind, k) in fields.items():
+        key = F.when(F.col("ref_field") == f, F.concat(F.lit(kind), k)).otherwise(key)
+    return e.withColumn("key", key)
 
 
 def wiki_references(nodes: DataFrame, lint: DataFrame) -> DataFrame:
-    """All references of the wiki: ``ref_field, ref_id, target, key, at``. Repeated rows count once."""
+    """All references of the wiki: ``ref_field, ref_id, at, target, key``. Equal records count once; a reference of two unlike records of one id and time comes twice."""
     target = F.col("target")
-    parts = [
-        exploded(nodes, "out_links", "node_id", "updated_at", "out_links", page_key(target), "p:"),
-        exploded(nodes, "sources", "node_id", "updated_at", "sources", file_key(target), "f:"),
-        exploded(lint, "affected_pages", "lint_id", "detected_at", "affected_pages", page_key(target), "p:"),
-    ]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    of_nodes = exploded(nodes, "node_id", "updated_at", {"out_links": ("p:", page_key(target)), "sources": ("f:", file_key(target))})
+    return of_nodes.unionByName(exploded(lint, "lint_id", "detected_at", {"affected_pages": ("p:", page_key(target))}))
 
 
 def wiki_parents(nodes: DataFrame, structural: DataFrame, files: DataFrame) -> DataFrame:
@@ -129,8 +139,8 @@ def wiki_parents(nodes: DataFrame, structural: DataFrame, files: DataFrame) -> D
 
 
 def wiki_orphans(nodes: DataFrame, lint: DataFrame, structural: DataFrame, files: DataFrame) -> DataFrame:
-    """Orphan references of the wiki: ``ref_field, ref_id, target, at``."""
-    return orphans_as_of(wiki_references(nodes, lint), wiki_parents(nodes, structural, files)).drop("key")
+    """Orphan references of the wiki, once each: ``ref_field, ref_id, target, at``."""
+    return orphans_as_of(wiki_references(nodes, lint), wiki_parents(nodes, structural, files)).select("ref_field", "ref_id", "target", "at").distinct()
 
 
 def wiki_orphan_report(nodes: DataFrame, lint: DataFrame, structural: DataFrame, files: DataFrame) -> DataFrame:

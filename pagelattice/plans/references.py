@@ -67,7 +67,7 @@ def p3_report(spark, d):
 
 
 def p3_integer_runs(spark, d):
-    """Line items per month whose order isn't among the finished ones, by integer runs."""
+    """Line items per block of order keys whose order isn't among the finished ones, by integer runs."""
     done = table(spark, d, "orders").where("o_orderstatus = 'F'")
     li = table(spark, d, "lineitem")
     lost = R.orphan_keys(li, "l_orderkey", done, "o_orderkey")

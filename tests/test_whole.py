@@ -5,11 +5,8 @@ from __future__ import annotations
 import math
 import random
 
-import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from pagelattice.llm import nearcopies, survivors
 from pagelattice.operators import graph
 from pagelattice.plans import graph as plan
 from pagelattice.plans import upkeep
@@ -62,29 +59,6 @@ def test_merged_pages_reads_every_member(spark):
     assert got == {1: ("A", "x|y|z|w", "s3.md", "r2"), 2: ("B", "k", "", ""), 3: ("X", "a|b", "", ""), 5: ("P", "m|n", "", "")}
 
 
-def test_canonical_pages_have_their_text(spark):
-    cols = "request_id bigint, member_no int, slug string, canonical_slug string, origin string, title string, page_type string, description string, created_on string, updated_on string, tags array<string>, content string, path string"
-    rows = [
-        (1, 1, "a", None, "guessed", "A", "entity", "d", "2024", "2025-01-01", ["t"], "text of a", "wiki/a.md"), (1, 2, "b", None, "reviewed", "B", None, None, None, "2024-01-01", None, "todo", "wiki/b.md"),
-        (1, 3, "c", None, "ingested", None, None, None, None, "2024-06-01", None, "text of c", None), (1, 4, "e", None, "ingested", "E", "x", "y", "z", "2024-06-01", None, "text of e", None),
-        (2, 1, "d", None, "clipped", "D", None, None, None, None, None, None, None), (2, 1, "d", None, "clipped", "D", None, None, None, None, None, None, None),
-    ]
-    m = spark.createDataFrame(rows, cols)
-    got = {r.request_id: r for r in survivors.canonical_pages(m).collect()}
-    assert (got[1].title, got[1].content, got[1].path, got[1].tags) == ("B", "text of e", "wiki/b.md", "t") and (got[2].title, got[2].content, got[2].path) == ("D", None, None)
-    assert {r.field_name for r in survivors.surviving_values(m).collect()} == set(survivors.FIELDS)
-
-
-@pytest.mark.parametrize("bits", [42, 44, 46])
-def test_near_copies_are_not_dropped_far_above_the_expected_distance(bits):
-    f = np.zeros((2, 2), dtype=np.uint64)
-    f[1] = [(1 << 40) - 1, (1 << (bits - 40)) - 1]
-    ranks = nearcopies.gray_rank(f[:, 0]), nearcopies.gray_rank(f[:, 1])
-    order = np.lexsort((ranks[1], ranks[0]))
-    pairs = nearcopies.close_pairs(np.zeros(2, dtype=np.uint64), ranks[0][order], ranks[1][order], nearcopies.FAR)
-    assert {(min(i, j), max(i, j)) for a, b in pairs for i, j in zip(a.tolist(), b.tolist(), strict=True) if i != j} == {(0, 1)}
-
-
 def test_insights_over_found_communities(spark):
     groups = [[f"{g}{i}" for i in range(6)] for g in "wxyz"]  # every group has pages of one letter, but page q is in the first
     groups[0][5] = "q"
