@@ -24,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelattice.session import shared_checkpoint
+
 TABLES, ROWS, FAR, RUN = 36, 4, 46, 5
-#: A node of CROWD texts is compared in blocks; crowded nodes are looked for among one in SHARE of the texts.
-CROWD, SHARE = 1 << 15, 64
+#: A node of CROWD texts, or of one in PORTION of all if these are more, is compared in blocks; crowded nodes are looked for
+#: among one in SHARE of the texts. So no more than TABLES * PORTION nodes can be crowded.
+CROWD, PORTION, SHARE = 1 << 15, 1024, 64
 #: Pairs that are expanded at once; bounds a task's memory in nodes of any size.
 CHUNK = 1 << 20
 _OTHER = re.compile(r"[\W_]+")
@@ -184,12 +187,13 @@ def _spread(node: np.ndarray, cols: list[np.ndarray], hot: dict[int, int]) -> li
 
 
 def _crowded(df: DataFrame) -> dict[int, int]:
-    """Nodes of about CROWD texts or more, and in how many blocks their texts are to be compared.
+    """Crowded nodes, and in how many blocks their texts are to be compared.
 
     Estimated on the texts whose id's hash is divisible by SHARE. The estimate only decides how work is spread: any answer
-    gives the same pairs. At most TABLES * texts / CROWD nodes can reach the driver, and only where they exist.
+    gives the same pairs.
     """
-    seen = _classes(df.where(F.pmod(F.xxhash64("id"), F.lit(SHARE)) == 0)).groupBy("origin", "h1", "h2").agg(F.first("norm").alias("norm"))
+    seen = shared_checkpoint(_normal(df.where(F.pmod(F.xxhash64("id"), F.lit(SHARE)) == 0)).select("origin", "norm").distinct())
+    crowd = max(CROWD, seen.count() * SHARE // PORTION)
 
     def count(batches):
         for b in batches:
@@ -198,31 +202,15 @@ def _crowded(df: DataFrame) -> dict[int, int]:
                 at, n = np.unique(node_patterns(min_hashes(part.column(1).to_pylist()), part.column(0).to_numpy()), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(n, pa.int64())], names=["node", "n"])
 
-    nodes = seen.select("origin", "norm").mapInArrow(count, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
-    return {int(np.int64(r.node).view(np.uint64)): -(-r.n * SHARE * 2 // CROWD) for r in nodes.where(F.col("n") >= CROWD // SHARE).toLocalIterator()}
-
+    nodes = seen.mapInArrow(count, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
+    return {int(np.int64(r.node).view(np.uint64)): -(-r.n * SHARE * 2 // crowd) for r in nodes.where(F.col("n") >= crowd // SHARE).toLocalIterator()}
 
-def _classes(df: DataFrame) -> DataFrame:
-    """``origin, id, h1, h2, norm``: usable rows with the hash of their normalised text."""
 
-    def run(batches):
-        import hashlib
-
-        for b in batches:
-            o, ids, h1, h2, norms = [], [], [], [], []
-            for origin, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                n = canonical(t)
-                if len(n) >= RUN:
-                    d = hashlib.blake2b(n.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                    o.append(origin)
-                    ids.append(i)
-                    h1.append(int.from_bytes(d[:8], "big", signed=True))
-                    h2.append(int.from_bytes(d[8:], "big", signed=True))
-                    norms.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int32()), pa.array(ids, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(norms, pa.string())], names=["origin", "id", "h1", "h2", "norm"])
-
-    usable = df.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select(F.col("origin").cast("int"), F.col("id").cast("bigint"), "text")
-    return usable.mapInArrow(run, "origin int, id bigint, h1 bigint, h2 bigint, norm string")
+def _normal(df: DataFrame) -> DataFrame:
+    """``origin, id, norm``: usable rows with their text as ``canonical`` makes it, in an expression."""
+    norm = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
+    usable = df.where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    return usable.select(F.col("origin").cast("int"), F.col("id").cast("bigint"), norm.alias("norm")).where(F.length("norm") >= RUN)
 
 
 def near_copies(df: DataFrame, numerator: int = 3, denominator: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -233,11 +221,13 @@ def near_copies(df: DataFrame, numerator: int = 3, denominator: int = 5) -> tupl
     numerator / denominator, compared in integers.
 
     Defined results: null ids, null and blank texts and those of fewer than five letters or digits are no case; repeated
-    rows count once; no texts give no pairs; a long text is taken whole.
+    rows count once, and of different texts under one id the greatest; no texts give no pairs; a long text is taken whole.
     """
-    rows = _classes(df)
-    texts = rows.groupBy("origin", "h1", "h2").agg(F.min("id").alias("cls"), F.first("norm").alias("norm"))
-    cases = texts.select("origin", "cls", "norm")
+    # texts are shuffled once, by id; classes are found and members placed by digests
+    base = _normal(df).groupBy("origin", "id").agg(F.max("norm").alias("norm"))
+    digests = base.select("origin", "id", F.unhex(F.md5("norm")).alias("h"))
+    classes = digests.groupBy("origin", "h").agg(F.min("id").alias("cls"))
+    cases = base.join(classes.select("origin", F.col("cls").alias("id")), ["origin", "id"], "left_semi")
 
     hot = df.sparkSession.sparkContext.broadcast(_crowded(df))
 
@@ -249,13 +239,13 @@ def near_copies(df: DataFrame, numerator: int = 3, denominator: int = 5) -> tupl
                 origin = part.column(0).to_numpy()
                 node, f = node_patterns(m, origin), fingerprints(m)
                 r1, r2 = gray_rank(f[:, 0]), gray_rank(f[:, 1])
-                cols = _spread(node, [r1, r2, part.column(1).to_numpy()], hot.value)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in cols], names=["node", "r1", "r2", "cls"])
+                cols = _spread(node, [r1, r2, part.column(1).to_numpy(), origin], hot.value)
+                yield pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in cols[:4]], pa.array(cols[4])], names=["node", "r1", "r2", "cls", "origin"])
 
     def compare(batches):
         held = None
         for b in batches:
-            now = [b.column(k).to_numpy() for k in range(4)]
+            now = [b.column(k).to_numpy() for k in range(5)]
             if held is not None:
                 now = [np.concatenate(p) for p in zip(held, now, strict=True)]
             last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
@@ -264,11 +254,10 @@ def near_copies(df: DataFrame, numerator: int = 3, denominator: int = 5) -> tupl
         if held is not None:
             yield from _emit(held)
 
-    nodes = cases.mapInArrow(index, "node bigint, r1 bigint, r2 bigint, cls bigint").repartition("node").sortWithinPartitions("node", "r1", "r2")
-    met = nodes.mapInArrow(compare, "a bigint, b bigint").distinct()
-    a = cases.select("origin", F.col("cls").alias("a"), F.col("norm").alias("ta"))
-    b = cases.select(F.col("origin").alias("origin_b"), F.col("cls").alias("b"), F.col("norm").alias("tb"))
-    both = met.join(a, "a").join(b, "b").where("origin = origin_b")
+    nodes = cases.mapInArrow(index, "node bigint, r1 bigint, r2 bigint, cls bigint, origin int").repartition("node").sortWithinPartitions("node", "r1", "r2")
+    met = nodes.mapInArrow(compare, "origin int, a bigint, b bigint").distinct()
+    side = lambda x: base.select("origin", F.col("id").alias(x), F.col("norm").alias(f"t{x}"))
+    both = met.join(side("a"), ["origin", "a"]).join(side("b"), ["origin", "b"])
 
     def exact(batches):
         left: tuple[str | None, set[str]] = (None, set())
@@ -290,16 +279,16 @@ def near_copies(df: DataFrame, numerator: int = 3, denominator: int = 5) -> tupl
             yield pa.RecordBatch.from_arrays([*[x.column(c).take(rows_) for c in range(3)], pa.array(common, pa.int64()), pa.array(united, pa.int64())], names=["origin", "a", "b", "common", "united"])
 
     pairs = both.select("origin", "a", "b", "ta", "tb").mapInArrow(exact, "origin int, a bigint, b bigint, common bigint, united bigint")
-    members = rows.select("origin", "id", "h1", "h2").distinct().join(texts.select("origin", "h1", "h2", "cls"), ["origin", "h1", "h2"]).select("origin", "id", "cls")
+    members = digests.join(classes, ["origin", "h"]).select("origin", "id", "cls")
     return pairs, members
 
 
 def _emit(cols: list[np.ndarray]):
-    node, r1, r2, cls = cols
+    node, r1, r2, cls, origin = cols
     for i, j in close_pairs(node, r1.view(np.uint64), r2.view(np.uint64)):
         x, y = cls[i], cls[j]
         ok = x != y
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(origin[i][ok]), pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok])], names=["origin", "a", "b"])
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -317,8 +306,6 @@ def groups(pairs: DataFrame, members: DataFrame, rounds: int = 40) -> DataFrame:
     folder. Ends when no label changes, which takes about the logarithm of the longest chain in rounds; ``rounds`` only
     guards against an endless loop and raises when it is reached.
     """
-    from pagelattice.session import shared_checkpoint
-
     edges = shared_checkpoint(pairs.select("origin", F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select("origin", F.col("b").alias("u"), F.col("a").alias("v"))))
     labels = shared_checkpoint(edges.groupBy("origin", "u").agg(F.least(F.col("u"), F.min("v")).alias("label")))
     for _ in range(rounds):

@@ -123,11 +123,21 @@ def p8_clean(spark, d):
     return leakage.without_leaks(docs, _leaks(spark, d)).groupBy("layout").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-_FILLED = " UNION ALL ".join(f"SELECT request_id, member_no, slug, '{f}' field_name, {f} v, origin, updated_on FROM merge_members" for f in survivors.FIELDS)
-_LIST = ", ".join(f"'{x}'" for x in survivors.STAND_INS)
+_FIELDS, _TEXTS = ["title", "page_type", "description", "created_on"], ["content", "path"]
+# fixed values, written out once more so that the SQL does not depend on the operator's list
+_STAND_INS = """'n/a', 'na', 'n.a.', 'todo', 'tbd', 'tba', 'tbc', 'null', 'none', 'nil', 'nan', 'unknown', 'undefined', 'unspecified', 'not known',
+  'not available', 'not set', 'not specified', 'missing', 'empty', 'placeholder', 'pending', 'to be written', 'to be determined',
+  'to be decided', 'to be defined', 'to be confirmed', 'to be added', 'coming soon', 'fixme', 'xxx', '待定', '未知', '暂无', '无', '不明', '未定', 'なし'"""
+
+
+def _usable(c: str) -> str:
+    bare = rf"lower(regexp_replace(regexp_replace({c}, '^[\p{{Z}}\s]+|[\p{{Z}}\s]+$', '', 'g'), '^[(\[<{{]+\s*|\s*[)\]>}}.…:]+$', '', 'g'))"
+    return rf"coalesce(regexp_matches({c}, '[\p{{L}}\p{{N}}]') AND {bare} NOT IN ({_STAND_INS}), false)"
+
+
+# k: members with what the policy looks at; rep: the newest of each cell; w: the records that can fill a field, in the policy's order
 _SQL_P1 = rf"""
-WITH c AS (SELECT DISTINCT * FROM ({_FILLED})),
-u AS (SELECT *, lower(regexp_replace(regexp_replace(v, '^[\p{{Z}}\s]+|[\p{{Z}}\s]+$', '', 'g'), '^[(\[<{{]+\s*|\s*[)\]>}}.…:]+$', '', 'g')) bare, trim(updated_on) s FROM c),
+WITH RECURSIVE c AS (SELECT DISTINCT request_id, member_no, slug, origin, trim(updated_on) s, {", ".join(_FIELDS + _TEXTS)} FROM merge_members WHERE request_id IS NOT NULL),
 k AS (SELECT *, CASE lower(trim(origin)) WHEN 'reviewed' THEN 4 WHEN 'ingested' THEN 3 WHEN 'clipped' THEN 2 WHEN 'guessed' THEN 1 ELSE 0 END tr,
   CASE WHEN s IS NULL OR s = '' THEN -1e18
        WHEN regexp_matches(s, '^\d+$') THEN CAST(s AS BIGINT) * 1000.0
@@ -136,9 +146,12 @@ k AS (SELECT *, CASE lower(trim(origin)) WHEN 'reviewed' THEN 4 WHEN 'ingested'
        WHEN regexp_matches(s, '[+-]\d\d:\d\d$') THEN epoch_us(strptime(s[1:19], '%Y-%m-%dT%H:%M:%S'))
             - (CASE WHEN s[20] = '-' THEN -1 ELSE 1 END) * (CAST(s[21:22] AS BIGINT) * 3600 + CAST(s[24:25] AS BIGINT) * 60) * 1000000.0
        WHEN regexp_matches(s, '/') THEN epoch_us(strptime(s, '%Y/%m/%d %H:%M'))
-       ELSE epoch_us(strptime(s, '%d %b %Y')) END ts
-  FROM u WHERE v IS NOT NULL AND regexp_matches(v, '[\p{{L}}\p{{N}}]') AND bare NOT IN ({_LIST})),
-w AS (SELECT request_id, field_name, slug, v, row_number() OVER (PARTITION BY request_id, field_name ORDER BY tr DESC, ts DESC, member_no) r FROM k)
+       ELSE epoch_us(strptime(s, '%d %b %Y')) END ts,
+  {" || ".join(f"CASE WHEN {_usable(f)} THEN '1' ELSE '0' END" for f in _FIELDS + _TEXTS)} cell,
+  {" + ".join(f"CAST({_usable(f)} AS INT)" for f in _FIELDS)} filled FROM c),
+rep AS (SELECT *, row_number() OVER (ORDER BY request_id, tr, cell) rid FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY request_id, tr, cell ORDER BY ts DESC, member_no) = 1)),
+w AS (SELECT request_id, rid, slug, field_name, v, row_number() OVER (PARTITION BY request_id, field_name ORDER BY tr DESC, ts DESC, filled DESC, member_no) r
+  FROM ({" UNION ALL ".join(f"SELECT request_id, member_no, rid, slug, tr, ts, filled, '{f}' field_name, {f} v FROM rep WHERE {_usable(f)}" for f in _FIELDS + _TEXTS)}))
 """
 _SQL_SETS = f"""
 WITH raw AS (
@@ -159,6 +172,32 @@ def _grams(key: str, t: str) -> str:
         f"FROM (SELECT {key}, {_WORDS} w FROM {t} WHERE text IS NOT NULL) WHERE len(w) >= 12)"
     )
 
+def _placed(key: str, t: str) -> str:
+    return (
+        f"SELECT DISTINCT {key}, i, array_to_string(w[i:i+11], ' ') g FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) i "
+        f"FROM (SELECT {key}, {_WORDS} w FROM {t} WHERE text IS NOT NULL) WHERE len(w) >= 12)"
+    )
+
+
+# lines in turn, folded from a state that knows the open fence, whether a block is open, and each line's block
+_MARK = "regexp_extract(x.line, '^[ \\t]*(`{3,}|~{3,})', 1)"
+_BEHIND = "regexp_extract(x.line, '^[ \\t]*(?:`{3,}|~{3,})(.*)$', 1)"
+_EMPTY = r"regexp_matches(x.line, '^[\s\p{Z}]*$')"
+_SHUTS = rf"{_MARK} <> '' AND {_MARK}[1] = s.fence[1] AND length({_MARK}) >= length(s.fence) AND regexp_matches({_BEHIND}, '^[\s\p{{Z}}]*$')"
+_OPENS = f"{_MARK} <> '' AND NOT ({_MARK}[1] = '`' AND contains({_BEHIND}, '`'))"
+_NUMBER = f"CASE WHEN s.fence <> '' OR {_EMPTY} THEN s.n WHEN {_OPENS} OR NOT s.held THEN s.n + 1 ELSE s.n END"
+_SQL_P2 = rf"""
+WITH l AS (SELECT source_id, max_chars, string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) ls FROM long_sources
+  WHERE content IS NOT NULL AND max_chars > 0 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY length(content) DESC, max_chars) = 1),
+f AS (SELECT source_id, max_chars, ls, list_reduce(list_prepend({{'line': '', 'fence': '', 'held': false, 'n': 0, 'nos': []::INT[]}}, list_transform(ls, lambda v: {{'line': v, 'fence': '', 'held': false, 'n': 0, 'nos': []::INT[]}})),
+  lambda s, x: {{'line': x.line,
+    'fence': CASE WHEN s.fence <> '' THEN CASE WHEN {_SHUTS} THEN '' ELSE s.fence END WHEN {_OPENS} THEN {_MARK} ELSE '' END,
+    'held': CASE WHEN s.fence <> '' THEN NOT ({_SHUTS}) ELSE NOT {_EMPTY} END,
+    'n': {_NUMBER}, 'nos': list_append(s.nos, CASE WHEN s.fence = '' AND {_EMPTY} THEN 0 ELSE {_NUMBER} END)}}) st FROM l),
+b AS (SELECT source_id, max_chars, unnest(st.nos) no, unnest(ls) line, unnest(range(len(ls))) i FROM f)
+SELECT source_id, CAST(no AS BIGINT) block_no FROM b WHERE no > 0 GROUP BY source_id, max_chars, no
+HAVING length(regexp_replace(string_agg(line, chr(10) ORDER BY i), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')) > max_chars
+"""
 
 
 _SQL_RUNS = r"""
@@ -181,7 +220,8 @@ def queries():
 
 def oracle_sql():
     return {
-        "p1_found": _SQL_P1 + "SELECT request_id, field_name, slug FROM w WHERE r = 1",
+        "p1_found": _SQL_P1 + f"SELECT request_id, field_name, slug FROM w WHERE r = 1 AND field_name NOT IN ('{_TEXTS[0]}', '{_TEXTS[1]}')",
+        "p2_found": _SQL_P2,
         "p4_found": """
             WITH v AS (SELECT vec_id, any_value(CAST(embedding AS DOUBLE[])) e FROM chunk_vectors
               WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
@@ -192,12 +232,22 @@ def oracle_sql():
             GROUP BY a.origin, a.id, b.id, a.n, b.n HAVING 5 * count(*) >= 3 * (a.n + b.n - count(*))""",
         "p6_found": _SQL_SETS + """SELECT a.set_field, a.id id_a, b.id id_b FROM e a JOIN e b ON a.set_field = b.set_field AND a.k = b.k AND a.id < b.id
             GROUP BY a.set_field, a.id, b.id, a.n, b.n HAVING 5 * count(*) >= 3 * (a.n + b.n - count(*))""",
-        "p1_canonical_pages": _SQL_P1 + f""", f AS (SELECT request_id, {", ".join(f"max(v) FILTER (WHERE field_name = '{x}') {x}" for x in survivors.FIELDS)}, max(slug) FILTER (WHERE field_name = 'title') ts FROM w WHERE r = 1 GROUP BY 1),
-            m AS (SELECT request_id, min(slug) lowest FROM merge_members GROUP BY 1),
+        "p1_canonical_pages": _SQL_P1 + f""", f AS (SELECT request_id, {", ".join(f"max(v) FILTER (WHERE field_name = '{x}') {x}" for x in _FIELDS + _TEXTS)}, max(slug) FILTER (WHERE field_name = 'title') ts FROM w WHERE r = 1 GROUP BY 1),
+            dom AS (SELECT a.rid better, b.rid worse FROM rep a JOIN rep b USING (request_id) WHERE a.tr >= b.tr AND a.ts >= b.ts AND a.filled >= b.filled AND (a.tr > b.tr OR a.ts > b.ts OR a.filled > b.filled)),
+            ch AS (SELECT rid, 1 AS layer FROM rep UNION SELECT worse, layer + 1 FROM ch JOIN dom ON better = rid),
+            lay AS (SELECT request_id, max(layer) deepest FROM (SELECT request_id, field_name, max(layer) layer FROM w JOIN ch USING (rid) WHERE r = 1 GROUP BY 1, 2) GROUP BY 1),
+            m AS (SELECT request_id, min(slug) lowest FROM merge_members WHERE request_id IS NOT NULL GROUP BY 1),
             nm AS (SELECT request_id, min(trim(canonical_slug)) named FROM merge_members a WHERE trim(canonical_slug) IN (SELECT slug FROM merge_members b WHERE b.request_id = a.request_id) GROUP BY 1),
             t AS (SELECT request_id, string_agg(k, ',' ORDER BY k) tags FROM (SELECT DISTINCT request_id, {sql_tag_key('v')} k FROM (SELECT request_id, unnest(tags) v FROM merge_members) WHERE v IS NOT NULL) WHERE k <> '' GROUP BY 1)
-            SELECT m.request_id, coalesce(named, ts, lowest) canonical_slug, {", ".join(survivors.FIELDS)}, coalesce(t.tags, '') tags
-            FROM m LEFT JOIN nm USING (request_id) LEFT JOIN f USING (request_id) LEFT JOIN t USING (request_id)""",
+            SELECT m.request_id, coalesce(named, ts, lowest) canonical_slug, {", ".join(_FIELDS + _TEXTS)}, coalesce(t.tags, '') tags, coalesce(deepest, 0)::BIGINT deepest_layer
+            FROM m LEFT JOIN nm USING (request_id) LEFT JOIN f USING (request_id) LEFT JOIN t USING (request_id) LEFT JOIN lay USING (request_id)""",
+        "p5_groups": _SQL_RUNS.replace("WITH t", "WITH RECURSIVE t", 1) + """, p AS (SELECT a.origin, a.id x, b.id y FROM e a JOIN e b ON a.origin = b.origin AND a.g = b.g AND a.id <> b.id
+              GROUP BY a.origin, a.id, b.id, a.n, b.n HAVING 5 * count(*) >= 3 * (a.n + b.n - count(*))),
+            reach AS (SELECT origin, id, id AS root FROM n UNION SELECT p.origin, y, root FROM reach JOIN p ON p.origin = reach.origin AND x = reach.id WHERE root < y)
+            SELECT origin, id, min(root) group_id FROM reach GROUP BY 1, 2""",
+        "p8_items": f"""WITH d AS ({_placed('doc_id', 'documents')}), q AS ({_placed('item_id', 'eval_items')}), m AS (SELECT doc_id, item_id, d.i, d.i - q.i dg FROM d JOIN q USING (g)),
+            r AS (SELECT doc_id, item_id, dg, i - row_number() OVER (PARTITION BY doc_id, item_id, dg ORDER BY i) run FROM m), l AS (SELECT doc_id, item_id, count(*) + 11 n FROM r GROUP BY doc_id, item_id, dg, run)
+            SELECT item_id, count(DISTINCT doc_id) n_docs, max(n) longest FROM l GROUP BY 1""",
         "p6_classes": _SQL_SETS + """, c AS (SELECT set_field, id, string_agg(k, chr(1) ORDER BY k) sig FROM e GROUP BY 1, 2), cl AS (SELECT *, min(id) OVER (PARTITION BY set_field, sig) class_id FROM c),
             p AS (SELECT a.set_field, a.id x, b.id y FROM e a JOIN e b ON a.set_field = b.set_field AND a.k = b.k AND a.id <> b.id GROUP BY a.set_field, a.id, b.id, a.n, b.n HAVING 5 * count(*) >= 3 * (a.n + b.n - count(*))),
             l AS (SELECT u.set_field, u.class_id, count(DISTINCT v.class_id) n_links FROM p JOIN cl u ON u.set_field = p.set_field AND u.id = x JOIN cl v ON v.set_field = p.set_field AND v.id = y WHERE u.class_id <> v.class_id GROUP BY 1, 2)

@@ -3,12 +3,19 @@
 A text is read line by line: frontmatter, fenced code, table rows and rulers hold no units, headings and list items are one
 unit each, and the lines between are paragraphs. Within a paragraph quotations and brackets are matched first, since a
 mark inside them ends nothing; then each mark outside is judged. Marks of scripts that have them only for this purpose
-always end a unit. A full stop is judged by the word before it and by what follows: fixed abbreviations come first, then
-the evidence of the document itself (a word that it also writes without a stop before a small letter is no abbreviation),
-then the corpus (a word whose stop is followed by a small letter or digit in many of all its occurrences is one).
+always end a unit.
 
-The corpus evidence covers all documents. It is counted per word in one pass with partial aggregation; only the few short
-words that pass the threshold reach the driver.
+A full stop is judged by two questions, each asked of the document first, then of the corpus, then of fixed lists:
+
+* Is the word before it an abbreviation? Unambiguous in the document are a word that it also writes inside a sentence without
+  a stop (it is none), and one that it writes with a stop and a small letter or digit behind it again and again, never without
+  a stop, while its other sentences begin with capitals (it is one). The corpus answers likewise by the counts of all documents.
+  Only for words on which both are silent do the lists of abbreviations decide.
+* Does the capital behind it begin a sentence or a proper name? A word that the document writes small inside sentences is
+  a common one, so the capital begins a sentence; one that it writes with a capital inside sentences is a name.
+
+The corpus evidence is counted in one pass over all documents with partial aggregation. A word becomes part of it by its share
+of all counts (``SHARE``), so that no more than 1 / SHARE words of a kind can reach the driver, however large the corpus is.
 """
 
 from __future__ import annotations
@@ -21,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelattice.session import shared_checkpoint
+
 #: Abbreviations that something must follow, so that they end no sentence.
 OPEN = set(
     """dr mr mrs ms mx prof st mt ft sgt capt col gen lt maj rev hon pres gov sen rep messrs mme mmes mlle mm me mgr sr sra srta dra ud uds
@@ -45,35 +54,97 @@ CARRIES = "とっがはをにのでもへや"
 
 _SPECIAL = re.compile(r"[\"“”„‘’«»「」『』《》（）()【】]|[.!?…]+|[。！？｡．؟۔।॥]+")
 _QUOTE = re.compile(r"[\"“„‘«「『《（(【]")
-_TAIL = re.compile(r"(?:\[\^?[^\]\s]{1,12}\](?!\()|[¹²³⁰⁴-⁹]+|[*_]+(?=[\s\[]|$))+")
+_TAIL = re.compile(r"(?:\[\^?[^\]\[\s]+\](?!\()|[¹²³⁰⁴-⁹]+|[*_]+(?=[\s\[]|$))+")
 _FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})(.*)", re.S)
 _HEAD = re.compile(r"[ \t]*#{1,6}(?:\s|$)")
 _BULLET = re.compile(r"\s*[-*+•]\s+\S")
 _NUMBER = re.compile(r"\s*\d{1,9}[.)]\s+\S")
 _RULER = re.compile(r"\s*(?:[-*_=]\s*){3,}$")
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
-_WORD = re.compile(r"[^\s\"“”„‘’«»「」『』()（）\[\]*_|,;:—]+$")
+_CUTS = frozenset(" \t\r\n\u00a0\u3000\"“”„‘’«»「」『』()（）[]*_|,;:—")
 _THAI = re.compile(r"[ก-๛]")
 _LETTER = re.compile(r"[^\W\d_]")
 _STOP = re.compile(r"\.\s+(?=([^\W_]))")
 _SOLID = re.compile(r"\S+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+#: A word inside a sentence and without a stop: behind a small letter (or one of a script without capitals) or a comma.
+_SMALL = r"[^\W\d_A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚŠŽŁŚŻА-ЯЁ]"
+_MID = re.compile(rf"(?:(?<={_SMALL} )|(?<=[,;] ))([^\W\d_]+)(?=[\s,;:])")
+
+#: The least share of all stops, or of all words inside sentences, from which the corpus speaks of a word; and the least count.
+SHARE, LEAST = 1e-5, 5
+
+
+def word_before(text: str, i: int, floor: int = 0) -> str:
+    """What stands before position ``i`` without a blank, quotation mark, bracket or comma."""
+    k = i
+    while k > floor and text[k - 1] not in _CUTS and not text[k - 1].isspace():
+        k -= 1
+    return text[k:i]
+
+
+class Uses:
+    """How a text uses words: with a stop that a small letter or digit follows (``low``), that any letter or digit follows (``stops``), and inside sentences without a stop (``mid``)."""
+
+    def __init__(self, text: str):
+        self.text, self.low, self.stops, self._mid = text, Counter(), Counter(), None
+        for m in _STOP.finditer(text):
+            w = word_before(text, m.start())
+            if w and w[-1] != "." and not w[0].isdigit():
+                self.stops[w] += 1
+                if m[1].islower() or m[1].isdigit():
+                    self.low[w] += 1
+        self.n_low, self.n_stops = self.low.total(), self.stops.total()
+
+    @property
+    def mid(self) -> Counter:
+        if self._mid is None:
+            self._mid = Counter(_MID.findall(self.text))
+        return self._mid
+
+    def kind(self, w: str) -> str | None:
+        """``abbr`` or ``plain`` where the text's own uses of the word leave no doubt."""
+        low, n = self.low[w], self.stops[w]
+        if (mid := self.mid[w]) and mid >= low:
+            return "plain"
+        if low >= 2 and 2 * low >= n and not mid and 5 * (self.n_low - low) <= self.n_stops - n:
+            return "abbr"
+        return None
+
+    def common(self, w: str) -> bool | None:
+        """Whether a capitalised word is written small inside sentences (True) or with its capital (False)."""
+        small, big = self.mid[w.lower()], self.mid[w]
+        return None if bool(small) == bool(big) else bool(small)
 
 
-def stop_evidence(text: str) -> tuple[Counter, Counter]:
-    """Short words before a stop and blanks: how often a small letter or digit follows, and how often anything does."""
-    low, all_ = Counter(), Counter()
-    for m in _STOP.finditer(text):
-        w = _WORD.search(text, max(0, m.start() - 12), m.start())
-        if w and 1 < len(w[0]) <= 8 and w[0][-1] != "." and not w[0][0].isdigit() and w[0] != text[max(0, m.start() - 12) : m.start()]:
-            all_[w[0]] += 1
-            if m[1].islower() or m[1].isdigit():
-                low[w[0]] += 1
-    return low, all_
+class Corpus:
+    """The same of all documents, for frequent words: counts by word."""
+
+    def __init__(self, low: dict[str, int] | None = None, stops: dict[str, int] | None = None, mid: dict[str, int] | None = None):
+        self.low, self.stops, self.mid = low or {}, stops or {}, mid or {}
+
+    def kind(self, w: str) -> str | None:
+        low, n, mid = self.low.get(w, 0), self.stops.get(w, 0), self.mid.get(w, 0)
+        if mid > n:
+            return "plain"
+        return "abbr" if low and 5 * low >= n and 2 * mid <= n else None
+
+    def common(self, w: str) -> bool | None:
+        small, big = self.mid.get(w.lower(), 0), self.mid.get(w, 0)
+        return None if small == big else small > big
 
 
 class Splitter:
-    def __init__(self, learned: frozenset[str] = frozenset()):
-        self.learned = learned
+    def __init__(self, corpus: Corpus | None = None):
+        self.corpus, self.text, self._uses = corpus or Corpus(), "", None
+
+    @property
+    def uses(self) -> Uses:
+        if self._uses is None:
+            self._uses = Uses(self.text)
+        return self._uses
 
     def ends(self, text: str) -> list[int]:
         """End positions (code points from the start) of all units of ``text``."""
@@ -83,7 +154,7 @@ class Splitter:
         m = re.match(r"﻿?\s*?---[ \t]*(?:\r\n|\r|\n)", text)
         if m and (close := re.compile(r"^(?:---|\.\.\.)[ \t]*$", re.M).search(text.replace("\r", "\n"), m.end())):
             at = front = close.end()
-        self.text = text
+        self.text, self._uses = text, None
         for line in _LINE.finditer(text, front):
             at, raw = line.start(), line[0]
             body = raw.strip()
@@ -242,39 +313,45 @@ class Splitter:
 
     def stop(self, seg: str, i: int, nxt: int, c: str, small: bool) -> bool:
         """Whether the single full stop at ``i`` ends a sentence; ``c`` at ``nxt`` is what follows."""
-        m = _WORD.search(seg, max(0, i - 24), i)
-        if not m:
+        w = word_before(seg, i)
+        if not w:
             return not small
-        w = m[0]
         low = w.lower().lstrip("¿¡")
         digit = c.isdigit()
+        if w.isdigit() and len(w) <= 2:
+            n = _SOLID.match(seg, nxt)
+            return not (small or n and n[0].strip(".,;:!?").lower() in MONTHS)
+        if "." in w and low not in OPEN and low not in CLOSED and w.count(".") == len(w) // 2 and all(p.isalpha() and len(p) == 1 for p in w.split(".")):
+            return not small and not digit
+        kind = self.uses.kind(w) or self.corpus.kind(w)
+        letter = len(w) == 1 and w.isupper() or w in ("M", "D", "Mme")
+        if kind == "plain" and (low in OPEN or letter):
+            # it may still stand before a name here
+            return not small and not digit and bool(self.common(seg, nxt))
+        if kind == "plain":
+            return not (len(w) == 1 and low in LETTER_BEFORE) or not small and not digit
         if low in OPEN:
             return False
         if low in CLOSED:
             return not small and not digit
         if w == "No" or low in ("no", "núm", "nº"):
             return not digit
-        if w in ("M", "D", "Mme") or len(w) == 1 and w.isupper():
+        if letter:
             return not (c.isalpha() or c in "[*_")
         if len(w) == 1 and low in LETTER_BEFORE and w.islower():
             want = LETTER_BEFORE[low]
-            if want == "digit":
-                return not (digit or small)
-            return not (c.isalpha() and (small or low in "zu"))
-        if w.isdigit() and len(w) <= 2:
-            n = _SOLID.match(seg, nxt)
-            if small or n and n[0].strip(".,;:!?").lower() in MONTHS:
-                return False
-            return True
-        if "." in w and w.count(".") == len(w) // 2 and all(p.isalpha() and len(p) == 1 for p in w.split(".")):
-            return not small and not digit
-        if (small or digit) and w in self.learned and not self.plain(w):
-            return False
+            return not (digit or small) if want == "digit" else not (c.isalpha() and (small or low in "zu"))
+        if kind == "abbr":
+            return not small and not digit and self.common(seg, nxt) is not False
         return True
 
-    def plain(self, w: str) -> bool:
-        """The document also writes ``w`` without a stop, before a blank or comma."""
-        return re.search(rf"(?<![\w.]){re.escape(w)}(?=[\s,;:])", self.text) is not None
+    def common(self, seg: str, at: int) -> bool | None:
+        """Whether the capitalised word at ``at`` is a common one (True) or a name (False)."""
+        m = _LETTERS.match(seg, at)
+        if not m:
+            return None
+        known = self.uses.common(m[0])
+        return self.corpus.common(m[0]) if known is None else known
 
     @staticmethod
     def tail(seg: str, end: int) -> int:
@@ -297,22 +374,35 @@ def _wide(c: str) -> bool:
     return "　" <= c <= "鿿" or "＀" <= c <= "￯"
 
 
-def learned_abbreviations(docs: DataFrame, text: str, least: int = 5, share: float = 0.2) -> frozenset[str]:
-    """Words whose stop is followed by a small letter or digit at least ``least`` times and in ``share`` of all cases, over all documents."""
+def corpus_evidence(docs: DataFrame, text: str) -> Corpus:
+    """The uses of words in all documents. Of words inside sentences those of a share of SHARE are kept, of words with a stop those whose stop a small letter or digit follows in that share of all stops, LEAST times at least."""
 
     def count(batches):
         for b in batches:
-            low, all_ = Counter(), Counter()
+            low, stops, mid = Counter(), Counter(), Counter()
             for t in b.column(0).to_pylist():
                 if t:
-                    lo, al = stop_evidence(t)
-                    low.update(lo)
-                    all_.update(al)
-            ks = list(all_)
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.string()), pa.array([low[k] for k in ks], pa.int64()), pa.array([all_[k] for k in ks], pa.int64())], ["word", "low", "n"])
-
-    seen = docs.select(text).mapInArrow(count, "word string, low bigint, n bigint").groupBy("word").agg(F.sum("low").alias("low"), F.sum("n").alias("n"))
-    return frozenset(r.word for r in seen.where((F.col("low") >= least) & (F.col("low") >= share * F.col("n"))).toLocalIterator())
+                    u = Uses(t)
+                    low.update(u.low)
+                    stops.update(u.stops)
+                    mid.update(u.mid)
+            ws = list(stops.keys() | mid.keys())
+            # the row without a word holds the totals
+            cols = [[c[w] for w in ws] + [c.total()] for c in (low, stops, mid)]
+            yield pa.RecordBatch.from_arrays([pa.array([*ws, None], pa.string()), *[pa.array(c, pa.int64()) for c in cols]], names=["word", "low", "stops", "mid"])
+
+    each = [F.sum(c).alias(c) for c in ("low", "stops", "mid")]
+    seen = shared_checkpoint(docs.select(text).mapInArrow(count, "word string, low bigint, stops bigint, mid bigint").groupBy("word").agg(*each))
+    total = seen.where("word IS NULL").first()
+    if total is None:
+        return Corpus()
+    often = lambda c: F.col(c) >= max(LEAST, SHARE * total[c])
+    as_stop = F.col("low") >= max(LEAST, SHARE * total.stops)
+    rows = seen.where(F.col("word").isNotNull() & (as_stop | often("mid"))).toLocalIterator()
+    out = Corpus()
+    for r in rows:
+        out.low[r.word], out.stops[r.word], out.mid[r.word] = r.low, r.stops, r.mid
+    return out
 
 
 def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text", batch_units: int = 1 << 16) -> DataFrame:
@@ -323,10 +413,10 @@ def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text", bat
     Defined results: null, empty and blank texts have no units, nor has a text of frontmatter, code and tables alone; a text
     without any mark is one unit per paragraph; rows with a null key are left out; a repeated row comes out again.
     """
-    learned = learned_abbreviations(docs, text)
+    corpus = docs.sparkSession.sparkContext.broadcast(corpus_evidence(docs, text))
 
     def run(batches):
-        splitter = Splitter(learned)
+        splitter = Splitter(corpus.value)
         for b in batches:
             keys, n, nos, ends = [], [], [], []
             total = 0

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 
 from pagelattice.llm.leakage import words
 
-#: Words looked at on each side of a gap, and the part of the window, from its end, in which a cut is looked for.
+#: Words looked at on each side of a gap, and the part of the window, from its end, in which a cut is looked for: a piece
+#: that is cut off has at least half the limit, whatever valleys lie before.
 SIDE, REACH = 40, 0.5
 _FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})(.*)")
 _HEAD = re.compile(r"[ \t]{0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
@@ -96,51 +97,48 @@ def _cosine(a: Counter, b: Counter) -> float:
 
 
 def depths(parts: list[list[str]]) -> list[float]:
-    """For each gap between two parts (lists of words) how deep its valley of similarity is."""
-    sims = []
-    for i in range(1, len(parts)):
-        left: list[str] = []
-        for k in range(i - 1, -1, -1):
-            left = parts[k] + left
-            if len(left) >= SIDE:
-                break
-        right: list[str] = []
-        for k in range(i, len(parts)):
-            right = right + parts[k]
-            if len(right) >= SIDE:
-                break
-        sims.append(_cosine(_bag(left[-SIDE:]), _bag(right[:SIDE])))
-    out = []
-    for i, s in enumerate(sims):
-        peaks = []
-        for step in (-1, 1):
-            k = i
-            while 0 <= k + step < len(sims) and sims[k + step] >= sims[k]:
-                k += step
-            peaks.append(sims[k] - s)
-        out.append(sum(peaks))
-    return out
+    """For each gap between two parts (lists of words) how deep its valley of similarity is.
+
+    The words of a side are the SIDE words next to the gap, across parts. A peak is where the similarities, followed from
+    the gap to one side, rise no further; one pass from each end finds them all.
+    """
+    flat = [w for p in parts for w in p]
+    sims, at = [], 0
+    for p in parts[:-1]:
+        at += len(p)
+        sims.append(_cosine(_bag(flat[max(0, at - SIDE) : at]), _bag(flat[at : at + SIDE])))
+    peaks = []
+    for order in (sims, sims[::-1]):
+        top: list[float] = []
+        for i, s in enumerate(order):
+            top.append(top[-1] if i and order[i - 1] >= s else s)
+        peaks.append(top)
+    return [left + right - 2 * s for s, left, right in zip(sims, peaks[0], reversed(peaks[1]), strict=True)]
+
+
+def _visible_end(text: str, start: int, end: int) -> int:
+    """``end`` moved back over blanks, not beyond ``start``."""
+    while end > start and text[end - 1].isspace():
+        end -= 1
+    return end
 
 
 def inside(text: str, b: Block, size: int) -> list[tuple[int, int]]:
-    """Cuts of a block longer than ``size`` into spans of at most ``size``, each at the best kind of place in its window."""
+    """Cuts of a block longer than ``size`` into spans of at most ``size``: the deepest valley among the places of the best kind in each window."""
     out, at = [], b.start
     while b.end - at > size:
         for kind in _INSIDE:
-            found = [m for m in kind.finditer(text, at + int(size * (1 - REACH)), min(at + size + 1, b.end)) if at < m.end() < b.end and len(text[at : m.end()].rstrip()) <= size]
-            if kind is _INSIDE[0]:
-                found = found[-1:]
-            elif len(found) > 1:
-                spans = [at, *[m.end() for m in found], min(b.end, at + 2 * size)]
+            found = [m.end() for m in kind.finditer(text, at + int(size * (1 - REACH)), min(at + size + 1, b.end)) if at < m.end() < b.end and _visible_end(text, at, m.end()) <= at + size]
+            if len(found) > 1:
+                spans = [at, *found, min(b.end, at + 2 * size)]
                 d = depths([words(text[x:y]) for x, y in zip(spans, spans[1:], strict=False)])
-                found = [max(zip(found, d, strict=True), key=lambda p: (round(p[1], 6), p[0].start()))[0]]
+                found = [max(zip(found, d, strict=True), key=lambda p: (round(p[1], 6), p[0]))[0]]
             if found:
-                stop = nxt = found[0].end()
+                nxt = found[0]
                 break
         else:
-            stop = nxt = at + size
-        while stop > at and text[stop - 1].isspace():
-            stop -= 1
+            nxt = at + size
+        stop = _visible_end(text, at, nxt)
         if stop <= at:
             stop = nxt = at + size
         out.append((at, stop))
