@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelattice.functions.bind import let
 from pagelattice.functions.keys import page_key
@@ -77,30 +80,40 @@ def fields_map(block: Column) -> Column:
     return F.map_from_entries(let(pairs, lambda b: let(F.transform(b, lambda x: x["k"]), lambda ks: F.filter(b, last(ks)))))
 
 
+def _in_block(c: Column, change: Callable[[Column], Column]) -> Column:
+    """The page with the lines of the block at its very top changed, and nothing else; a page without one stays."""
+    whole = rf"(?s)\A(\x{{FEFF}}?---[ \t]*{_NL})(.*?)({_NL}?---[ \t]*(?:{_NL}.*|\z))\z"
+    cut = lambda p: F.struct(*[F.regexp_extract(p, whole, i).alias(n) for i, n in enumerate(("top", "block", "rest"), 1)])
+    return let(c, lambda p: F.when(p.rlike(whole), let(cut(p), lambda x: F.concat(x.top, change(x.block), x.rest))).otherwise(p))
+
+
+def _literal(line: Column) -> Column:
+    """A text that stands for itself in a replacement."""
+    return F.regexp_replace(line, r"([\\$])", r"\\$1")
+
+
+def _replace_first(block: Column, pattern: str, line: Column) -> Column:
+    return F.regexp_replace(block, F.lit(rf"\A((?s:.*?))(?m:{pattern})"), F.concat(F.lit("$1"), _literal(line)))
+
+
+def _appended(block: Column, line: Column) -> Column:
+    # an empty block's closing fence follows at once
+    return F.when(block == "", F.concat(line, F.lit("\n"))).otherwise(F.concat(block, F.lit("\n"), line))
+
+
 def write_array(c: Column, field: str, values: Column) -> Column:
-    """The page with the list written in brackets: in the place of the old one, else at the block's end; no block, no change."""
+    """The page with the list written in brackets: in the place of the block's first such field, else at the block's end; no block, no change."""
     name = re.escape(field)
     line = F.concat(F.lit(f"{field}: ["), F.array_join(F.transform(values, lambda v: F.concat(F.lit('"'), v, F.lit('"'))), ", "), F.lit("]"))
-    quoted = F.regexp_replace(line, r"([\\$])", r"\\$1")
-    inline, lines = rf"(?m)^{name}:[ \t]*\[[^\r\n]*\]", rf"(?m)^{name}:[ \t]*\r?\n(?:[ \t]*-[ \t]+[^\r\n]*(?:\r?\n|\z))+"
-    block = frontmatter_block(c, strict=True)
-    put = lambda p: F.regexp_replace(c, F.lit(p), quoted)
-    return (
-        F.when(block.isNull(), c)
-        .when(block.rlike(inline), put(inline))
-        .when(block.rlike(lines), F.regexp_replace(c, F.lit(lines), F.concat(quoted, F.lit("\n"))))
-        .otherwise(F.regexp_replace(c, F.lit(r"(?s)\A(\x{FEFF}?---[ \t]*(?:\r\n|\n).*?)((?:\r\n|\n)?---[ \t]*(?:\r\n|\n|\z))"), F.concat(F.lit("$1\n"), quoted, F.lit("$2"))))
-    )
+    inline, lines = rf"^{name}:[ \t]*\[[^\r\n]*\]", rf"^{name}:[ \t]*(?:\r?\n[ \t]*-[ \t]+[^\r\n]*)+"
+    return _in_block(c, lambda b: F.when(b.rlike(f"(?m){inline}"), _replace_first(b, inline, line)).when(b.rlike(f"(?m){lines}"), _replace_first(b, lines, line)).otherwise(_appended(b, line)))
 
 
 def set_scalar(c: Column, field: str, value: Column) -> Column:
-    """The page with ``field: value``: in place of the line, unless that holds a list, else at the block's end."""
-    name = re.escape(field)
-    line = F.regexp_replace(F.concat(F.lit(f"{field}: "), value), r"([\\$])", r"\\$1")
-    old = rf"(?m)^{name}:[ \t]*(?!\[)[^\r\n]*"
-    block = frontmatter_block(c, strict=True)
-    top = F.lit(r"(?s)\A(\x{FEFF}?---[ \t]*(?:\r\n|\n).*?)((?:\r\n|\n)?---[ \t]*(?:\r\n|\n|\z))")
-    return F.when(block.isNull(), c).when(block.rlike(old), F.regexp_replace(c, F.lit(old), line)).otherwise(F.regexp_replace(c, top, F.concat(F.lit("$1\n"), line, F.lit("$2"))))
+    """The page with ``field: value``: in place of the block's first such line, unless that holds a list, else at the block's end."""
+    line = F.concat(F.lit(f"{field}: "), value)
+    old = rf"^{re.escape(field)}:[ \t]*(?!\[)[^\r\n]*"
+    return _in_block(c, lambda b: F.when(b.rlike(f"(?m){old}"), _replace_first(b, old, line)).otherwise(_appended(b, line)))
 
 
 def first_heading(c: Column) -> Column:
@@ -245,5 +258,43 @@ def list_union(old: Column, new: Column) -> Column:
     return let(both, lambda b: let(F.transform(b, F.lower), lambda low: F.filter(b, first(low))))
 
 
+def parsed_frontmatter(text: str | None) -> dict[str, str] | None:
+    """The block as fields: lists and nested values as JSON, null as empty text, numbers and truth values as text; null if there is no readable block.
+
+    Unlike ``fields_map``, which reads the flat subset in expressions, this takes all of YAML. A block that YAML refuses is
+    read once more with bare lists of links in quotation marks.
+    """
+    import json
+
+    import yaml
+
+    m = re.search(LOOSE.replace(r"\x{FEFF}", "\ufeff").replace(r"\z", r"\Z"), text or "")
+    if not m:
+        return None
+
+    class Plain(yaml.BaseLoader):
+        """Scalars as they are written, but null as empty text."""
+
+    Plain.add_implicit_resolver("tag:yaml.org,2002:null", re.compile(r"^(?:~|null|Null|NULL|)$"), ["~", "n", "N", ""])
+    Plain.add_constructor("tag:yaml.org,2002:null", lambda loader, node: "")
+    links = re.compile(r"(?m)^(\s*[A-Za-z_][\w-]*\s*:\s*)(\[\[[^\]\n]+\]\](?:\s*,\s*\[\[[^\]\n]+\]\])+)[ \t]*\r?$")
+    quoted = lambda k: k[1] + "[" + ", ".join(f'"{x.strip()}"' for x in k[2].split(",")) + "]"
+    for block in (m[1], links.sub(quoted, m[1])):
+        try:
+            got = yaml.load(block, Loader=Plain)
+        except yaml.YAMLError:
+            continue
+        if not isinstance(got, dict):
+            return None
+        return {str(k): v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in got.items()}
+    return None
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def frontmatter_yaml(s: pd.Series) -> pd.Series:
+    """``parsed_frontmatter`` as a column of maps, in Arrow batches."""
+    return s.map(parsed_frontmatter)
+
+
 def canonical_page(c: Column) -> Column:
     return page_key(c)

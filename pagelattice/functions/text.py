@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagelattice.functions.bind import let
+
 #: Words that no query is about.
-STOP_WORDS = (
-    "the is a an what how are was were do does did be been being have has had it its in on at to for of with by this that these those "
-    "的 是 了 什么 在 有 和 与 对 从"
-).split()
+STOP_WORDS = [
+    "的", "是", "了", "什么", "在", "有", "和", "与", "对", "从", "the", "is", "a", "an", "what", "how", "are", "was", "were", "do", "does", "did", "be", "been",
+    "being", "have", "has", "had", "it", "its", "in", "on", "at", "to", "for", "of", "with", "by", "this", "that", "these", "those",
+]
 #: Separators besides blanks and ASCII punctuation.
 SEPARATORS = "，。！？、；：“”‘’（）·～…"
 _CUT = rf"[\s!-/:-@\[-`{{-~{SEPARATORS}]+"
@@ -46,6 +49,19 @@ def token_array(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(words, grams, chars)))
 
 
+#: Separators of index tokens. Full stops, ASCII exclamation and question marks and quotation marks are none.
+_INDEX_CUT = r"[\s,，。！？、；：“”‘’（）()\-_/\\·~～…]+"
+
+
+def index_tokens(c: Column) -> Column:
+    """Distinct tokens of a query in their order, for trimming an index and for captions: other separators than ``token_array``; a long CJK token's bigrams and characters follow it."""
+    words = F.filter(F.split(F.lower(c), _INDEX_CUT), lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS))
+    gram = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
+    char = lambda t: F.filter(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(t, i, F.lit(1))), lambda x: ~x.isin(STOP_WORDS))
+    wide = lambda t: F.when(t.rlike(_CJK) & (F.length(t) > 2), F.concat(gram(t), char(t), F.array(t))).otherwise(F.array(t))
+    return F.array_distinct(F.flatten(F.transform(words, wide)))
+
+
 def phrase(c: Column) -> Column:
     """The query in lower case without separators at its ends."""
     return F.lower(F.regexp_replace(c, rf"^{_CUT}|{_CUT}$", ""))
@@ -77,9 +93,13 @@ def chunk_snippet(chunk: Column, heading: Column, width: int = 160) -> Column:
     return F.concat(F.when(F.coalesce(heading, F.lit("")) != "", F.concat(heading, F.lit(": "))).otherwise(""), F.substring(F.regexp_replace(chunk, r"\r?\n", " "), 1, width))
 
 
+#: What a review's title may begin with, before a colon of either width.
+REVIEW_PREFIXES = [r"missing[\s-]?page", r"duplicate[\s-]?page", r"possible[\s-]?duplicate", "缺失页面", "缺少页面", "重复页面", "疑似重复"]
+
+
 def normalise_review_title(c: Column) -> Column:
     """Without the leading kind of the review, runs of blanks as one, in lower case."""
-    kinds = r"(?i)^\s*(?:missing[ -]page|duplicate[ -]page|possible[ -]duplicate|缺失页面|重复页面|疑似重复|缺少页面)\s*[:：]\s*"
+    kinds = "(?i)^(?:" + "|".join(REVIEW_PREFIXES) + r")[:：]\s*"
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, kinds, ""), r"\s+", " ")))
 
 
@@ -127,16 +147,26 @@ def source_identity(c: Column) -> Column:
 
 #: Extensions of each category of file.
 CATEGORIES = {
-    "markdown": "md mdx markdown", "text": "txt text log rst", "pdf": "pdf", "document": "doc docx odt rtf", "presentation": "ppt pptx odp",
-    "spreadsheet": "xls xlsx ods csv tsv", "image": "png jpg jpeg gif webp svg bmp tif tiff avif heic", "audio": "mp3 wav m4a ogg flac aac",
-    "video": "mp4 mov webm mkv avi", "code": "py js ts tsx jsx rs go java c h cpp cs rb php sh sql json yaml yml toml xml html htm css",
+    "markdown": ["md", "mdx"],
+    "text": ["txt", "rtf", "log"],
+    "code": [
+        "js", "jsx", "ts", "tsx", "py", "rs", "go", "java", "c", "cpp", "h", "hpp", "rb", "php", "swift", "kt", "scala", "sh", "bash", "zsh", "sql", "r", "lua", "css",
+        "scss", "less", "html", "htm", "xml", "svg", "vue", "svelte", "toml", "ini", "cfg", "conf", "dockerfile", "makefile",
+    ],
+    "image": ["png", "jpg", "jpeg", "gif", "webp", "bmp", "ico", "tiff", "tif", "avif", "heic", "heif"],
+    "video": ["mp4", "webm", "mov", "avi", "mkv", "flv", "wmv", "m4v"],
+    "audio": ["mp3", "wav", "ogg", "flac", "aac", "m4a", "wma"],
+    "pdf": ["pdf"],
+    "document": ["doc", "docx", "xls", "xlsx", "ppt", "pptx", "odt", "ods", "odp", "pages", "numbers", "key", "epub"],
+    "data": ["json", "jsonl", "csv", "tsv", "yaml", "yml", "ndjson"],
 }
 
 
 def file_category(c: Column) -> Column:
-    ext, out = extension(c), F.lit("unknown")
+    """By what stands behind the last point; a name without one is its own extension."""
+    ext, out = F.lower(F.substring_index(c, ".", -1)), F.lit("unknown")
     for name, exts in CATEGORIES.items():
-        out = F.when(ext.isin(exts.split()), name).otherwise(out)
+        out = F.when(ext.isin(exts), name).otherwise(out)
     return out
 
 
@@ -152,16 +182,27 @@ def matches_glob(path: Column, patterns: list[str]) -> Column:
     return out
 
 
-#: Greetings, whole texts in lower case.
-GREETINGS = [
-    r"(?:hi|hello|hey|yo|hiya)(?: there| all)?", r"good (?:morning|afternoon|evening|night)", r"how are you(?: doing)?", r"what'?s up", r"thanks?(?: you)?",
-    r"你好(?:啊|呀)?", r"您好", r"(?:早上|中午|下午|晚上)好", r"嗨|哈喽", r"谢谢(?:你|您)?",
-]
+#: Greetings as whole texts, by language, with what may follow one.
+GREETINGS = {
+    "hi hello hey yo sup howdy hiya heya hullo": ["", " there", " y'all", " you", " folks", " everyone"],
+    "good morning|good afternoon|good evening|good day|good night": [""],
+    "what's up|whats up|wassup|whaddup|greetings": [""],
+    "你好 您好 大家好 嗨 哈喽 哈啰 哈囉 哈罗 喂": ["", "啊", "呀", "吖", "呢", "么", "呗", "哦", "哈"],
+    "早 早啊 早安 早上好 中午好 下午好 晚上好 晚安": ["", "啊", "呀", "吖", "呢", "么", "呗", "哦", "哈"],
+    "在吗 在嗎 在不在 有人吗 有人嗎 有人在吗 有人在嗎": [""],
+    "こんにちは こんばんは おはよう おはようございます やあ どうも はじめまして": [""],
+    "안녕 안녕하세요 안녕하십니까": [""],
+    "hola bonjour salut coucou hallo servus hej hejsan ciao saluton ola olá privet привет": [""],
+}
+#: Fixed value: a longer text is no greeting.
+LONGEST_GREETING = 20
 
 
 def is_greeting(c: Column) -> Column:
-    s = F.lower(F.regexp_replace(F.trim(c), r"[\s!.?,~！。？，～…]+$", ""))
-    return (F.length(s) <= 20) & s.rlike("^(?:" + "|".join(GREETINGS) + ")$")
+    """Whether a text is a greeting and nothing else, whatever marks end it."""
+    whole = [w + tail for ws, tails in GREETINGS.items() for w in (ws.split("|") if "|" in ws else ws.split()) for tail in tails]
+    s = F.lower(F.trim(F.regexp_replace(F.trim(c), r"[\s!！。.?？~,，、;；:：]+$", "")))
+    return F.coalesce((F.length(s) <= LONGEST_GREETING) & s.isin(whole), F.lit(False))
 
 
 def strip_reasoning(c: Column) -> Column:
@@ -183,6 +224,26 @@ def citations(c: Column) -> Column:
     return F.when(hidden != "", ids(F.regexp_extract_all(hidden, F.lit(r"(\d+)"), 1))).otherwise(ids(F.regexp_extract_all(c, F.lit(r"\[(\d{1,4})\]"), 1)))
 
 
+def cited_pages(c: Column, pages: Column) -> Column:
+    """Structs ``title, path`` of the pages that an answer cites.
+
+    pages: the pages that the question was answered from, in order, as structs ``title, path``; may be empty. Numbers of the
+    hidden comment count first, then bracketed ones, and where no page has any of these numbers the answer's links: each name
+    once, its path below wiki/ (below wiki/entities/ for a bare name).
+    """
+    at = lambda a: F.filter(F.transform(a, lambda n: F.when((n >= 1) & (n <= F.size(pages)), F.element_at(pages, n))), lambda p: p.isNotNull())
+    numbers = lambda s, p: F.array_distinct(F.transform(F.regexp_extract_all(s, F.lit(p), 1), lambda x: x.try_cast("int")))
+    hidden = at(numbers(F.regexp_extract(c, r"<!--\s*cited:\s*([\d,\s]+)-->", 1), r"(\d+)"))
+    bracketed = at(numbers(c, r"\[(\d+)\]"))
+    link = r"\[\[([^\]|]+?)(?:\|([^\]]+?))?\]\]"
+    names = F.transform(F.regexp_extract_all(c, F.lit(link), 1), _trim)
+    labels = F.transform(F.regexp_extract_all(c, F.lit(link), 2), _trim)
+    path = lambda n: F.concat(F.when(n.contains("/"), F.lit("wiki/")).otherwise(F.lit("wiki/entities/")), n, F.lit(".md"))
+    each = F.zip_with(names, labels, lambda n, label: F.struct(F.when(label != "", label).otherwise(n).alias("title"), path(n).alias("path")))
+    linked = F.filter(each, lambda x, i: F.array_position(names, F.element_at(names, i + 1)) == i + 1)
+    return F.when(F.size(hidden) > 0, hidden).when(F.size(bracketed) > 0, bracketed).otherwise(linked)
+
+
 def entity_summary(c: Column, size: int = 200) -> Column:
     """Description of the frontmatter, else the first line that is no heading, table or list mark, cut with an ellipsis."""
     from pagelattice.functions.markdown import body, frontmatter_block, scalar_field
@@ -226,20 +287,41 @@ def summary_slug(identity: str, size: int = 120) -> str:
     return enc[: size - len(tail)] + tail
 
 
-#: LaTeX commands and the characters they stand for.
+#: LaTeX commands and what they stand for.
 LATEX = {
-    r"\alpha": "α", r"\beta": "β", r"\gamma": "γ", r"\delta": "δ", r"\epsilon": "ε", r"\zeta": "ζ", r"\eta": "η", r"\theta": "θ", r"\lambda": "λ", r"\mu": "μ",
-    r"\pi": "π", r"\rho": "ρ", r"\sigma": "σ", r"\tau": "τ", r"\phi": "φ", r"\chi": "χ", r"\psi": "ψ", r"\omega": "ω", r"\Gamma": "Γ", r"\Delta": "Δ", r"\Theta": "Θ",
-    r"\Lambda": "Λ", r"\Pi": "Π", r"\Sigma": "Σ", r"\Phi": "Φ", r"\Psi": "Ψ", r"\Omega": "Ω", r"\times": "×", r"\cdot": "·", r"\div": "÷", r"\pm": "±", r"\leq": "≤",
-    r"\geq": "≥", r"\neq": "≠", r"\approx": "≈", r"\equiv": "≡", r"\infty": "∞", r"\sum": "∑", r"\prod": "∏", r"\int": "∫", r"\partial": "∂", r"\nabla": "∇", r"\sqrt": "√",
-    r"\in": "∈", r"\notin": "∉", r"\subset": "⊂", r"\cup": "∪", r"\cap": "∩", r"\forall": "∀", r"\exists": "∃", r"\rightarrow": "→", r"\leftarrow": "←", r"\to": "→",
-    r"\Rightarrow": "⇒", r"\Leftrightarrow": "⇔", r"\ldots": "…", r"\dots": "…", r"\circ": "∘", r"\degree": "°",
+    "rightarrow": "→", "Rightarrow": "⇒", "longrightarrow": "⟶", "leftarrow": "←", "Leftarrow": "⇐", "longleftarrow": "⟵", "leftrightarrow": "↔", "Leftrightarrow": "⇔",
+    "uparrow": "↑", "Uparrow": "⇑", "downarrow": "↓", "Downarrow": "⇓", "mapsto": "↦", "hookrightarrow": "↪", "hookleftarrow": "↩",
+    "nearrow": "↗", "nwarrow": "↖", "searrow": "↘", "swarrow": "↙",
+    "times": "×", "div": "÷", "pm": "±", "mp": "∓", "cdot": "·", "ast": "∗", "star": "⋆", "circ": "∘", "bullet": "•", "oplus": "⊕", "otimes": "⊗",
+    "leq": "≤", "le": "≤", "geq": "≥", "ge": "≥", "neq": "≠", "ne": "≠", "approx": "≈", "sim": "∼", "simeq": "≃", "equiv": "≡", "cong": "≅",
+    "propto": "∝", "ll": "≪", "gg": "≫", "prec": "≺", "succ": "≻", "subset": "⊂", "supset": "⊃", "subseteq": "⊆", "supseteq": "⊇",
+    "in": "∈", "notin": "∉", "ni": "∋", "cap": "∩", "cup": "∪", "vee": "∨", "wedge": "∧", "neg": "¬", "lnot": "¬",
+    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "varepsilon": "ε", "zeta": "ζ", "eta": "η", "theta": "θ", "vartheta": "ϑ",
+    "iota": "ι", "kappa": "κ", "lambda": "λ", "mu": "μ", "nu": "ν", "xi": "ξ", "pi": "π", "varpi": "ϖ", "rho": "ρ", "varrho": "ϱ",
+    "sigma": "σ", "varsigma": "ς", "tau": "τ", "upsilon": "υ", "phi": "φ", "varphi": "ϕ", "chi": "χ", "psi": "ψ", "omega": "ω",
+    "Gamma": "Γ", "Delta": "Δ", "Theta": "Θ", "Lambda": "Λ", "Xi": "Ξ", "Pi": "Π", "Sigma": "Σ", "Upsilon": "Υ", "Phi": "Φ", "Psi": "Ψ", "Omega": "Ω",
+    "infty": "∞", "partial": "∂", "nabla": "∇", "forall": "∀", "exists": "∃", "emptyset": "∅", "varnothing": "∅", "wp": "℘", "Re": "ℜ", "Im": "ℑ",
+    "aleph": "ℵ", "hbar": "ℏ", "ell": "ℓ", "sharp": "♯", "flat": "♭", "natural": "♮", "clubsuit": "♣", "diamondsuit": "♢", "heartsuit": "♡", "spadesuit": "♠",
+    "sum": "∑", "prod": "∏", "coprod": "∐", "int": "∫", "oint": "∮", "bigcup": "⋃", "bigcap": "⋂", "bigoplus": "⨁", "bigotimes": "⨂",
+    "ldots": "…", "cdots": "⋯", "vdots": "⋮", "ddots": "⋱",
+    "quad": "  ", "qquad": "    ", "text": "", "mathrm": "", "mathbf": "", "mathit": "", "textbf": "", "textit": "", "textrm": "",
+    "langle": "⟨", "rangle": "⟩", "lfloor": "⌊", "rfloor": "⌋", "lceil": "⌈", "rceil": "⌉", "lvert": "|", "rvert": "|",
+    "hat": "^", "tilde": "~", "bar": "‾", "vec": "→", "dot": "·", "ddot": "¨",
+    "log": "log", "ln": "ln", "exp": "exp", "sin": "sin", "cos": "cos", "tan": "tan", "min": "min", "max": "max", "sup": "sup", "inf": "inf", "lim": "lim",
+    "sqrt": "√", "frac": "/",
 }
 
 
+def replace_each(c: Column, pattern: str, f: Callable[[Column], Column]) -> Column:
+    """Each match of the pattern replaced by ``f`` of its first group."""
+    kept = F.transform(F.regexp_extract_all(c, F.lit(pattern), 1), f)
+    return F.array_join(F.flatten(F.zip_with(F.split(c, pattern), kept, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+
+
 def latex_to_unicode(c: Column) -> Column:
-    """Known commands outside words replaced; longer names first; lone dollars around the math dropped."""
-    out = c
-    for k in sorted(LATEX, key=len, reverse=True):
-        out = F.regexp_replace(out, re.escape(k) + r"(?![A-Za-z])", LATEX[k])
-    return F.regexp_replace(out, r"\$([^$\n]+)\$", "$1")
+    """Commands between dollars replaced and the dollars dropped; display math gets lines of its own. Unknown commands and text outside of math stay."""
+    table = F.create_map(*[F.lit(x) for kv in LATEX.items() for x in kv])
+    known = lambda name: F.coalesce(F.try_element_at(table, name), F.concat(F.lit("\\"), name))
+    alone = replace_each(c, r"\$\\([a-zA-Z]+)\$", known)
+    shown = let(alone, lambda s: F.regexp_replace(s, r"\$\$([^$]+)\$\$", "\n$1\n"))
+    return let(shown, lambda s: replace_each(s, r"\$([^$]+)\$", lambda inner: replace_each(inner, r"\\([a-zA-Z]+)", known)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -142,3 +143,58 @@ def long_source_sizes(budget: int = 204_800) -> Sizes:
     """Sizes for reading a long source in turn: about half the budget, within bounds."""
     target = int(min(max(0.55 * budget, 12_000), 60_000))
     return Sizes(target, target, 200, int(min(max(0.08 * target, 800), 3000)))
+
+
+#: What a source's progress must agree in to be taken up again.
+PARAMETERS = ["version", "sha256", "length", "budget", "target", "overlap", "total"]
+PROGRESS = "key string, version int, sha256 string, length bigint, budget bigint, target bigint, overlap bigint, total bigint, completed bigint, digest string, analyses array<string>, problem string"
+VERSION = 1
+
+
+def read_long_sources(sources: DataFrame, done: DataFrame, ask: Callable[[str, str, str], tuple[str, str]], budget: int = 204_800, steps: int | None = None) -> DataFrame:
+    """``PROGRESS``: every source of more than one chunk read in turn, each chunk with the digest of those before it.
+
+    sources: ``key string, text``; done: earlier progress, of which a source's furthest row that agrees in all PARAMETERS is
+    taken up, so that no chunk is asked for twice. ``ask`` is handed key, digest and chunk and gives the chunk's analysis and
+    the new digest; when it fails, the source keeps what it had, with the failure as its ``problem``, and can be taken up
+    again. ``steps``: chunks per source and call, for progress that is saved now and then; none means all.
+
+    A source's chunks depend on each other and are one task's rows; sources are independent. Sources of one chunk or none,
+    null keys and null texts have no row.
+    """
+    z = long_source_sizes(budget)
+    last = done.where(F.col("completed") >= 0).groupBy("key", *PARAMETERS).agg(F.max(F.struct("completed", "digest", "analyses")).alias("p"))
+    text = F.replace("text", F.lit("\r\n"), F.lit("\n"))
+    now = sources.where(F.col("key").isNotNull() & F.col("text").isNotNull()).groupBy("key").agg(F.max("text").alias("text")).select("key", text.alias("text"), F.sha2("text", 256).alias("sha256"))
+
+    def cut_up(batches):
+        for b in batches:
+            b["total"] = [len(chunk(t, z)) for t in b.text]
+            yield b[b.total > 1]
+
+    known = now.mapInPandas(cut_up, "key string, text string, sha256 string, total bigint").withColumn("length", F.length("text").cast("bigint"))
+    own = {"version": VERSION, "budget": budget, "target": z.target, "overlap": z.overlap}
+    known = known.select("*", *[F.lit(v).cast("int" if k == "version" else "bigint").alias(k) for k, v in own.items()])
+    todo = known.join(last, ["key", *PARAMETERS], "left").select("key", "text", *PARAMETERS, "p.completed", "p.digest", "p.analyses")
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                through = 0 if pd.isna(r.completed) else int(r.completed)
+                digest, said = (r.digest or "", list(r.analyses)) if through else ("", [])
+                problem = None
+                spans = chunk(r.text, z)
+                for i in range(through, min(len(spans), through + steps) if steps else len(spans)):
+                    lead = before(r.text, spans[i].start, z.overlap) if i else ""
+                    body = r.text[spans[i].start : spans[i].end]
+                    try:
+                        analysis, digest = ask(r.key, digest, f"{lead}\n{body}" if lead else body)
+                    except Exception as e:  # whatever a client raises is told of its source
+                        problem = f"{type(e).__name__}: {e}"
+                        break
+                    said.append(analysis)
+                rows.append((r.key, *(getattr(r, p) for p in PARAMETERS), len(said), digest, said, problem))
+            yield pd.DataFrame(rows, columns=["key", *PARAMETERS, "completed", "digest", "analyses", "problem"])
+
+    return todo.mapInPandas(run, PROGRESS)

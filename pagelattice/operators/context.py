@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelattice.functions.text import is_greeting
+
 #: The whole budget in characters and the shares of answer, index and pages; a page's share of the pages' and its least size.
 TOTAL, ANSWER, INDEX, PAGES, PAGE, PAGE_LEAST = 204_800, 0.15, 0.05, 0.5, 0.3, 5_000
 CUT = "\n\n[...truncated...]"
@@ -35,6 +37,25 @@ def pack(ranked: DataFrame, budget: int, most: int, per: str = "query_id") -> Da
     return lists.select(per, F.posexplode(kept).alias("n", "x")).select(per, (F.col("n") + 1).cast("bigint").alias("number"), "x.page_id", F.col("x.size").cast("bigint").alias("size"), "x.truncated")
 
 
+def assembled(queries: DataFrame, hits: DataFrame, related: DataFrame, pages: DataFrame, budget: int, most: int, top: int = 10) -> DataFrame:
+    """``query_id, number, page_id, part, size, truncated``: the numbered pages that a question is answered from.
+
+    queries: ``query_id, query``; one that is a mere greeting gets none. hits: ``query_id, page_id, place, title_match``, of
+    which the first ``top`` count; related: ``seed, id, relevance``; pages: ``page_id, content``. Pages whose title matches
+    come first, then the other hits, then pages related to a hit by their relevance to it; each page once, packed as in ``pack``.
+    """
+    asked = queries.where(~is_greeting(F.col("query"))).select("query_id")
+    h = hits.join(asked, "query_id", "left_semi").where(F.col("place") <= top)
+    found = h.select("query_id", "page_id", F.when(F.col("title_match"), 0).otherwise(1).alias("part"), F.col("place").cast("double").alias("turn"))
+    near = h.select("query_id", F.col("page_id").alias("seed")).join(related.select("seed", F.col("id").alias("page_id"), "relevance"), "seed")
+    near = near.select("query_id", "page_id", F.lit(2).alias("part"), (-F.col("relevance")).alias("turn"))
+    once = found.unionByName(near).groupBy("query_id", "page_id").agg(F.min(F.struct("part", "turn")).alias("o"))
+    known = once.join(pages.select("page_id", "content"), "page_id")
+    w = Window.partitionBy("query_id").orderBy("o.part", "o.turn", "page_id")
+    placed = known.withColumn("place", F.row_number().over(w))
+    return pack(placed.select("query_id", "place", "page_id", "content"), budget, most).join(once.select("query_id", "page_id", F.col("o.part").cast("bigint").alias("part")), ["query_id", "page_id"]).select("query_id", "number", "page_id", "part", "size", "truncated")
+
+
 def trim_index(text: Column, tokens: Column, budget: int) -> Column:
     """Section headings and lines that hold a token, as many from the top as the budget allows; a line that doesn't fit is skipped."""
     lines = F.filter(F.split(text, r"\r?\n"), lambda s: s.startswith("##") | F.exists(tokens, lambda t: F.lower(s).contains(t)))
@@ -62,11 +83,13 @@ def rollup(messages: DataFrame, per: str = "conv_id", order: str = "turn", text:
 def rate_limited(requests: DataFrame, limit: int = 120, seconds: float = 1.0, per: str = "client", at: str = "at") -> DataFrame:
     """Requests with ``recent``, the number of the client's requests in the window that ends with them, and ``allowed``.
 
-    The window is partitioned by client and day with the tail of the day before added, so a busy client is spread over days.
+    The window is partitioned by client and slot, a slot being a day or, if that is longer, the window's own length, and each
+    slot also has the tail of the slot before. So a busy client is spread over slots, and none misses a request.
     """
-    r = requests.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("_d", F.to_date(at))
     span = int(seconds * 1_000_000)
-    tail = r.where(F.to_date(F.col(at) + F.expr(f"INTERVAL {int(span)} MICROSECONDS")) > F.col("_d")).withColumn("_d", F.date_add("_d", 1)).withColumn("_copy", F.lit(True))
+    slot = max(span, 86_400_000_000)
+    r = requests.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("_d", F.floor(F.col("_t") / slot))
+    tail = r.where(F.floor((F.col("_t") + span) / slot) > F.col("_d")).withColumn("_d", F.col("_d") + 1).withColumn("_copy", F.lit(True))
     w = Window.partitionBy(per, "_d").orderBy("_t").rangeBetween(-span + 1, 0)
     both = r.withColumn("_copy", F.lit(False)).unionByName(tail).withColumn("recent", F.count(F.lit(1)).over(w))
     return both.where(~F.col("_copy")).withColumn("allowed", F.col("recent") <= limit).drop("_t", "_d", "_copy")

@@ -20,25 +20,42 @@ LOCKED = ("type", "title", "created")
 LEAST_SHARE = 0.7
 
 
-def merge_pages(old: Column, new: Column, merged_body: Column | None = None) -> Column:
-    """The page that results when ``new`` is written over ``old``: lists united, locked fields kept, the body merged.
+def merge_pages(old: Column, new: Column, merged_body: Column | None = None, today: Column | None = None) -> Column:
+    """The page that results when ``new`` is written over ``old``: the new page with the lists of both united.
 
-    Equal pages stay. merged_body is the body that a model proposed; it is refused when it is too short, and then the new
-    body stands. A page without frontmatter is replaced by the new one.
+    merged_body is the body that a model proposed for two pages whose bodies differ. It is refused when it is shorter than
+    LEAST_SHARE of the longer one; where it is taken, the locked fields are those of the old page and ``updated`` is ``today``.
+    Equal pages stay. A page without frontmatter is replaced by the new one. Only the block is rewritten, never a line of a body.
     """
-    body_old, body_new = M.body(old), M.body(new)
-    longer = F.greatest(F.length(body_old), F.length(body_new))
-    body = body_new if merged_body is None else F.when(F.length(merged_body) >= LEAST_SHARE * longer, merged_body).otherwise(body_new)
-    head = F.substring(new, F.lit(1), F.length(new) - F.length(body_new))
-    b_old, b_new = M.frontmatter_block(old, strict=True), M.frontmatter_block(new, strict=True)
-    page = F.concat(head, F.when(F.trim(body_old) == F.trim(body_new), body_old).otherwise(body))
-    for f in LISTS:
-        union = M.list_union(M.array_field(b_old, f), M.array_field(b_new, f))
-        page = let(page, _written(f, union))
-    for f in LOCKED:
-        v = M.scalar_field(b_old, f)
-        page = let(page, _locked(f, v))
-    return F.when(old.isNull(), new).when(new.isNull() | (old == new), old).when(b_old.isNull() | b_new.isNull(), new).otherwise(page)
+    strict = lambda c: M.frontmatter_block(c, strict=True)
+    none = F.lit(None).cast("string")
+    given = F.struct(
+        old.alias("old"), new.alias("new"), strict(old).alias("block_old"), strict(new).alias("block_new"), M.body(old).alias("body_old"), M.body(new).alias("body_new"),
+        (none if merged_body is None else merged_body).alias("merged"), (none if today is None else today).alias("today"),
+    )
+    # everything is bound once: a step of a fold would else be evaluated wherever it is named
+    return let(given, _merged)
+
+
+def _merged(g: Column) -> Column:
+    unions = F.struct(*[M.list_union(M.array_field(g.block_old, f), M.array_field(g.block_new, f)).alias(f) for f in LISTS])
+    locks = F.struct(*[M.scalar_field(g.block_old, f).alias(f) for f in LOCKED])
+    taken = (F.length(g.merged) >= LEAST_SHARE * F.greatest(F.length(g.body_old), F.length(g.body_new))) & (F.trim(g.body_old) != F.trim(g.body_new))
+
+    def written(u: Column) -> Column:
+        page = g.new
+        for f in LISTS:
+            page = let(page, _written(f, u[f]))
+        return page
+
+    def with_body(united: Column, v: Column) -> Column:
+        page = F.concat(F.substring(united, F.lit(1), F.length(united) - F.length(M.body(united))), g.merged)
+        for f in LOCKED:
+            page = let(page, _locked(f, v[f]))
+        return let(page, _locked("updated", g.today))
+
+    page = let(let(unions, written), lambda united: F.when(taken, let(locks, lambda v: with_body(united, v))).otherwise(united))
+    return F.when(g.old.isNull(), g.new).when(g.new.isNull() | (g.old == g.new), g.old).when(g.block_old.isNull() | g.block_new.isNull(), g.new).otherwise(page)
 
 
 def _written(field: str, union: Column) -> Callable[[Column], Column]:
@@ -116,19 +133,26 @@ def settled_reviews(reviews: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def batched_calls(rows: DataFrame, prompt: str, ask: Callable[[list[str]], list[str]], answer: str = "answer") -> DataFrame:
-    """``rows`` with a model's answer to the column ``prompt``. ``ask`` is handed the texts of an Arrow batch; None and failures give null."""
-    schema = T.StructType([*rows.schema.fields, T.StructField(answer, T.StringType())])
+    """``rows`` with a model's answer to the column ``prompt`` and, in ``<answer>_problem``, why there is none.
+
+    ``ask`` is handed the texts of an Arrow batch. A client that fails, or that gives fewer answers than it was asked for,
+    leaves its batch without answers but with the failure in the problem column, so that it can be asked again.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField(answer, T.StringType()), T.StructField(f"{answer}_problem", T.StringType())])
 
     def run(batches):
         for b in batches:
             out = b.copy()
             todo = b[prompt].notna()
             replies = pd.Series([None] * len(b), index=b.index, dtype=object)
+            problems = pd.Series(["no prompt"] * len(b), index=b.index, dtype=object)
             try:
                 replies[todo] = ask(b.loc[todo, prompt].tolist())
-            except Exception:  # a failing client leaves its batch without answers
-                pass
-            out[answer] = replies
+                problems[todo] = [None if r is not None else "no answer" for r in replies[todo]]
+            except Exception as e:  # whatever a client raises is told of its rows
+                replies[todo] = None
+                problems[todo] = f"{type(e).__name__}: {e}"
+            out[answer], out[f"{answer}_problem"] = replies, problems
             yield out
 
     return rows.mapInPandas(run, schema)

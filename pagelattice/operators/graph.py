@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelattice.functions import markdown as M
+from pagelattice.functions import text as T
 from pagelattice.functions.keys import page_key
-from pagelattice.session import shared_checkpoint
+from pagelattice.session import shared_checkpoint, shared_table
 
 #: Weights of a direct link, a shared source, a shared neighbour.
 DIRECT, SOURCE, NEIGHBOUR = 3.0, 4.0, 1.5
@@ -102,8 +105,7 @@ def adamic_adar(pairs: DataFrame, degree: DataFrame) -> DataFrame:
 
 
 def relevance(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``a, b, ways, shared, aa, weight`` of every linked pair. nodes: ``id, type, sources``."""
-    edges = shared_checkpoint(edges)
+    """``a, b, ways, shared, aa, weight`` of every linked pair. nodes: ``id, type, sources``. ``edges`` are read several times: hand in a table or checkpoint."""
     pairs = shared_checkpoint(undirected(edges))
     return _weighed(pairs, adamic_adar(pairs, degrees(edges)), nodes)
 
@@ -132,8 +134,8 @@ def relevance_of_all(edges: DataFrame, nodes: DataFrame, least: float = 0.0) ->
     Pairs that have none of these are scored by their types alone and left to ``related_pages``. A pair without link and
     source reaches ``least`` only by its neighbours. The most linked neighbours of a page that together can't lift any pair
     to ``least`` need not be met over: a pair that reaches it has its least linked shared neighbour among the others of both.
+    ``edges`` are read several times: hand in a table or checkpoint.
     """
-    edges = shared_checkpoint(edges)
     pairs = shared_checkpoint(undirected(edges))
     linked = pairs.select(F.col("a").alias("id"), F.col("b").alias("k")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("k")))
     count = linked.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
@@ -194,52 +196,83 @@ def _top(ends: DataFrame, n: int, least: float, unlike: DataFrame | None) -> Dat
     return c.withColumn("r", F.round("weight", 9)).withColumn("turn", F.row_number().over(w).cast("bigint")).where(F.col("turn") <= n).select("seed", "id", F.col("r").alias("relevance"), "turn")
 
 
-def louvain(weighted: DataFrame, rounds: int = 4, levels: int = 3, resolution: float = 1.0) -> DataFrame:
-    """``id, community``: communities by modularity gain, all moves of a round made at once.
+def louvain(weighted: DataFrame, resolution: float = 1.0, guard: int = 200) -> DataFrame:
+    """``id, community``: communities by modularity gain, all moves of a round made at once, until nothing gains any more.
 
     A node looks at the communities of its neighbours; the sums over them are one aggregate per round, so a hub is a group of
     partial sums, not of rows. In every round only one half of the nodes (by hash) may move, which keeps pairs from swapping
-    for ever. Levels work on the graph of the communities before. Communities are numbered by size, 0 the largest, ties by
-    their lowest id. Not deterministic in its grouping only across changes of the input; ids never depend on row order.
+    for ever. A level ends when two rounds in a row move nothing, or when PATIENCE rounds in a row have not raised the
+    modularity; its best labels stand. Levels follow, each on the graph of the communities before, until one moves nothing.
+    ``guard`` rounds in a level without an end are an error. Communities are numbered by size, 0 the largest, ties by their
+    lowest id. Not deterministic in its grouping only across changes of the input; ids never depend on row order.
     """
     e = weighted.select(F.col("a").cast("string").alias("u"), F.col("b").cast("string").alias("v"), F.col("weight").alias("w"))
-    e = shared_checkpoint(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
+    e = shared_table(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
     total = e.agg(F.sum("w")).first()[0]
     place = e.select(F.col("u").alias("id")).distinct().withColumn("c", F.col("id"))
     if not total:
         return place.select("id", F.lit(0).cast("bigint").alias("community"))
-    for level in range(levels):
-        strength = e.groupBy("u").agg(F.sum("w").alias("k"))
-        label = shared_checkpoint(strength.select("u", F.col("u").alias("c"), "k"))
-        moved_ever = False
-        for r in range(rounds):
-            mass = label.groupBy("c").agg(F.sum("k").alias("mass"))
-            to = e.where("u <> v").join(label.select(F.col("u").alias("v"), F.col("c").alias("t")), "v").groupBy("u", "t").agg(F.sum("w").alias("into"))
-            own = label.select("u", F.col("c").alias("t"), F.lit(0.0).alias("into"))
-            options = to.unionByName(own).groupBy("u", "t").agg(F.sum("into").alias("into")).join(label, "u").join(mass.withColumnRenamed("c", "t"), "t")
-            rest = F.col("mass") - F.when(F.col("t") == F.col("c"), F.col("k")).otherwise(0.0)
-            gain = F.col("into") - resolution * F.col("k") * rest / total
-            best = options.groupBy("u", "c", "k").agg(F.max_by("t", F.struct(F.round(gain, 9).alias("g"), (F.col("t") == F.col("c")).alias("stay"), F.col("t"))).alias("t"))
-            turn = F.pmod(F.xxhash64("u", F.lit(level)), F.lit(2)) == r % 2
-            new = shared_checkpoint(best.select("u", F.when(turn, F.col("t")).otherwise(F.col("c")).alias("c"), "k", (turn & (F.col("t") != F.col("c"))).alias("moved")))
-            moved = new.where("moved").limit(1).count()
-            label = new.select("u", "c", "k")
-            moved_ever |= bool(moved)
-            if not moved and r % 2:
-                break
-        place = shared_checkpoint(place.join(label.select(F.col("u").alias("c"), F.col("c").alias("n")), "c", "left").select("id", F.coalesce("n", "c").alias("c")))
-        if not moved_ever:
-            break
+    level = 0
+    while (label := _level(e, total, resolution, level, guard)) is not None:
+        place = shared_table(place.join(label.select(F.col("u").alias("c"), F.col("c").alias("n")), "c", "left").select("id", F.coalesce("n", "c").alias("c")))
         up = label.select("u", "c")
-        e = shared_checkpoint(e.join(up, "u").join(up.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").groupBy(F.col("c").alias("u"), F.col("d").alias("v")).agg(F.sum("w").alias("w")))
+        e = shared_table(e.join(up, "u").join(up.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").groupBy(F.col("c").alias("u"), F.col("d").alias("v")).agg(F.sum("w").alias("w")))
+        level += 1
     return renumber(place)
 
 
+#: Rounds without a gain after which a level of the community search ends.
+PATIENCE = 4
+
+
+def _level(e: DataFrame, total: float, resolution: float, level: int, guard: int) -> DataFrame | None:
+    """``u, c, k``: the best labels that the moves of one level lead to; None if no move gains anything."""
+    label = shared_table(e.groupBy("u").agg(F.sum("w").alias("k")).select("u", F.col("u").alias("c"), "k"))
+    best, best_q, stale, still, alone = label, None, 0, 0, True
+    for r in range(guard):
+        mass = label.groupBy("c").agg(F.sum("k").alias("mass"))
+        to = e.where("u <> v").join(label.select(F.col("u").alias("v"), F.col("c").alias("t")), "v").groupBy("u", "t").agg(F.sum("w").alias("into"))
+        own = label.select("u", F.col("c").alias("t"), F.lit(0.0).alias("into"))
+        options = to.unionByName(own).groupBy("u", "t").agg(F.sum("into").alias("into")).join(label, "u").join(mass.withColumnRenamed("c", "t"), "t")
+        here = F.col("t") == F.col("c")
+        rest = F.col("mass") - F.when(here, F.col("k")).otherwise(0.0)
+        gain = F.col("into") - resolution * F.col("k") * rest / total
+        chosen = options.groupBy("u", "c", "k").agg(
+            F.max_by("t", F.struct(F.round(gain, 9).alias("g"), here.alias("stay"), F.col("t"))).alias("t"),
+            F.max(F.when(here, F.col("into") - resolution * F.col("k") * F.col("mass") / total)).alias("q"),
+        )
+        turn = F.pmod(F.xxhash64("u", F.lit(level), F.lit(r // 2)), F.lit(2)) == r % 2
+        new = shared_table(chosen.select("u", F.when(turn, F.col("t")).otherwise(F.col("c")).alias("c"), "k", (turn & (F.col("t") != F.col("c"))).alias("moved"), "q"))
+        # q is the modularity of the labels before the moves, but for what lies within single nodes and never changes
+        seen = new.agg(F.sum(F.col("moved").cast("bigint")).alias("moved"), F.sum("q").alias("q")).first()
+        if best_q is None or seen.q > best_q + 1e-9 * total:
+            best, best_q, stale, alone = label, seen.q, 0, best_q is None
+        else:
+            stale += 1
+        still = 0 if seen.moved else still + 1
+        if still == 2 or stale == PATIENCE:
+            return None if alone else best
+        label = new.select("u", "c", "k")
+    raise RuntimeError(f"communities still move after {guard} rounds")
+
+
+def numbered(df: DataFrame, by: list[Column], name: str) -> DataFrame:
+    """``df`` with its rows numbered from 0 in an order, without one task for all: sorted by ranges, counted per range, numbered within."""
+    held = shared_checkpoint(df.orderBy(*by).withColumn("_range", F.spark_partition_id()))
+    counts = sorted((r["_range"], r["count"]) for r in held.groupBy("_range").count().collect())
+    before, start = [], 0
+    for at, n in counts:
+        before.append((at, start))
+        start += n
+    offsets = df.sparkSession.createDataFrame(before, "_range int, _before bigint")
+    w = Window.partitionBy("_range").orderBy(*by)
+    return held.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.row_number().over(w) - 1).drop("_range", "_before")
+
+
 def renumber(place: DataFrame) -> DataFrame:
-    """Communities as numbers by descending size. The window runs over one row per community."""
+    """Communities as numbers by descending size, ties by their lowest id."""
     sizes = place.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    numbered = sizes.withColumn("community", F.row_number().over(Window.orderBy(F.desc("n"), "first")).cast("bigint") - 1)
-    return place.join(numbered.select("c", "community"), "c").select("id", "community")
+    return place.join(numbered(sizes, [F.desc("n"), F.col("first")], "community").select("c", "community"), "c").select("id", "community")
 
 
 def modularity(weighted: DataFrame, communities: DataFrame) -> DataFrame:
@@ -298,6 +331,42 @@ def knowledge_gaps(pairs: DataFrame, nodes: DataFrame, communities: DataFrame, c
     return alone.unionByName(sparse).unionByName(bridges)
 
 
+def gap_report(gaps: DataFrame, nodes: DataFrame, stats: DataFrame, limit: int = 8, bridges: int = 3, names: int = 5) -> DataFrame:
+    """``turn, kind, title, n, names``: the gaps as a report of ``limit`` rows at most, which is the feature.
+
+    One row stands for all isolated pages and names the first of them; sparse communities follow in order of their numbers
+    under their most linked page; then the ``bridges`` pages that join most communities. Ties go to the lower id.
+    """
+    alone = gaps.where("kind = 'isolated'")
+    few = alone.join(nodes.select(F.col("id").alias("key"), "label"), "key").orderBy("key").limit(names)
+    few = few.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "label"))), lambda x: x.label), ", ").alias("names"))
+    one = alone.agg(F.count(F.lit(1)).alias("n")).where("n > 0").crossJoin(few).select(F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("a"), F.lit("").alias("b"), F.lit("isolated").alias("kind"), F.concat(F.col("n").cast("string"), F.lit(" isolated pages")).alias("title"), "n", "names")
+    sparse = gaps.where("kind = 'sparse'").join(stats.select(F.col("community").cast("string").alias("key"), "top_nodes"), "key")
+    sparse = sparse.select(F.lit(1).alias("part"), F.col("key").try_cast("bigint").alias("a"), F.col("key").alias("b"), "kind", F.substring_index("top_nodes", "|", 1).alias("title"), "n", F.replace("top_nodes", F.lit("|"), F.lit(", ")).alias("names"))
+    most = gaps.where("kind = 'bridge' AND NOT lower(key) IN ('index', 'log', 'overview')").orderBy(F.desc("n"), "key").limit(bridges).join(nodes.select(F.col("id").alias("key"), "label"), "key")
+    most = most.select(F.lit(2).alias("part"), (-F.col("n")).alias("a"), F.col("key").alias("b"), "kind", F.col("label").alias("title"), "n", F.col("key").alias("names"))
+    order = ["part", "a", "b"]
+    top = one.unionByName(sparse).unionByName(most).orderBy(*order).limit(limit)
+    return top.withColumn("turn", F.row_number().over(Window.orderBy(*order)).cast("bigint")).select("turn", "kind", "title", "n", "names")
+
+
+def raw_sources(images: DataFrame, files: DataFrame) -> DataFrame:
+    """``url, path``: the raw source that an image was taken from; null if its folder names none. images: ``url``; files: ``path``.
+
+    An image lies in media/<slug>/, the slug being that of the source's summary or, from older imports, the file's bare stem;
+    of several files the lowest path wins. Both are equi-joins on the slug.
+    """
+    slug = F.regexp_extract(F.replace("url", F.lit("\\"), F.lit("/")), r"(?:^|/)media/([^/]+)/", 1)
+
+    @F.pandas_udf("string")
+    def summary(paths: pd.Series) -> pd.Series:
+        return paths.map(T.summary_slug)
+
+    known = files.where("path IS NOT NULL").select("path", summary(T.source_identity(F.col("path"))).alias("a"), M.file_stem(F.col("path")).alias("b"))
+    by = known.select("path", F.explode(F.array_distinct(F.array("a", "b"))).alias("slug")).groupBy("slug").agg(F.min("path").alias("path"))
+    return images.select("url", slug.alias("slug")).join(by, "slug", "left").select("url", "path")
+
+
 def is_structural(id_: Column, path: Column) -> Column:
     return F.lower(id_).isin(STRUCTURAL) | F.coalesce(path, F.lit("")).rlike(r"(?i)(?:^|/)(?:index|overview|log|schema|purpose)\.md$")
 

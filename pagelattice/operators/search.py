@@ -7,10 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelattice.functions import text as T
+from pagelattice.session import shared_checkpoint
 
 #: Points for the phrase as file name, in the title, in the text (each time, so many times at most), and for a token in the title and in the text.
 EXACT, IN_TITLE, IN_TEXT, MOST, TITLE_TOKEN, TEXT_TOKEN = 200, 50, 20, 10, 5, 1
@@ -70,8 +72,21 @@ def ranked(scores: DataFrame, by: Column, tie: str, name: str, top: int | None =
     return out if top is None else out.where(F.col(name) <= top)
 
 
-def token_ranks(scores: DataFrame) -> DataFrame:
-    return ranked(scores, F.desc("score"), "page_id", "token_rank")
+def token_ranks(scores: DataFrame, k: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """``scores`` with their ranks per query. With ``k`` and ``wanted`` (``query_id, page_id``, a few of each query) only the first ``k`` and the wanted ones.
+
+    A wanted page's rank is one more than the number of pages before it, a sum; so no query's hits are ordered in one task.
+    """
+    if k is None or wanted is None:
+        return ranked(scores, F.desc("score"), "page_id", "token_rank")
+    scores = shared_checkpoint(scores)
+    first = ranked(scores, F.desc("score"), "page_id", "token_rank", k)
+    own = scores.join(wanted.select("query_id", "page_id").distinct(), ["query_id", "page_id"])
+    mine = own.select("query_id", F.col("page_id").alias("_p"), F.col("score").alias("_s"))
+    ahead = (F.col("score") > F.col("_s")) | ((F.col("score") == F.col("_s")) & (F.col("page_id") < F.col("_p")))
+    places = scores.select("query_id", "page_id", "score").join(mine, "query_id").groupBy("query_id", F.col("_p").alias("page_id")).agg((F.sum(ahead.cast("bigint")) + 1).alias("token_rank"))
+    rest = own.join(places.where(F.col("token_rank") > k), ["query_id", "page_id"]).select(*first.columns)
+    return first.unionByName(rest)
 
 
 def over_fetch(k: int) -> tuple[int, int]:
@@ -87,29 +102,34 @@ def vector_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     length than the queries or with non-finite values are left out; ties go to the lower chunk key.
     """
     usable = lambda d: d.where(F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    rows = chunks.select("chunk_key", "page_id", "chunk_index", "vector")
+    rows = chunks.select("chunk_key", "page_id", "chunk_index", F.col("vector").cast("array<double>").alias("vector"))
     key_t, page_t, q_t = (dict(chunks.dtypes)["chunk_key"], dict(chunks.dtypes)["page_id"], dict(queries.dtypes)["query_id"])
 
-    def over(ids, m):
+    def over(held):
+        # one broadcast a block: the driver holds one block at a time
+        block = chunks.sparkSession.sparkContext.broadcast(([x[0] for x in held], np.array([x[1] for x in held], dtype=np.float64).reshape(len(held), -1 if held else 1)))
+
         def run(batches):
+            ids, m = block.value
             for b in batches:
-                keep = [i for i, v in enumerate(b.column(3).to_pylist()) if len(v) == m.shape[1]]
-                if not keep:
+                v = b.column(3)
+                b = b.filter(pc.equal(pc.list_value_length(v), m.shape[1]))
+                if not len(b):
                     continue
-                b = b.take(pa.array(keep))
-                x = np.stack(b.column(3).to_pylist()).astype(np.float64)
+                x = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, m.shape[1])
                 keys = np.argsort(np.argsort(np.array(b.column(0).to_pylist()), kind="stable"), kind="stable")
-                dist = np.maximum((m * m).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * m @ x.T, 0)
-                w = min(k, len(keep))
+                w = min(k, len(b))
+                square = (x * x).sum(1)[None, :]
                 for q in range(0, len(m), 256):
-                    d = dist[q : q + 256]
+                    part = m[q : q + 256]
+                    d = np.maximum((part * part).sum(1)[:, None] + square - 2 * part @ x.T, 0)
                     cut = np.partition(d, w - 1, axis=1)[:, w - 1 : w]
                     r, c = np.nonzero(d <= cut + 1e-12)
                     order = np.lexsort((keys[c], d[r, c], r))
                     r, c = r[order], c[order]
                     place = np.arange(len(r)) - np.searchsorted(r, r)
                     r, c = r[place < w], c[place < w]
-                    exact = ((m[q + r] - x[c]) ** 2).sum(1)
+                    exact = ((part[r] - x[c]) ** 2).sum(1)
                     at = pa.array(c)
                     yield pa.RecordBatch.from_arrays([pa.array([ids[q + i] for i in r]), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at).cast(pa.int64()), pa.array(exact)],
                                                      names=["query_id", "chunk_key", "page_id", "chunk_index", "distance"])
@@ -120,10 +140,10 @@ def vector_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     for r in usable(queries).select("query_id", "vector").toLocalIterator():
         held.append(r)
         if len(held) == BLOCK:
-            parts.append(over([x[0] for x in held], np.array([x[1] for x in held], dtype=np.float64)))
+            parts.append(over(held))
             held = []
     if held or not parts:
-        parts.append(over([x[0] for x in held], np.array([x[1] for x in held], dtype=np.float64).reshape(len(held), -1 if held else 1)))
+        parts.append(over(held))
     found = reduce(DataFrame.unionByName, parts)
     return ranked(found, F.col("distance"), "chunk_key", "hit_rank", k)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagelattice.functions import markdown as M
 from pagelattice.operators import graph as G
 from pagelattice.operators import lint as L
 from pagelattice.plans.references import sql_page_key
@@ -105,6 +106,18 @@ def louvain_knowledge_gaps(spark, d):
     return G.knowledge_gaps(pairs, nodes, c, counts)
 
 
+def louvain_gap_report(spark, d):
+    """The report of the gaps: isolated pages as one row, sparse communities, the foremost bridges, eight rows at most."""
+    nodes, _, pairs, counts, c = _found(spark, d)
+    return G.gap_report(G.knowledge_gaps(pairs, nodes, c, counts), nodes, G.community_stats(pairs, c, nodes, counts))
+
+
+def gap_report(spark, d):
+    """A check of the report against SQL, with a page's first letter as its community."""
+    nodes, _, pairs, counts, c = _graph(spark, d)
+    return G.gap_report(G.knowledge_gaps(pairs, nodes, c, counts), nodes, G.community_stats(pairs, c, nodes, counts))
+
+
 def surprising_links(spark, d):
     """A check of the rules alone against SQL, with a page's first letter as its community; see louvain_surprising_links for the real chain."""
     nodes, edges, _, counts, c = _graph(spark, d)
@@ -135,9 +148,20 @@ def graph_text_search(spark, d):
 
 
 def graph_api(spark, d):
+    """Nodes and edges as the interface gives them: entities with an a in their id or label, and the links among them."""
     nodes, _, pairs, _, _ = _graph(spark, d)
-    n, _ = G.api_graph(nodes, pairs, q="a", node_type="entity")
-    return n.select("id", "label", "type")
+    n, edges = G.api_graph(nodes, pairs, q="a", node_type="entity")
+    none = F.lit(None).cast("string")
+    return n.select(F.lit("node").alias("part"), "id", "label", "type", none.alias("target")).unionByName(edges.select(F.lit("edge").alias("part"), F.col("a").alias("id"), none.alias("label"), none.alias("type"), F.col("b").alias("target")))
+
+
+def image_sources(spark, d):
+    """Raw sources of images: every file's summary folder and its bare stem as images' folders, and an unknown one."""
+    files = table(spark, d, "source_files").select(F.concat(F.lit("raw/sources/"), "source_key").alias("path")).distinct()
+    stem = F.regexp_replace(M.file_stem(F.col("path")), "[?#]", "")
+    urls = files.select(F.concat(F.lit("media/"), stem, F.lit("/img-1.png")).alias("url")).unionByName(files.select(F.concat(F.lit("C:\\wiki\\media\\"), stem, F.lit("\\img-2.png")).alias("url")))
+    odd = spark.createDataFrame([("media/no-such-source/img-1.png",), ("pictures/a.png",), (None,)], "url string")
+    return G.raw_sources(urls.unionByName(odd), files).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("first_url"))
 
 
 def lint_findings(spark, d):
@@ -170,7 +194,14 @@ _E = f"""{_N},
  p AS (SELECT least(src, dst) a, greatest(src, dst) b, CAST(sum(times) AS BIGINT) times, count(*) ways FROM e GROUP BY 1, 2),
  d AS (SELECT id, CAST(sum(o) AS BIGINT) n_out, CAST(sum(i) AS BIGINT) n_in, count(*) degree FROM (SELECT src id, 1 o, 0 i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY 1),
  lc AS (SELECT id, CAST(sum(times) AS BIGINT) link_count FROM (SELECT a id, times FROM p UNION ALL SELECT b, times FROM p) GROUP BY 1)"""
-_AFF = "CASE " + " ".join(f"WHEN x.type = '{a}' AND y.type = '{b}' THEN {G.AFFINITY[i][j]}::DOUBLE" for i, a in enumerate(G.TYPES) for j, b in enumerate(G.TYPES)) + " ELSE 0.5::DOUBLE END"
+# fixed values, written out so that the SQL does not depend on the engine's tables
+_AFF = """coalesce((SELECT v FROM (VALUES
+   ('entity', 'entity', 0.8::DOUBLE), ('entity', 'concept', 1.2), ('entity', 'source', 1.0), ('entity', 'query', 0.8), ('entity', 'synthesis', 1.0),
+   ('concept', 'entity', 1.2), ('concept', 'concept', 0.8), ('concept', 'source', 1.0), ('concept', 'query', 1.0), ('concept', 'synthesis', 1.2),
+   ('source', 'entity', 1.0), ('source', 'concept', 1.0), ('source', 'source', 0.5), ('source', 'query', 0.8), ('source', 'synthesis', 1.0),
+   ('query', 'entity', 0.8), ('query', 'concept', 1.0), ('query', 'source', 0.8), ('query', 'query', 0.5), ('query', 'synthesis', 1.0),
+   ('synthesis', 'entity', 1.0), ('synthesis', 'concept', 1.2), ('synthesis', 'source', 1.0), ('synthesis', 'query', 1.0), ('synthesis', 'synthesis', 0.8)) f(s, t, v)
+   WHERE f.s = x.type AND f.t = y.type), 0.5::DOUBLE)"""
 _W = f"""{_E},
  u AS (SELECT a x, b y FROM p UNION ALL SELECT b, a FROM p),
  aa AS (SELECT p.a, p.b, sum(1 / ln(greatest(d.degree, 2))) aa FROM p JOIN u u1 ON u1.x = p.a JOIN u u2 ON u2.x = p.b AND u2.y = u1.y JOIN d ON d.id = u1.y GROUP BY 1, 2),
@@ -186,13 +217,13 @@ _HID = """CASE WHEN type = 'query' THEN 'type' WHEN lower(id) IN ('index', 'over
 
 
 def queries():
-    fs = (link_resolution, page_degrees, linked_pairs, link_counts_all, link_counts_once, pair_relevance, related_pages, communities, initial_cohesion, surprising_links, knowledge_gaps, louvain_surprising_links, louvain_knowledge_gaps,
+    fs = (link_resolution, page_degrees, linked_pairs, link_counts_all, link_counts_once, pair_relevance, related_pages, communities, initial_cohesion, surprising_links, knowledge_gaps, louvain_surprising_links, louvain_knowledge_gaps, louvain_gap_report, gap_report, image_sources,
           graph_filters, graph_induced, graph_text_search, graph_api, lint_findings, missing_pages, type_counts)
     return {f.__name__: f for f in fs}
 
 
 def oracle_sql():
-    far = " OR ".join(f"(ta = '{a}' AND tb = '{b}') OR (ta = '{b}' AND tb = '{a}')" for a, b in G.DISTANT)
+    far = "(ta, tb) IN (('source', 'concept'), ('concept', 'source'), ('source', 'synthesis'), ('synthesis', 'source'), ('query', 'entity'), ('entity', 'query'))"
     pages = "pages AS (SELECT id FROM n UNION SELECT page_id FROM structural_pages)"
     return {
         "link_resolution": f"WITH {_E} SELECT * FROM e",
@@ -201,7 +232,10 @@ def oracle_sql():
         "link_counts_all": f"WITH {_E} SELECT * FROM lc",
         "link_counts_once": f"WITH {_E} SELECT id, count(*) link_count FROM (SELECT a id FROM p UNION ALL SELECT b FROM p) GROUP BY 1",
         "pair_relevance": f"WITH {_W} SELECT a, b, ways, shared, round(aa, 6) aa, round(weight, 6) weight FROM w",
-        "related_pages": f"""WITH {_W}, s AS (SELECT a seed, b id, round(weight, 9) rel FROM w UNION ALL SELECT b, a, round(weight, 9) FROM w)
+        "related_pages": f"""WITH {_E}, u AS (SELECT a x, b y, ways FROM p UNION ALL SELECT b, a, ways FROM p),
+            aa AS (SELECT u1.x a, u2.x b, sum(1 / ln(greatest(d.degree, 2))) aa FROM u u1 JOIN u u2 ON u1.y = u2.y AND u1.x <> u2.x JOIN d ON d.id = u1.y GROUP BY 1, 2),
+            s AS (SELECT x.id seed, y.id id, round(coalesce(u.ways, 0) * 3.0 + len(list_intersect(list_filter(coalesce(x.sources, []), lambda s: s IS NOT NULL AND s <> ''), coalesce(y.sources, []))) * 4.0
+              + coalesce(aa.aa, 0) * 1.5 + {_AFF}, 9) rel FROM n x JOIN n y ON x.id <> y.id LEFT JOIN u ON u.x = x.id AND u.y = y.id LEFT JOIN aa ON aa.a = x.id AND aa.b = y.id)
             SELECT seed, id, round(rel, 6) relevance, row_number() OVER (PARTITION BY seed ORDER BY rel DESC, id) turn FROM s WHERE rel >= 2 QUALIFY turn <= 3""",
         "initial_cohesion": f"""WITH {_E}, {_COH}, top AS (SELECT c.community, n.label, row_number() OVER (PARTITION BY c.community ORDER BY coalesce(link_count, 0) DESC, id) r FROM c JOIN n USING (id) LEFT JOIN lc USING (id) QUALIFY r <= 5)
             SELECT community, n_nodes, round(cohesion, 6) cohesion, (SELECT string_agg(top.label, '|' ORDER BY r) FROM top WHERE top.community = st.community) top_nodes FROM st""",
@@ -219,7 +253,22 @@ def oracle_sql():
         "graph_induced": f"WITH {_E}, v AS (SELECT id FROM n LEFT JOIN lc USING (id) WHERE {_HID} = 'shown') SELECT a, b FROM p WHERE a IN (SELECT id FROM v) AND b IN (SELECT id FROM v)",
         "graph_text_search": f"""WITH {_E}, v AS (SELECT id FROM n WHERE contains(lower(label || ' ' || id || ' ' || type || ' ' || path), 'wiki') AND contains(lower(label || ' ' || id || ' ' || type || ' ' || path), 'concept'))
             SELECT a, b FROM p WHERE a IN (SELECT id FROM v) AND b IN (SELECT id FROM v)""",
-        "graph_api": f"WITH {_N} SELECT id, label, type FROM n WHERE type = 'entity' AND (contains(lower(id), 'a') OR contains(lower(label), 'a')) ORDER BY id LIMIT 200",
+        "graph_api": f"""WITH {_E}, v AS (SELECT id, label, type FROM n WHERE type = 'entity' AND (contains(lower(id), 'a') OR contains(lower(label), 'a')) ORDER BY id LIMIT 200)
+            SELECT 'node' AS part, id, label, type, NULL AS target FROM v UNION ALL SELECT 'edge', a, NULL, NULL, b FROM p WHERE a IN (SELECT id FROM v) AND b IN (SELECT id FROM v)""",
+        "gap_report": f"""WITH {_E}, {_COH}, o AS (SELECT a id, substr(b, 1, 1) c FROM p UNION SELECT b, substr(a, 1, 1) FROM p),
+            iso AS (SELECT id, label FROM n LEFT JOIN lc USING (id) WHERE coalesce(link_count, 0) <= 1 AND lower(id) NOT IN ('index', 'overview', 'log')),
+            top AS (SELECT c.community, n.label, row_number() OVER (PARTITION BY c.community ORDER BY coalesce(link_count, 0) DESC, id) r FROM c JOIN n USING (id) LEFT JOIN lc USING (id) QUALIFY r <= 5),
+            g AS (SELECT 0 part, 0::BIGINT a, '' b, 'isolated' kind, count(*) || ' isolated pages' title, count(*) n, (SELECT string_agg(label, ', ' ORDER BY id) FROM (SELECT * FROM iso ORDER BY id LIMIT 5)) AS names FROM iso HAVING count(*) > 0
+              UNION ALL SELECT 1, try_cast(st.community AS BIGINT), st.community, 'sparse', (SELECT top.label FROM top WHERE top.community = st.community AND r = 1), n_nodes, (SELECT string_agg(top.label, ', ' ORDER BY r) FROM top WHERE top.community = st.community)
+                FROM st WHERE cohesion < 0.15 AND n_nodes >= 3
+              UNION ALL SELECT * FROM (SELECT 2, -count(*), id, 'bridge', any_value(label), count(*), id FROM o JOIN n USING (id) WHERE lower(id) NOT IN ('index', 'log', 'overview') GROUP BY id HAVING count(*) >= 3 ORDER BY count(*) DESC, id LIMIT 3))
+            SELECT row_number() OVER (ORDER BY part, a NULLS FIRST, b) turn, kind, title, n, names FROM g QUALIFY turn <= 8""",
+        "image_sources": r"""WITH f AS (SELECT DISTINCT 'raw/sources/' || source_key path FROM source_files),
+            k AS (SELECT path, regexp_replace(regexp_replace(regexp_replace(path, '^.*[/\\]', ''), '(.)\.[^.]*$', '\1'), '[?#]', '', 'g') s FROM f),
+            u AS (SELECT 'media/' || s || '/img-1.png' url, s FROM k UNION ALL SELECT 'C:\wiki\media\' || s || '\img-2.png', s FROM k),
+            lo AS (SELECT s, min(path) path FROM k GROUP BY 1)
+            SELECT path, count(*) n, min(url) first_url FROM u LEFT JOIN lo USING (s) GROUP BY 1
+            UNION ALL SELECT NULL, 3, 'media/no-such-source/img-1.png'""",
         "lint_findings": f"""WITH {_N}, {pages}, k AS (SELECT src, target, {_K('target')} k, {_K('src')} sk FROM l WHERE {_K('src')} NOT IN ('index', 'log')), pk AS (SELECT id, {_K('id')} k FROM pages)
             SELECT 'orphan' kind, id page, NULL target, 1 n FROM pk WHERE k NOT IN ('index', 'log') AND k NOT IN (SELECT k FROM k WHERE k <> sk)
             UNION ALL SELECT 'broken-link', src, target, count(*) FROM k WHERE k NOT IN (SELECT k FROM pk) GROUP BY src, target

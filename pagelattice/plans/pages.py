@@ -149,9 +149,17 @@ def queries():
 def oracle_sql():
     link = r"\[\[([^\]|]+)(?:\|([^\]]+))?\]\]"
     n = lambda s: f"CAST(sum(length(text) - length(regexp_replace(text, '{language.script_class(s)}', '', 'g'))) AS BIGINT) {s.lower()}"
-    stop = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+    # fixed values, written out so that the SQL does not depend on the engine's tables
+    stop = """'的', '是', '了', '什么', '在', '有', '和', '与', '对', '从', 'the', 'is', 'a', 'an', 'what', 'how', 'are', 'was', 'were', 'do', 'does', 'did', 'be', 'been',
+        'being', 'have', 'has', 'had', 'it', 'its', 'in', 'on', 'at', 'to', 'for', 'of', 'with', 'by', 'this', 'that', 'these', 'those'"""
     cut = text._CUT.replace("'", "''")
-    cats = " ".join("WHEN ext IN (" + ", ".join(f"'{e}'" for e in v.split()) + f") THEN '{k}'" for k, v in reversed(text.CATEGORIES.items()))
+    cats = """WHEN ext IN ('md', 'mdx') THEN 'markdown' WHEN ext IN ('txt', 'rtf', 'log') THEN 'text' WHEN ext = 'pdf' THEN 'pdf'
+        WHEN ext IN ('png', 'jpg', 'jpeg', 'gif', 'webp', 'bmp', 'ico', 'tiff', 'tif', 'avif', 'heic', 'heif') THEN 'image'
+        WHEN ext IN ('mp4', 'webm', 'mov', 'avi', 'mkv', 'flv', 'wmv', 'm4v') THEN 'video' WHEN ext IN ('mp3', 'wav', 'ogg', 'flac', 'aac', 'm4a', 'wma') THEN 'audio'
+        WHEN ext IN ('doc', 'docx', 'xls', 'xlsx', 'ppt', 'pptx', 'odt', 'ods', 'odp', 'pages', 'numbers', 'key', 'epub') THEN 'document'
+        WHEN ext IN ('json', 'jsonl', 'csv', 'tsv', 'yaml', 'yml', 'ndjson') THEN 'data'
+        WHEN ext IN ('js', 'jsx', 'ts', 'tsx', 'py', 'rs', 'go', 'java', 'c', 'cpp', 'h', 'hpp', 'rb', 'php', 'swift', 'kt', 'scala', 'sh', 'bash', 'zsh', 'sql', 'r', 'lua', 'css',
+          'scss', 'less', 'html', 'htm', 'xml', 'svg', 'vue', 'svelte', 'toml', 'ini', 'cfg', 'conf', 'dockerfile', 'makefile') THEN 'code'"""
     return {
         "frontmatter_fields": rf"""WITH x AS (SELECT doc_id, {_BLOCK} b, length({_BODY}) body_chars FROM documents),
             y AS (SELECT *, regexp_extract(b, '(?m)^tags:[ \t]*\[([^\r\n]*)\]', 1) l FROM x)

@@ -52,10 +52,9 @@ def vector_page_scores(spark, d):
 def _fused(spark, d):
     """The keyword queries beside vectors: query n has the vector with id 50 n."""
     pages = _pages(spark, d)
-    tokens = S.token_ranks(S.keyword_scores(pages, _asked(spark)))
     asked = _vectors(spark, d).where("query_id <= 250").withColumn("query_id", (F.col("query_id") / 50).cast("bigint"))
     vectors = S.vector_ranks(S.page_scores(S.vector_hits(_chunks(spark, d), asked, S.over_fetch(20)[1])), S.over_fetch(20)[0])
-    return tokens, vectors, pages
+    return S.token_ranks(S.keyword_scores(pages, _asked(spark)), 20, vectors), vectors, pages
 
 
 def hybrid_search(spark, d):

@@ -11,11 +11,12 @@ from pagelattice.operators import changes as C
 from pagelattice.operators import chunks as H
 from pagelattice.operators import context as X
 from pagelattice.operators import curation as U
+from pagelattice.operators import graph as G
 from pagelattice.operators import search as S
 from pagelattice.plans.graph import _N, _nodes
 from pagelattice.plans.references import sql_file_key, sql_page_key
 from pagelattice.plans.search import _SCORED, _asked, _pages
-from pagelattice.session import table
+from pagelattice.session import shared_checkpoint, table
 
 THEN, NOW = "2024-07-01 00:00:00", "2025-03-01 00:00:00"
 
@@ -69,6 +70,17 @@ def packed_context(spark, d):
     return X.pack(ranked.join(_pages(spark, d).select("page_id", "content"), "page_id"), 1500, 400)
 
 
+def answer_context(spark, d):
+    """The pages that each question is answered from: hits, pages related to them in the link graph, numbered within the budget."""
+    pages = _pages(spark, d)
+    asked = _asked(spark).unionByName(spark.createDataFrame([(8, "Hello there!"), (9, "你好呀")], "query_id bigint, query string"))
+    hits = S.ranked(S.keyword_scores(pages, asked), F.desc("score"), "page_id", "place", 10)
+    nodes = _nodes(spark, d)
+    edges = shared_checkpoint(G.resolve_links(nodes.select(F.col("id").alias("src"), F.explode("links").alias("target")), nodes))
+    near = G.related(G.relevance(edges, nodes), hits.select(F.col("page_id").alias("seed")), 3, 2.0)
+    return X.assembled(asked, hits, near, pages, 4000, 400)
+
+
 def trimmed_pages(spark, d):
     """Every document trimmed to headings and lines on the oven or the map."""
     docs = table(spark, d, "documents").where("text IS NOT NULL")
@@ -92,19 +104,29 @@ def rate_limit(spark, d):
 
 
 def merged_pages(spark, d):
-    """All members of each merge request that have content, written over each other in their order: the tags, sources, related pages and title that result."""
+    """All members of each merge request that have content, written over each other in their order: the page that results, by its hash, and what its block holds."""
     return read_merged(table(spark, d, "merge_members"))
 
 
-def read_merged(members):
-    """``request_id, title, type, tags, sources, related``. A request with one member with content is that member; one with none gives no row; a null number comes last."""
+TODAY = "2025-06-01"
+
+
+def joined_pages(members):
+    """``request_id, page``: the members folded in order of their numbers, bodies joined where they differ. A request with one member with content is that member; one with none gives no row; a null number comes last."""
     m = members.where("content IS NOT NULL AND request_id IS NOT NULL").groupBy("request_id", "member_no").agg(F.max("content").alias("content"))
     turn = F.struct(F.col("member_no").isNull().alias("late"), "member_no", "content")
     m = m.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["content"]).alias("pages"))
-    merged = F.aggregate(F.slice("pages", F.lit(2), F.size("pages")), F.element_at("pages", 1), lambda old, new: U.merge_pages(old, new))
+    both = lambda old, new: F.concat(F.regexp_replace(M.body(old), r"\s+\z", ""), F.lit("\n\n"), F.regexp_replace(M.body(new), r"\A\s+", ""))
+    step = lambda old, new: U.merge_pages(old, new, both(old, new), F.lit(TODAY))
+    return m.select("request_id", F.aggregate(F.slice("pages", F.lit(2), F.size("pages")), F.element_at("pages", 1), step).alias("page"))
+
+
+def read_merged(members):
+    """``request_id, md5, title, type, updated, tags, sources, related`` of ``joined_pages``."""
     listed = lambda b, f: F.array_join(M.array_field(b, f), "|").alias(f)
-    fields = lambda b: F.struct(M.scalar_field(b, "title").alias("title"), M.scalar_field(b, "type").alias("type"), *[listed(b, f) for f in U.LISTS])
-    return m.select("request_id", let(merged, lambda p: let(M.frontmatter_block(p, strict=True), fields)).alias("r")).select("request_id", "r.*")
+    scalar = lambda b, f: M.scalar_field(b, f).alias(f)
+    fields = lambda b: F.struct(*[scalar(b, f) for f in ("title", "type", "updated")], *[listed(b, f) for f in U.LISTS])
+    return joined_pages(members).select("request_id", F.md5("page").alias("md5"), let(M.frontmatter_block(F.col("page"), strict=True), fields).alias("r")).select("request_id", "md5", "r.*")
 
 
 def deleted_sources(spark, d):
@@ -160,7 +182,7 @@ def duplicate_groups(spark, d):
 
 
 def queries():
-    fs = (chunked_documents, chunk_coverage, snapshot_diff, coalesced_changes, cached_documents, packed_context, trimmed_pages, last_events, user_rollup, rate_limit, merged_pages,
+    fs = (chunked_documents, chunk_coverage, snapshot_diff, coalesced_changes, cached_documents, packed_context, answer_context, trimmed_pages, last_events, user_rollup, rate_limit, merged_pages,
           deleted_sources, dead_references, rewritten_references, merged_reviews, settled_reviews, linked_terms, duplicate_groups)
     return {f.__name__: f for f in fs}
 

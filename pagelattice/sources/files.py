@@ -5,7 +5,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -14,14 +15,55 @@ from pyspark.sql import functions as F
 
 from pagelattice.functions import text as T
 
-#: What is watched by default: extensions taken and refused, folders and patterns refused, size in MB.
-INCLUDE = "md mdx txt pdf doc docx pptx xls xlsx odt odp ods rtf html htm csv".split()
-EXCLUDE = "tmp temp bak swp part partial crdownload exe dll so dylib bin iso dmg".split()
-FOLDERS = ".git .svn .hg .obsidian .idea .vscode node_modules .cache __pycache__".split()
+#: What is watched by default: extensions taken and refused, folders and patterns refused, size in MB and its bounds.
+INCLUDE = ["md", "mdx", "txt", "pdf", "doc", "docx", "pptx", "xls", "xlsx", "odt", "odp", "ods", "rtf", "html", "htm", "csv"]
+EXCLUDE = ["tmp", "temp", "bak", "swp", "part", "partial", "crdownload", "exe", "dll", "so", "dylib", "bin", "iso", "dmg"]
+FOLDERS = [".git", ".svn", ".hg", ".obsidian", ".idea", ".vscode", "node_modules", ".cache", "__pycache__"]
 PATTERNS = ["~$*", ".~lock.*#", "*.draft.*", "draft-*", "*.private.*"]
-MEGABYTES = 100
-IMPORT_SKIPS = "json yaml yml xml".split()
-_MAX_XML = 64 << 20
+MEGABYTES, LEAST_MB, MOST_MB = 100, 1, 4096
+#: Extensions of sources that can be ingested, and those that a scheduled import passes over.
+INGESTABLE = ["md", "mdx", "txt", "pdf", "doc", "docx", "pptx", "xlsx", "odt", "odp", "ods", "xls", "csv", "json", "html", "htm", "rtf", "xml", "yaml", "yml"]
+IMPORT_SKIPS = ["json", "yaml", "yml", "xml"]
+
+
+def _values(given: Iterable[str] | None, default: list[str], extension: bool = False) -> tuple[str, ...]:
+    """Entries without blanks, once each; an entry may hold several, separated by commas of either width or line ends."""
+    bits = [x.strip() for v in (default if given is None else given) for x in re.split(r"[,，\n]", v)]
+    return tuple(dict.fromkeys(x for x in (b.removeprefix(".").lower() if extension else b for b in bits) if x))
+
+
+@dataclass(frozen=True)
+class WatchRules:
+    """Which files count. Every list may be given as its user wrote it; sizes are kept within LEAST_MB and MOST_MB."""
+
+    include: tuple[str, ...]
+    exclude: tuple[str, ...]
+    folders: tuple[str, ...]
+    patterns: tuple[str, ...]
+    megabytes: float
+
+    @classmethod
+    def of(cls, include: Iterable[str] | None = None, exclude: Iterable[str] | None = None, folders: Iterable[str] | None = None, patterns: Iterable[str] | None = None, megabytes: float | None = None) -> WatchRules:
+        return cls(_values(include, INCLUDE, True), _values(exclude, EXCLUDE, True), _values(folders, FOLDERS), _values(patterns, PATTERNS), max(LEAST_MB, min(MOST_MB, MEGABYTES if megabytes is None else megabytes)))
+
+
+def in_folder(path: Column, folders: Iterable[str]) -> Column:
+    """Whether a path lies in one of the folders: a name stands for a folder anywhere, a name with slashes for a part of the path."""
+    low, out = F.concat(F.lit("/"), F.lower(T.slashes(path)), F.lit("/")), F.lit(False)
+    for f in folders:
+        name = re.sub(r"/{2,}", "/", f.replace("\\", "/")).strip("/").lower()
+        if name:
+            out = out | low.contains(f"/{name}/")
+    return out
+
+
+def allowed(path: Column, rules: WatchRules | None = None) -> Column:
+    """Whether an import's rules take a path: no refused folder, pattern, dot name or extension, and a taken extension, if any are named."""
+    r = rules or WatchRules.of()
+    p = T.slashes(path)
+    name, ext = T.file_name(p), F.lower(F.regexp_extract(T.file_name(p), r"(?s)\.([^.]*)$", 1))
+    ok = ~in_folder(p, r.folders) & ~T.matches_glob(p, list(r.patterns)) & (name != "") & ~name.startswith(".") & ~ext.isin(list(r.exclude))
+    return ok & ext.isin(list(r.include)) if r.include else ok
 
 
 def listing(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
@@ -42,22 +84,22 @@ def markdown_pages(spark: SparkSession, root: str, limit: int | None = None) ->
     return out if limit is None else out.orderBy("path").limit(limit)
 
 
-def watched(path: Column, size: Column | None = None) -> Column:
+def watched(path: Column, size: Column | None = None, rules: WatchRules | None = None) -> Column:
     """Whether a project-relative path is watched: no application folder, media, excluded folder, pattern or extension; sources by extension, of the rest the pages and two settings files."""
+    r = rules or WatchRules.of()
     p = T.slashes(path)
     low = F.lower(p)
     own = low.rlike(r"^(?:\.[^/]+|media)(?:/|$)|(?:^|/)media/|(?:^|/)(?:\.ds_store|thumbs\.db)$")
-    folder = F.exists(F.slice(F.split(low, "/"), F.lit(1), F.greatest(F.size(F.split(low, "/")) - 1, F.lit(0))), lambda s: s.isin(FOLDERS))
     ext = T.extension(p)
-    source = low.startswith("raw/sources/") & ext.isin(INCLUDE) & ~ext.isin(EXCLUDE)
+    source = low.startswith("raw/sources/") & ~ext.isin(list(r.exclude)) & (ext.isin(list(r.include)) if r.include else F.lit(True))
     page = low.isin("purpose.md", "schema.md") | (low.startswith("wiki/") & (ext == "md"))
-    ok = ~own & ~folder & ~T.matches_glob(p, PATTERNS) & (source | page)
-    return ok if size is None else ok & (size <= MEGABYTES << 20)
+    ok = ~own & ~in_folder(p, r.folders) & ~T.matches_glob(p, list(r.patterns)) & (source | page)
+    return ok if size is None else ok & (size <= int(r.megabytes * (1 << 20)))
 
 
 def ingestable(path: Column) -> Column:
     low = F.lower(T.slashes(path))
-    return T.extension(path).isin([*INCLUDE, "tsv", "json", "xml", "odp", "epub"]) & ~low.rlike(r"(?:^|/)\.")
+    return T.extension(path).isin(INGESTABLE) & ~low.rlike(r"(?:^|/)\.")
 
 
 def importable(path: Column, size: Column) -> Column:
@@ -82,8 +124,6 @@ def _local(tag: str) -> str:
 
 
 def _tree(z: zipfile.ZipFile, name: str) -> ElementTree.Element:
-    if z.getinfo(name).file_size > _MAX_XML:
-        raise ValueError("part too large")
     return ElementTree.fromstring(z.read(name))
 
 
@@ -209,7 +249,40 @@ def odf_text(data: bytes) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(x.strip() for x in s.split("\n"))).strip()
 
 
-READERS = {"docx": docx_markdown, "pptx": pptx_markdown, "xlsx": xlsx_markdown, "odt": odf_text, "odp": odf_text, "ods": odf_text}
+def _repeat(e: ElementTree.Element, what: str) -> int:
+    return int(next((v for k, v in e.attrib.items() if _local(k) == what), "1"))
+
+
+def ods_markdown(data: bytes) -> str:
+    """Sheets of an open spreadsheet as tables, as ``xlsx_markdown`` writes them. Repeats of empty rows and cells at the end, with which such files fill a sheet, are no content."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        sheets = [e for e in _tree(z, "content.xml").iter() if _local(e.tag) == "table"]
+    out = []
+    for s in sheets:
+        rows: list[list[str]] = []
+        empty = 0
+        for r in (e for e in s.iter() if _local(e.tag) == "table-row"):
+            cells: list[str] = []
+            blank = 0
+            for c in (e for e in r if _local(e.tag) in ("table-cell", "covered-table-cell")):
+                a = {_local(k): v for k, v in c.attrib.items()}
+                shown = "\n".join("".join(p.itertext()) for p in c if _local(p.tag) == "p")
+                v = _number(a["value"]) if a.get("value-type") == "float" and "value" in a else shown
+                n = _repeat(c, "number-columns-repeated")
+                if v:
+                    cells += [""] * blank + [v] * n
+                blank = 0 if v else blank + n
+            n = _repeat(r, "number-rows-repeated")
+            if cells:
+                rows += [[] for _ in range(empty)] + [cells] * n
+            empty = 0 if cells else empty + n
+        t = markdown_table(rows)
+        name = next((v for k, v in s.attrib.items() if _local(k) == "name"), "")
+        out.append(f"## {name}\n\n{t}" if len(sheets) > 1 else t)
+    return "\n\n".join(x for x in out if x)
+
+
+READERS = {"docx": docx_markdown, "pptx": pptx_markdown, "xlsx": xlsx_markdown, "odt": odf_text, "odp": odf_text, "ods": ods_markdown}
 
 
 def read_text(ext: str, name: str, data: bytes) -> tuple[str | None, str | None]:
