@@ -202,7 +202,7 @@ def louvain(weighted: DataFrame, resolution: float = 1.0, guard: int = 200) -> D
     A node looks at the communities of its neighbours; the sums over them are one aggregate per round, so a hub is a group of
     partial sums, not of rows. In every round only one half of the nodes (by hash) may move, which keeps pairs from swapping
     for ever. A level ends when two rounds in a row move nothing, or when PATIENCE rounds in a row have not raised the
-    modularity; its best labels stand. Levels follow, each on the graph of the communities before, until one moves nothing.
+    modularity by GAIN; its best labels stand. Levels follow, each on the graph of the communities before, until one moves nothing.
     ``guard`` rounds in a level without an end are an error. Communities are numbered by size, 0 the largest, ties by their
     lowest id. Not deterministic in its grouping only across changes of the input; ids never depend on row order.
     """
@@ -221,8 +221,8 @@ def louvain(weighted: DataFrame, resolution: float = 1.0, guard: int = 200) -> D
     return renumber(place)
 
 
-#: Rounds without a gain after which a level of the community search ends.
-PATIENCE = 4
+#: Rounds without a gain after which a level of the community search ends: one of each half. What counts as a gain, in modularity.
+PATIENCE, GAIN = 2, 1e-6
 
 
 def _level(e: DataFrame, total: float, resolution: float, level: int, guard: int) -> DataFrame | None:
@@ -245,7 +245,7 @@ def _level(e: DataFrame, total: float, resolution: float, level: int, guard: int
         new = shared_table(chosen.select("u", F.when(turn, F.col("t")).otherwise(F.col("c")).alias("c"), "k", (turn & (F.col("t") != F.col("c"))).alias("moved"), "q"))
         # q is the modularity of the labels before the moves, but for what lies within single nodes and never changes
         seen = new.agg(F.sum(F.col("moved").cast("bigint")).alias("moved"), F.sum("q").alias("q")).first()
-        if best_q is None or seen.q > best_q + 1e-9 * total:
+        if best_q is None or seen.q > best_q + GAIN * total:
             best, best_q, stale, alone = label, seen.q, 0, best_q is None
         else:
             stale += 1
