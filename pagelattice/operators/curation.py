@@ -23,24 +23,27 @@ LEAST_SHARE = 0.7
 def merge_pages(old: Column, new: Column, merged_body: Column | None = None, today: Column | None = None) -> Column:
     """The page that results when ``new`` is written over ``old``: the new page with the lists of both united.
 
-    merged_body is the body that a model proposed for two pages whose bodies differ. It is refused when it is shorter than
-    LEAST_SHARE of the longer one; where it is taken, the locked fields are those of the old page and ``updated`` is ``today``.
+    merged_body is the body that a model proposed for two pages whose bodies differ; without one the new body is taken. It is
+    refused when it is shorter than LEAST_SHARE of the longer one, and then only the lists are united. Where it is taken, the
+    locked fields are those of the old page and ``updated`` is ``today``, if that is given.
     Equal pages stay. A page without frontmatter is replaced by the new one. Only the block is rewritten, never a line of a body.
     """
     strict = lambda c: M.frontmatter_block(c, strict=True)
     none = F.lit(None).cast("string")
     given = F.struct(
         old.alias("old"), new.alias("new"), strict(old).alias("block_old"), strict(new).alias("block_new"), M.body(old).alias("body_old"), M.body(new).alias("body_new"),
-        (none if merged_body is None else merged_body).alias("merged"), (none if today is None else today).alias("today"),
+        (M.body(new) if merged_body is None else merged_body).alias("merged"), (none if today is None else today).alias("today"),
     )
     # everything is bound once: a step of a fold would else be evaluated wherever it is named
-    return let(given, _merged)
+    return let(given, lambda g: _merged(g, merged_body is not None))
 
 
-def _merged(g: Column) -> Column:
+def _merged(g: Column, proposed: bool) -> Column:
     unions = F.struct(*[M.list_union(M.array_field(g.block_old, f), M.array_field(g.block_new, f)).alias(f) for f in LISTS])
     locks = F.struct(*[M.scalar_field(g.block_old, f).alias(f) for f in LOCKED])
-    taken = (F.length(g.merged) >= LEAST_SHARE * F.greatest(F.length(g.body_old), F.length(g.body_new))) & (F.trim(g.body_old) != F.trim(g.body_new))
+    taken = F.trim(g.body_old) != F.trim(g.body_new)
+    if proposed:
+        taken = taken & (F.length(g.merged) >= LEAST_SHARE * F.greatest(F.length(g.body_old), F.length(g.body_new)))
 
     def written(u: Column) -> Column:
         page = g.new

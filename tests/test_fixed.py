@@ -69,7 +69,7 @@ def test_bodies_are_never_rewritten(spark):
 def test_merging_pages(spark):
     new = "---\ntitle: Newer\ntags: [b]\ntype: concept\n---\n\nOther body, long enough to stand for itself.\ntitle: and this\n"
     merge = lambda o, n, body=None: spark.createDataFrame([(o, n, body)], "o string, n string, b string").select(curation.merge_pages(F.col("o"), F.col("n"), None if body is None else F.col("b"), F.lit("2025-06-01"))).first()[0]
-    assert merge(PAGE, new) == new.replace("tags: [b]", 'tags: ["a", "b"]', 1)
+    assert merge(PAGE, new) == new.replace("tags: [b]", 'tags: ["a", "b"]', 1).replace("title: Newer", "title: Old").replace("concept\n---", "concept\nupdated: 2025-06-01\n---")
     body = "\nA body of both, as a model would write it, with all that the two of them say about it.\ntags: [in, body]\n"
     assert merge(PAGE, new, body) == f'---\ntitle: Old\ntags: ["a", "b"]\ntype: concept\nupdated: 2025-06-01\n---\n{body}'
     assert merge(PAGE, new, "short") == new.replace("tags: [b]", 'tags: ["a", "b"]', 1)
