@@ -86,7 +86,8 @@ def rewrite_references(pages: DataFrame, renamed: DataFrame) -> DataFrame:
     Links are looked up as rows, by key, and gathered again per page in their order; repeated targets are kept once.
     """
     l = pages.select("id", F.posexplode("links").alias("pos", "target"))
-    r = renamed.select(page_key(F.col("old")).alias("k"), F.col("new")).dropDuplicates(["k"])
+    # of several old names with one key the lowest decides
+    r = renamed.groupBy(page_key(F.col("old")).alias("k")).agg(F.min_by("new", F.struct("old", "new")).alias("new"))
     j = l.withColumn("k", page_key(F.col("target"))).join(r, "k", "left").select("id", "pos", F.coalesce("new", "target").alias("target"), F.col("new").isNotNull().alias("hit"))
     g = j.groupBy("id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "target"))), lambda x: x["target"])).alias("links"), F.max("hit").alias("changed"))
     return g

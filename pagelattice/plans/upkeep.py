@@ -192,7 +192,22 @@ def oracle_sql():
     at = lambda t: f"SELECT {fk('source_key')} path, md5_hex h, size_bytes s FROM source_files WHERE arrived_at <= TIMESTAMP '{t}' AND (deleted_at IS NULL OR deleted_at > TIMESTAMP '{t}') QUALIFY row_number() OVER (PARTITION BY {fk('source_key')} ORDER BY arrived_at DESC, file_id DESC, ingested_at DESC) = 1"
     reviews = """rv AS (SELECT lint_id seq, CASE lint_type WHEN 'orphan' THEN 'suggestion' WHEN 'broken-link' THEN 'missing-page' WHEN 'semantic' THEN 'duplicate' ELSE 'confirm' END AS type,
         lower(trim(page)) AS key, page, coalesce(detail, '') description, affected_pages pages FROM lint_results QUALIFY row_number() OVER (PARTITION BY lint_id) = 1)"""
+    # what of a text lies outside of links: all before the first opening brackets, and what follows the closing ones of each
+    outside = lambda t: f"(contains(ps[1], '{t}') OR len(list_filter(ps[2:], lambda s: contains(s, ']]') AND contains(substr(s, instr(s, ']]') + 2), '{t}'))) > 0)"
+    times = lambda t: f"(length(text) - length(replace(text, '{t}', ''))) // {len(t)}"
+    link = lambda term, to, whole: f"{times(whole)} + CASE WHEN {outside(term)} AND NOT contains(b, '[[{to}]]') AND NOT contains(b, '[[{to}|') THEN 1 ELSE 0 END"
     return {
+        "rewritten_references": f"""WITH {_N}, f AS (SELECT request_id, slug first FROM merge_members QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY member_no NULLS FIRST, slug NULLS FIRST) = 1),
+            o AS (SELECT slug old, min(first) new FROM merge_members JOIN f USING (request_id) WHERE slug <> first GROUP BY 1),
+            r AS (SELECT {pk('old')} k, new FROM o QUALIFY row_number() OVER (PARTITION BY {pk('old')} ORDER BY old, new) = 1),
+            j AS (SELECT id, coalesce(r.new, t) t, r.new IS NOT NULL hit FROM (SELECT id, unnest(links) t FROM n) LEFT JOIN r ON r.k = {pk('t')})
+            SELECT id, count(DISTINCT t) + max(CASE WHEN t IS NULL THEN 1 ELSE 0 END) n_links FROM j GROUP BY 1 HAVING bool_or(hit)""",
+        "linked_terms": rf"""WITH x AS (SELECT doc_id, text, regexp_replace(text, '(?s)\A---[ \t]*\r?\n.*?\r?\n---[ \t]*(?:\r?\n|\z)', '') b FROM documents WHERE text IS NOT NULL), y AS (SELECT *, string_split(b, '[[') ps FROM x),
+            z AS (SELECT doc_id, CAST({link('oven', 'oven', '[[oven]]')} AS BIGINT) n_oven, CAST({link('map', 'chart', '[[chart|map]]')} AS BIGINT) n_map FROM y) SELECT * FROM z WHERE n_oven + n_map > 0""",
+        "trimmed_pages": r"""WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\r?\n'), lambda s: starts_with(s, '##') OR contains(lower(s), 'oven') OR contains(lower(s), 'map')) ls FROM documents WHERE text IS NOT NULL),
+            f AS (SELECT doc_id, list_reduce(list_prepend({'line': '', 'used': 0, 'kept': []::VARCHAR[]}, list_transform(ls, lambda s: {'line': s, 'used': 0, 'kept': []::VARCHAR[]})),
+              lambda a, x: CASE WHEN a.used + length(x.line) + 1 <= 300 THEN {'line': '', 'used': CAST(a.used + length(x.line) + 1 AS INT), 'kept': list_append(a.kept, x.line)} ELSE a END) st FROM l)
+            SELECT doc_id, array_to_string(st.kept, chr(10)) trimmed FROM f WHERE array_to_string(st.kept, chr(10)) <> ''""",
         "chunk_coverage": r"""SELECT layout, CAST(sum(length(b)) AS BIGINT) n_chars, CAST(sum(length(b)) AS BIGINT) n_held FROM (SELECT layout, regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)),
             '(?s)\A---[ \t]*\n.*?\n---[ \t]*(?:\n|\z)', ''), '[\s\p{Z}]+', '', 'g') b FROM documents WHERE text IS NOT NULL) GROUP BY 1""",
         "snapshot_diff": f"""WITH b AS ({at(THEN)}), a AS ({at(NOW)}), j AS (SELECT coalesce(a.path, b.path) path, CASE WHEN b.path IS NULL THEN 'created' WHEN a.path IS NULL THEN 'deleted'

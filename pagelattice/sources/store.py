@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "chunk_id string, page_id string, chunk_index int, chunk_text string, heading_path string, vector array<float>, part int"
-PARTS = 64
+#: Folders of a table, and about how many rows a file has.
+PARTS, FILE_ROWS = 64, 1 << 20
 
 
 class VectorStore:
@@ -64,7 +65,9 @@ class VectorStore:
         from pagelattice.session import shared_checkpoint
 
         whole = shared_checkpoint(df.select("chunk_id", "page_id", "chunk_index", "chunk_text", "heading_path", "vector", "part"))
-        whole.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.root)
+        # a part of many rows is written by several tasks, a page's rows by one of them
+        files = F.pmod(F.xxhash64(F.lit(1), "page_id"), F.lit(max(1, -(-whole.count() // (PARTS * FILE_ROWS)))))
+        whole.repartition("part", files).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.root)
 
 
 def save_state(rows: DataFrame, path: str) -> None:
@@ -72,12 +75,23 @@ def save_state(rows: DataFrame, path: str) -> None:
 
 
 def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """State as rows; none if it was never saved, and unreadable lines are left out."""
+    """State as rows; none if it was never saved. Lines that can't be read are left out here and given by ``unreadable_state``."""
+    return _state(spark, path, schema).where("_line IS NULL").drop("_line")
+
+
+def unreadable_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``line``: what ``load_state`` had to leave out, so that a loss is seen."""
+    return _state(spark, path, schema).where("_line IS NOT NULL").select(F.col("_line").alias("line"))
+
+
+def _state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    whole = f"{schema}, _line string"
     try:
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+        lines = spark.read.text(path).where("trim(value) <> ''")
+        return lines.select(F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"}).alias("x")).select("x.*")
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema)
+            return spark.createDataFrame([], whole)
         raise
 
 

@@ -13,7 +13,7 @@ from pagelattice.functions import blocks, text
 from pagelattice.functions import markdown as M
 from pagelattice.operators import chunks, context, curation, graph, search
 from pagelattice.plans import upkeep
-from pagelattice.sources import files
+from pagelattice.sources import files, store
 
 
 def value(spark, expr, s, kind="string"):
@@ -132,6 +132,14 @@ def test_objects_with_many_open_braces():
     assert blocks.first_object("{" * 200_000) == "" and time.time() - began < 5
 
 
+def test_unreadable_state_is_told(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"id": 1, "s": "a"}\n{"id": \n{"id": 2}\n')
+    p = str(tmp_path / "s.json")
+    assert sorted((r.id, r.s) for r in store.load_state(spark, p, "id int, s string").collect()) == [(1, "a"), (2, None)]
+    assert [r.line for r in store.unreadable_state(spark, p, "id int, s string").collect()] == ['{"id": ']
+    assert store.unreadable_state(spark, str(tmp_path / "none"), "id int").count() == 0
+
+
 def test_sections():
     r = blocks.review_blocks("---REVIEW: duplicate | T---\nOPTIONS: a|b\ntext\nSEARCH: x | y ---END REVIEW---\n---REVIEW: odd---\nz\n---END REVIEW---\n---review: Suggestion | U ---\nopen")
     assert r == [{"type": "duplicate", "title": "T", "description": "text", "options": ["a", "b"], "pages": [], "searches": ["x", "y"]}]
