@@ -8,11 +8,12 @@ The index has TABLES roots masks: the upper node of a fingerprint under a mask i
 the mask lets through, so only texts that agree in one whole pattern meet. Within a node the fingerprints are sorted by
 Gray rank, which puts those that share leading bits side by side; these shared leading bits (32, then 64, then all) are
 factored into inner nodes. Pairs of inner nodes are compared by their factored bits, the differences accumulate on the way
-down, and a pair of groups that exceeds FAR differences is dropped with all that lies under it. Surviving pairs are checked
-exactly on the texts.
+down, and a pair of groups that exceeds FAR differences is dropped with all that lies under it. Two further bits of each of
+the 128 values are then compared as well, which leaves hardly a pair under a likeness of 0.4. Surviving pairs are checked exactly
+on the texts.
 
 At a likeness of 0.6 a pair shares a pattern with probability 1 - (1 - 0.6 ** ROWS) ** TABLES = 0.993, at 0.7 it is 0.99995;
-FAR is 4.5 standard deviations above the expected distance at 0.6.
+FAR is 4.5 standard deviations above the expected distance at 0.6, and so is FINE for values of three bits.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ from pyspark.sql import functions as F
 
 from pagelattice.session import shared_checkpoint
 
-TABLES, ROWS, FAR, RUN = 36, 4, 46, 5
+TABLES, ROWS, FAR, FINE, RUN = 36, 4, 46, 69, 5
 #: A node of CROWD texts, or of one in PORTION of all if these are more, is compared in blocks; crowded nodes are looked for
 #: among one in SHARE of the texts. So no more than TABLES * PORTION nodes can be crowded.
 CROWD, PORTION, SHARE = 1 << 15, 1024, 64
-#: Pairs that are expanded at once; bounds a task's memory in nodes of any size.
-CHUNK = 1 << 20
+#: Pairs that are expanded at once; bounds a task's memory in nodes of any size. Rows from which a node that shares few leading bits has tiles.
+CHUNK, TILE = 1 << 20, 256
+_FINER = ["g1", "g2", "h1", "h2"]
 _OTHER = re.compile(r"[\W_]+")
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 32, TABLES * ROWS, dtype=np.uint32)
@@ -92,9 +94,9 @@ def gray_code(r: np.ndarray) -> np.ndarray:
     return r ^ (r >> np.uint64(1))
 
 
-def fingerprints(m: np.ndarray) -> np.ndarray:
-    """Two 64-bit words per row, a bit from each of the first 128 min-hash values."""
-    bits = ((m[:, :128] * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
+def fingerprints(m: np.ndarray, bit: int = 0) -> np.ndarray:
+    """Two 64-bit words per row, a bit from each of the first 128 min-hash values; ``bit`` 1 and 2 are those of the finer check."""
+    bits = ((m[:, :128] * np.uint32(0x9E3779B1)) >> np.uint32(31 - bit)).astype(np.uint8) & np.uint8(1)
     return np.packbits(bits, axis=1, bitorder="big").view(">u8").astype(np.uint64)
 
 
@@ -124,6 +126,19 @@ def _levels(node: np.ndarray, rank1: np.ndarray, rank2: np.ndarray):
     return out, f1, gray_code(rank2)
 
 
+def _tiles(f1: np.ndarray, f2: np.ndarray, first: int, end: int, far: int):
+    """As ``close_pairs``, for the rows ``first`` to ``end`` of one node, without groups."""
+    s = first
+    while s < end - 1:
+        e = min(end - 1, s + max(1, CHUNK // (end - s)))
+        n = np.bitwise_count(f1[s:e, None] ^ f1[None, s + 1 : end]) + np.bitwise_count(f2[s:e, None] ^ f2[None, s + 1 : end])
+        x, y = np.nonzero(n <= far)
+        later = y >= x
+        if later.any():
+            yield x[later] + s, y[later] + s + 1
+        s = e
+
+
 def close_pairs(node: np.ndarray, rank1: np.ndarray, rank2: np.ndarray, far: int = FAR):
     """Positions (i, j), i < j, of rows of one node that differ in ``far`` bits at most; rows sorted by node, rank1, rank2."""
     if len(node) < 2:
@@ -131,44 +146,54 @@ def close_pairs(node: np.ndarray, rank1: np.ndarray, rank2: np.ndarray, far: int
     levels, f1, f2 = _levels(node, rank1, rank2)
     size = np.diff(np.append(levels[0], len(node)))
     alone = np.flatnonzero(size > 1)
+    # where most rows of a large node differ in the first 64 bits already, nothing can be factored out: rows are compared in tiles
+    inner = np.diff(np.append(np.searchsorted(levels[2], levels[0]), len(levels[2])))
+    tiled = (size[alone] >= TILE) & (2 * inner[alone] > size[alone])
+    for k in alone[tiled]:
+        yield from _tiles(f1, f2, int(levels[0][k]), int(levels[0][k] + size[k]), far)
+    alone = alone[~tiled]
     low, high = np.uint64(0xFFFFFFFF), np.uint64(32)
     masks = [None, lambda i: f1[i] >> high, lambda i: f1[i] & low, lambda i: f2[i]]
     # the first child of every group of a level, as an index into the next level
     child = [np.append(np.searchsorted(levels[k + 1], levels[k]), len(levels[k + 1])) for k in range(3)]
-    todo = [(0, alone, alone, np.zeros(len(alone), dtype=np.int64))]
+    # the last number is the first child of a single pair's left group that is still to be looked at; what is left of a pair
+    # waits here behind what has come of it, so that no more than a few chunks a level are held, however large a node is
+    todo = [(0, alone, alone, np.zeros(len(alone), dtype=np.int64), 0)] if len(alone) else []
     while todo:
-        level, a, b, acc = todo.pop()
+        level, a, b, acc, s = todo.pop()
         na, nb = child[level][a + 1] - child[level][a], child[level][b + 1] - child[level][b]
         total = np.cumsum(na * nb)
         if len(a) > 1 and total[-1] > CHUNK:
             cut = max(1, int(np.searchsorted(total, total[-1] // 2)))
-            todo += [(level, a[cut:], b[cut:], acc[cut:]), (level, a[:cut], b[:cut], acc[:cut])]
+            todo += [(level, a[cut:], b[cut:], acc[cut:], 0), (level, a[:cut], b[:cut], acc[:cut], 0)]
+            continue
+        if len(a) == 1 and total[-1] > CHUNK:
+            same = a[0] == b[0]
+            first = s if same else 0
+            k = min(max(1, CHUNK // int(nb[0] - first)), int(na[0]) - s)
+            if s + k < na[0]:
+                todo.append((level, a, b, acc, s + k))
+            x = np.repeat(np.arange(s, s + k), nb[0] - first) + child[level][a[0]]
+            y = np.tile(np.arange(first, nb[0]), k) + child[level][b[0]]
+            got = np.zeros(len(x), dtype=np.int64) + acc[0]
+        else:
+            n = na * nb
+            which = np.repeat(np.arange(len(a)), n)
+            at = np.arange(int(total[-1])) - np.repeat(total - n, n)
+            x, y = child[level][a[which]] + at // nb[which], child[level][b[which]] + at % nb[which]
+            got, same = acc[which], a[which] == b[which]
+        ok = (x <= y) | ~same if level < 2 else x < y
+        x, y, got = x[ok], y[ok], got[ok]
+        bits = masks[level + 1]
+        got = got + np.bitwise_count(bits(levels[level + 1][x]) ^ bits(levels[level + 1][y]))
+        near = got <= far
+        x, y, got = x[near], y[near], got[near]
+        if not len(x):
             continue
-        step = max(1, CHUNK // max(1, int(nb[0]))) if len(a) == 1 and total[-1] > CHUNK else None
-        for s in range(0, int(na[0]), step) if step else (None,):
-            if step:
-                k = min(step, int(na[0]) - s)
-                x = np.repeat(np.arange(s, s + k), nb[0]) + child[level][a[0]]
-                y = np.tile(np.arange(nb[0]), k) + child[level][b[0]]
-                got, same = np.zeros(len(x), dtype=np.int64) + acc[0], a[0] == b[0]
-            else:
-                n = na * nb
-                which = np.repeat(np.arange(len(a)), n)
-                at = np.arange(int(total[-1])) - np.repeat(total - n, n)
-                x, y = child[level][a[which]] + at // nb[which], child[level][b[which]] + at % nb[which]
-                got, same = acc[which], a[which] == b[which]
-            ok = (x <= y) | ~same if level < 2 else x < y
-            x, y, got = x[ok], y[ok], got[ok]
-            bits = masks[level + 1]
-            got = got + np.bitwise_count(bits(levels[level + 1][x]) ^ bits(levels[level + 1][y]))
-            near = got <= far
-            x, y, got = x[near], y[near], got[near]
-            if not len(x):
-                continue
-            if level == 2:
-                yield x, y
-            else:
-                todo.append((level + 1, x, y, got))
+        if level == 2:
+            yield x, y
+        else:
+            todo.append((level + 1, x, y, got, 0))
 
 
 def _spread(node: np.ndarray, cols: list[np.ndarray], hot: dict[int, int]) -> list[np.ndarray]:
@@ -239,13 +264,14 @@ def near_copies(df: DataFrame, numerator: int = 3, denominator: int = 5) -> tupl
                 origin = part.column(0).to_numpy()
                 node, f = node_patterns(m, origin), fingerprints(m)
                 r1, r2 = gray_rank(f[:, 0]), gray_rank(f[:, 1])
-                cols = _spread(node, [r1, r2, part.column(1).to_numpy(), origin], hot.value)
-                yield pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in cols[:4]], pa.array(cols[4])], names=["node", "r1", "r2", "cls", "origin"])
+                finer = np.concatenate([fingerprints(m, 1), fingerprints(m, 2)], axis=1)
+                cols = _spread(node, [r1, r2, part.column(1).to_numpy(), origin, *finer.T], hot.value)
+                yield pa.RecordBatch.from_arrays([pa.array(x if x.dtype == np.int32 else np.ascontiguousarray(x).view(np.int64)) for x in cols], names=["node", "r1", "r2", "cls", "origin", *_FINER])
 
     def compare(batches):
         held = None
         for b in batches:
-            now = [b.column(k).to_numpy() for k in range(5)]
+            now = [b.column(k).to_numpy() for k in range(b.num_columns)]
             if held is not None:
                 now = [np.concatenate(p) for p in zip(held, now, strict=True)]
             last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
@@ -254,7 +280,7 @@ def near_copies(df: DataFrame, numerator: int = 3, denominator: int = 5) -> tupl
         if held is not None:
             yield from _emit(held)
 
-    nodes = cases.mapInArrow(index, "node bigint, r1 bigint, r2 bigint, cls bigint, origin int").repartition("node").sortWithinPartitions("node", "r1", "r2")
+    nodes = cases.mapInArrow(index, f"node bigint, r1 bigint, r2 bigint, cls bigint, origin int, {', '.join(f'{c} bigint' for c in _FINER)}").repartition("node").sortWithinPartitions("node", "r1", "r2")
     met = nodes.mapInArrow(compare, "origin int, a bigint, b bigint").distinct()
     side = lambda x: base.select("origin", F.col("id").alias(x), F.col("norm").alias(f"t{x}"))
     both = met.join(side("a"), ["origin", "a"]).join(side("b"), ["origin", "b"])
@@ -284,10 +310,14 @@ def near_copies(df: DataFrame, numerator: int = 3, denominator: int = 5) -> tupl
 
 
 def _emit(cols: list[np.ndarray]):
-    node, r1, r2, cls, origin = cols
-    for i, j in close_pairs(node, r1.view(np.uint64), r2.view(np.uint64)):
+    node, r1, r2, cls, origin, g1, g2, h1, h2 = cols
+    r1, r2 = r1.view(np.uint64), r2.view(np.uint64)
+    f1, f2 = gray_code(r1), gray_code(r2)
+    for i, j in close_pairs(node, r1, r2):
         x, y = cls[i], cls[j]
-        ok = x != y
+        # values that differ in any of their three bits
+        n = sum(np.bitwise_count((f[i] ^ f[j]) | ((g[i] ^ g[j]) | (h[i] ^ h[j])).view(np.uint64)) for f, g, h in ((f1, g1, h1), (f2, g2, h2)))
+        ok = (x != y) & (n <= FINE)
         yield pa.RecordBatch.from_arrays([pa.array(origin[i][ok]), pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok])], names=["origin", "a", "b"])
 
 

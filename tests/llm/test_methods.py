@@ -33,6 +33,33 @@ def test_near_copies_are_not_dropped_far_above_the_expected_distance(bits):
     assert {(min(i, j), max(i, j)) for a, b in pairs for i, j in zip(a.tolist(), b.tolist(), strict=True) if i != j} == {(0, 1)}
 
 
+def test_a_large_node_is_compared_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    f = rng.integers(0, 1 << 63, (6000, 2), dtype=np.uint64)
+    f[3000:] = f[:3000] ^ (np.uint64(1) << rng.integers(0, 64, (3000, 2), dtype=np.uint64))
+    ranks = nearcopies.gray_rank(f[:, 0]), nearcopies.gray_rank(f[:, 1])
+    order = np.lexsort((ranks[1], ranks[0]))
+    got = []
+    for tile in (256, 1 << 40):
+        monkeypatch.setattr(nearcopies, "TILE", tile, raising=False)
+        tracemalloc.start()
+        pairs = {(min(i, j), max(i, j)) for a, b in nearcopies.close_pairs(np.zeros(6000, dtype=np.int64), ranks[0][order], ranks[1][order], 8) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+        tracemalloc.stop()
+        got.append(pairs)
+    assert got[0] == got[1] and len(got[0]) >= 3000
+
+
+@pytest.mark.parametrize(("bits", "kept"), [(69, 1), (70, 0)])
+def test_finer_bits_are_compared_behind_the_fingerprints(bits, kept):
+    words = [[0, (1 << k) - 1] for k in (0, 0)] + [[0, (1 << min(63, bits)) - 1], [0, (1 << bits - 63) - 1], [0, 0], [0, 0]]
+    r1, r2, *finer = (np.array(w, dtype=np.int64) for w in words)
+    zero = np.zeros(2, dtype=np.int64)
+    assert sum(b.num_rows for b in nearcopies._emit([zero, r1, r2, np.array([1, 2]), zero.astype(np.int32), *finer])) == kept
+
+
 def test_fields_are_filled_from_deeper_layers(spark):
     cols = "request_id bigint, member_no int, slug string, origin string, title string, page_type string, description string, created_on string, updated_on string"
     rows = [
