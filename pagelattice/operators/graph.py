@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,22 +207,35 @@ def louvain(weighted: DataFrame, resolution: float = 1.0, guard: int = 200) -> D
     modularity by GAIN; its best labels stand. Levels follow, each on the graph of the communities before, until one moves nothing.
     ``guard`` rounds in a level without an end are an error. Communities are numbered by size, 0 the largest, ties by their
     lowest id. Not deterministic in its grouping only across changes of the input; ids never depend on row order.
+
+    Each round over a large graph is a few jobs and a written table. Once a graph, at first or after some levels, has AT_ONCE
+    rows at most, one task makes the same moves in arrays: where a graph is looked at changes nothing in what is found.
     """
-    e = weighted.select(F.col("a").cast("string").alias("u"), F.col("b").cast("string").alias("v"), F.col("weight").alias("w"))
-    e = shared_table(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
-    total = e.agg(F.sum("w")).first()[0]
-    place = e.select(F.col("u").alias("id")).distinct().withColumn("c", F.col("id"))
+    ends = weighted.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("weight").cast("double").alias("w"))
+    ids = ends.select(F.col("a").alias("id")).union(ends.select(F.col("b").alias("id"))).where("id IS NOT NULL").distinct()
+    names = shared_table(numbered(ids, [F.col("id")], "c").select("id", F.col("c").cast("bigint").alias("c")))
+    at = lambda x, y: names.select(F.col("id").alias(x), F.col("c").alias(y))
+    e = ends.join(at("a", "u"), "a").join(at("b", "v"), "b").select("u", "v", "w")
+    e = shared_table(e.select(F.explode(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))).alias("x")).select("x.*"))
+    n, total = e.agg(F.count(F.lit(1)), F.sum("w")).first()
     if not total:
-        return place.select("id", F.lit(0).cast("bigint").alias("community"))
-    level = 0
-    while (label := _level(e, total, resolution, level, guard)) is not None:
+        return names.select("id", F.lit(0).cast("bigint").alias("community"))
+    place, level, last = names, 0, False
+    while not last:
+        last = n <= AT_ONCE
+        label = _levels_at_once(e, total, resolution, level, guard) if last else _level(e, total, resolution, level, guard)
+        if label is None:
+            break
         place = shared_table(place.join(label.select(F.col("u").alias("c"), F.col("c").alias("n")), "c", "left").select("id", F.coalesce("n", "c").alias("c")))
-        up = label.select("u", "c")
-        e = shared_table(e.join(up, "u").join(up.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").groupBy(F.col("c").alias("u"), F.col("d").alias("v")).agg(F.sum("w").alias("w")))
-        level += 1
+        if not last:
+            up = label.select("u", "c")
+            e = shared_table(e.join(up, "u").join(up.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").groupBy(F.col("c").alias("u"), F.col("d").alias("v")).agg(F.sum("w").alias("w")))
+            n, level = e.count(), level + 1
     return renumber(place)
 
 
+#: Rows of a graph (each link both ways) up to which one task moves its nodes: some 100 bytes a row.
+AT_ONCE = 6_000_000
 #: Rounds without a gain after which a level of the community search ends: one of each half. What counts as a gain, in modularity.
 PATIENCE, GAIN = 2, 1e-6
 
@@ -241,7 +256,7 @@ def _level(e: DataFrame, total: float, resolution: float, level: int, guard: int
             F.max_by("t", F.struct(F.round(gain, 9).alias("g"), here.alias("stay"), F.col("t"))).alias("t"),
             F.max(F.when(here, F.col("into") - resolution * F.col("k") * F.col("mass") / total)).alias("q"),
         )
-        turn = F.pmod(F.xxhash64("u", F.lit(level), F.lit(r // 2)), F.lit(2)) == r % 2
+        turn = F.shiftright(F.xxhash64("u"), _bit(level, r)).bitwiseAND(F.lit(1)) == r % 2
         new = shared_table(chosen.select("u", F.when(turn, F.col("t")).otherwise(F.col("c")).alias("c"), "k", (turn & (F.col("t") != F.col("c"))).alias("moved"), "q"))
         # q is the modularity of the labels before the moves, but for what lies within single nodes and never changes
         seen = new.agg(F.sum(F.col("moved").cast("bigint")).alias("moved"), F.sum("q").alias("q")).first()
@@ -256,6 +271,72 @@ def _level(e: DataFrame, total: float, resolution: float, level: int, guard: int
     raise RuntimeError(f"communities still move after {guard} rounds")
 
 
+def _bit(level: int, r: int) -> int:
+    """The bit of a node's hash that tells in which of two rounds it may move."""
+    return (r // 2 + 17 * level) % 63
+
+
+def _levels_at_once(e: DataFrame, total: float, resolution: float, level: int, guard: int) -> DataFrame:
+    """``u, c``: where the moves of this level and of all that follow lead to, in one task."""
+
+    def run(batches):
+        cols = [[], [], [], []]
+        for b in batches:
+            for to, c in zip(cols, b.columns, strict=True):
+                to.append(c.to_numpy())
+        if not cols[0]:
+            return
+        u, v, w, h = (np.concatenate(c) for c in cols)
+        cols.clear()
+        ids, first = np.unique(u, return_index=True)
+        h, u, v = h[first], np.searchsorted(ids, u), np.searchsorted(ids, v)
+        place, at, now = np.arange(len(ids)), np.arange(len(ids)), level
+        while (c := moved(u, v, w, h[at], total, resolution, now, guard)) is not None:
+            kept, c = np.unique(c, return_inverse=True)
+            place, at, now = c[place], at[kept], now + 1
+            key, which = np.unique(c[u] * len(kept) + c[v], return_inverse=True)
+            u, v, w = key // len(kept), key % len(kept), np.bincount(which, w)
+        for s in range(0, len(ids), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[s : s + (1 << 16)]), pa.array(ids[at[place[s : s + (1 << 16)]]])], names=["u", "c"])
+
+    return e.select("u", "v", "w", F.xxhash64("u").alias("h")).coalesce(1).mapInArrow(run, "u bigint, c bigint")
+
+
+def moved(u: np.ndarray, v: np.ndarray, w: np.ndarray, h: np.ndarray, total: float, resolution: float, level: int, guard: int) -> np.ndarray | None:
+    """The labels that ``_level`` would find, of nodes 0 to len(h) - 1; None if no move gains anything."""
+    n = len(h)
+    k = np.bincount(u, w, n)
+    other = u != v
+    u, v, w = u[other], v[other], np.append(w[other], np.zeros(n))
+    c, every = np.arange(n), np.arange(n)
+    best, best_q, stale, still, alone = c, None, 0, 0, True
+    for r in range(guard):
+        mass = np.bincount(c, k, n)
+        key = np.concatenate([u * n + c[v], every * n + c])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        into, key = np.add.reduceat(w[order], starts), key[starts]
+        node, t = key // n, key % n
+        here = t == c[node]
+        gain = np.round(into - resolution * k[node] * (mass[t] - np.where(here, k[node], 0.0)) / total, 9)
+        first = np.searchsorted(node, every)
+        top = gain == np.maximum.reduceat(gain, first)[node]
+        to = np.where(np.logical_or.reduceat(top & here, first), c, np.maximum.reduceat(np.where(top, t, -1), first))
+        q = float((into[here] - resolution * k * mass[c] / total).sum())
+        turn = (h >> np.int64(_bit(level, r)) & 1) == r % 2
+        new = np.where(turn, to, c)
+        if best_q is None or q > best_q + GAIN * total:
+            best, best_q, stale, alone = c, q, 0, best_q is None
+        else:
+            stale += 1
+        still = 0 if (new != c).any() else still + 1
+        if still == 2 or stale == PATIENCE:
+            return None if alone else best
+        c = new
+    raise RuntimeError(f"communities still move after {guard} rounds")
+
+
 def numbered(df: DataFrame, by: list[Column], name: str) -> DataFrame:
     """``df`` with its rows numbered from 0 in an order, without one task for all: sorted by ranges, counted per range, numbered within."""
     held = shared_checkpoint(df.orderBy(*by).withColumn("_range", F.spark_partition_id()))

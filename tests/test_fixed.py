@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import random
 import time
 import zipfile
 
@@ -216,6 +217,23 @@ def test_communities_of_a_chain_are_found_to_the_end(spark):
     assert sorted(r.community for r in c.select("community").distinct().collect()) == list(range(len(sizes)))
 
 
+def test_communities_are_the_same_in_one_task_and_by_tables(spark, monkeypatch):
+    rnd = random.Random(4)
+    links = {(min(a, b), max(a, b)) for a in range(60) for b in [a // 10 * 10 + rnd.randint(0, 9), a // 10 * 10 + rnd.randint(0, 9), rnd.randint(0, 59)] if a != b}
+    w = spark.createDataFrame([(f"p{a:02d}", f"p{b:02d}", rnd.choice([1.0, 2.5, 4.2])) for a, b in sorted(links)], "a string, b string, weight double")
+    written, table = [], graph.shared_table
+    monkeypatch.setattr(graph, "shared_table", lambda df: written.append(1) or table(df))
+    found, tables = [], []
+    for most in (1 << 20, 20, 0):
+        monkeypatch.setattr(graph, "AT_ONCE", most, raising=False)
+        written.clear()
+        found.append({r.id: r.community for r in graph.louvain(w).collect()})
+        tables.append(len(written))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 60 and 2 < len(set(found[0].values())) < 20
+    # a round is no table where one task holds the graph
+    assert tables[0] <= 3 < tables[2]
+
+
 @pytest.mark.parametrize("n", [0, 1, 50])
 def test_numbering_without_one_task(spark, n):
     df = spark.createDataFrame([(i * 7 % 50, "x") for i in range(n)], "v int, y string")
