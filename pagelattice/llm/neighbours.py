@@ -27,6 +27,8 @@ from pagelattice.session import shared_checkpoint
 
 #: Vectors per leaf that a node is cut for, its most children, and the sampled rows per child: a fit has FAN * SAMPLE rows at most.
 CELL, FAN, SAMPLE = 600, 1024, 32
+#: On its way down a vector follows so many times as many nodes as it may end in leaves: the leaf of a near pivot often lies in a farther node.
+WIDER = 4
 #: The greatest size of a shard; a vector lies in up to four, so a shard has about three times CELL.
 SHARD = 4096
 #: Links of a node in the upper layers and in layer 0; candidates looked at for them; nodes of a layer per node above.
@@ -231,25 +233,32 @@ class Tree:
 
     def _descend(self, x: np.ndarray, probes: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
         rows, at, sim = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), np.ones(len(x), dtype=np.float32)
-        open_ = set(np.unique(at).tolist()) & self.inner.keys()
-        while open_:
-            new = [(rows[keep], at[keep], sim[keep]) for keep in [~np.isin(at, list(open_))]]
-            for node in open_:
-                r = rows[at == node]
-                pivots, first = self.inner[node]
+        inner = np.array(sorted(self.inner), dtype=np.int64)
+        while (down := np.isin(at, inner)).any():
+            order = np.flatnonzero(down)[np.argsort(at[down], kind="stable")]
+            new = [(rows[~down], at[~down], sim[~down])]
+            for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                r = rows[part]
+                pivots, first = self.inner[int(at[part[0]])]
                 s = x[r] @ pivots.T
-                w = min(probes, s.shape[1])
+                # of leaves no more than ``probes`` can be among the nearest of all
+                leads_on = np.searchsorted(inner, first + len(pivots)) > np.searchsorted(inner, first)
+                w = min(probes * WIDER if leads_on else probes, s.shape[1])
                 top = np.argpartition(-s, w - 1, axis=1)[:, :w]
                 new.append((np.repeat(r, w), (top + first).ravel(), np.take_along_axis(s, top, 1).ravel()))
-            rows, at, sim = (np.concatenate(c) for c in zip(*new, strict=True))
-            order = np.lexsort((at, -sim, rows))
-            rows, at, sim = rows[order], at[order], sim[order]
-            keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < probes
-            rows, at, sim = rows[keep], at[keep], sim[keep]
-            open_ = set(np.unique(at).tolist()) & self.inner.keys()
+            rows, at, sim = self._first(*(np.concatenate(c) for c in zip(*new, strict=True)), probes * WIDER)
+        rows, at, sim = self._first(rows, at, sim, probes)
         near = sim >= sim[np.searchsorted(rows, rows)] - margin
         return rows[near], at[near]
 
+    @staticmethod
+    def _first(rows: np.ndarray, at: np.ndarray, sim: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ``n`` most similar nodes of each row."""
+        order = np.lexsort((at, -sim, rows))
+        rows, at, sim = rows[order], at[order], sim[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < n
+        return rows[keep], at[keep], sim[keep]
+
 
 def _hash(ids: np.ndarray, factor: int, shift: int) -> np.ndarray:
     return (ids.astype(np.uint64) * np.uint64(factor)) >> np.uint64(shift)

@@ -107,6 +107,22 @@ def test_vectors_too_alike_for_pivots_are_cut_by_hash(spark, monkeypatch):
     assert len(got) == 1200 and all(r.score > 0.999 for r in got)
 
 
+def test_a_tree_leads_to_the_nearest_leaves_behind_farther_nodes():
+    rng = np.random.default_rng(3)
+    pivots = neighbours._unit(rng.normal(size=(256, 16))).astype(np.float32)
+    tree = neighbours.Tree()
+    mine = np.argsort(pivots[:, 0], kind="stable").reshape(16, 16)
+    tree.grow(0, neighbours._unit(pivots[mine].sum(1)).astype(np.float32))
+    for k in range(16):
+        tree.grow(1 + k, pivots[mine[k]])
+    x = neighbours._unit(rng.normal(size=(500, 16))).astype(np.float32)
+    rows, leaf = tree.leaves(x, 4, 9.0)
+    found = {(r, n) for r, n in zip(rows.tolist(), mine.ravel()[leaf - 17].tolist(), strict=True)}
+    best = {(r, int(n)) for r, s in enumerate(x @ pivots.T) for n in np.argsort(-s)[:4]}
+    # all sixteen nodes are followed: these are the leaves of a flat search
+    assert found == best
+
+
 def test_routing_keeps_its_memory_small():
     import tracemalloc
 
