@@ -29,6 +29,8 @@ from pagelattice.session import shared_checkpoint
 CELL, FAN, SAMPLE = 600, 1024, 32
 #: On its way down a vector follows so many times as many nodes as it may end in leaves: the leaf of a near pivot often lies in a farther node.
 WIDER = 4
+#: Copies of vectors that are handed on at once.
+ROUTED = 1 << 16
 #: The greatest size of a shard; a vector lies in up to four, so a shard has about three times CELL.
 SHARD = 4096
 #: Links of a node in the upper layers and in layer 0; candidates looked at for them; nodes of a layer per node above.
@@ -213,7 +215,8 @@ def fit_pivots(sample: np.ndarray, n: int, rounds: int = 3) -> np.ndarray:
 class Tree:
     """Pivots of inner nodes: ``inner[node]`` is the matrix of its children's pivots and the number of the first child. 0 is the root.
 
-    A leaf that holds vectors too alike to be cut by pivots is cut by a hash of the id into ``parts`` shards.
+    A leaf that holds vectors too alike to be cut by pivots is cut by a hash of the id into ``parts`` blocks; every two blocks
+    are a shard, so that any two of its vectors meet.
     """
 
     def __init__(self):
@@ -267,7 +270,7 @@ def _hash(ids: np.ndarray, factor: int, shift: int) -> np.ndarray:
 def pivot_tree(points: DataFrame, n: int, size: int, probes: int, margin: float, depth: int = 16) -> Tree:
     """The tree over ``points`` (``id, v``), of which there are ``n``. Grown level by level; of each level only nodes that are too large reach the driver.
 
-    A node that hardly gets smaller by its parent's cut, or still is too large at ``depth``, is cut by hash.
+    A node that hardly gets smaller by its parent's cut, or still is too large at ``depth``, is compared by pairs of blocks.
     """
     sc, tree = points.sparkSession.sparkContext, Tree()
     large = {0: n} if n > SHARD else {}
@@ -287,10 +290,10 @@ def pivot_tree(points: DataFrame, n: int, size: int, probes: int, margin: float,
         large = {}
         for node, k in sizes.items():
             if k > 0.9 * before.get(node, math.inf):
-                tree.parts[node] = -(-k // SHARD)
+                tree.parts[node] = -(-2 * k // SHARD)
             elif node not in tree.parts:
                 large[node] = k
-    tree.parts |= {node: -(-k // SHARD) for node, k in large.items()}
+    tree.parts |= {node: -(-2 * k // SHARD) for node, k in large.items()}
     return tree
 
 
@@ -331,7 +334,7 @@ def _sizes(points: DataFrame, tree, size: int, probes: int, margin: float) -> di
 
 
 def routed(points: DataFrame, tree: Tree, size: int, probes: int, margin: float) -> DataFrame:
-    """``leaf, part, id, v``: every point once for each of its leaves, ``probes`` at most."""
+    """``leaf, part, id, v``: every point once for each of its leaves, ``probes`` at most; in a leaf of blocks once for each other block."""
     held = points.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches):
@@ -339,10 +342,20 @@ def routed(points: DataFrame, tree: Tree, size: int, probes: int, margin: float)
         for b in batches:
             x = _floats(b.column(1), size)
             rows, leaf = tree.leaves(_unit(x).astype(np.float32), probes, margin)
-            ids = b.column(0).to_numpy()[rows]
-            parts = np.array([tree.parts.get(int(k), 1) for k in leaf], dtype=np.uint64) if tree.parts else np.uint64(1)
-            part = (_hash(ids, 0x9E3779B97F4A7C15, 33) % parts).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(part), pa.array(ids), _raw(x[rows])], names=["leaf", "part", "id", "v"])
+            ids, part = b.column(0).to_numpy()[rows], np.zeros(len(rows), dtype=np.int64)
+            if tree.parts:
+                blocks = np.array([tree.parts.get(int(k), 1) for k in leaf], dtype=np.int64)
+                mine = (_hash(ids, 0x9E3779B97F4A7C15, 33) % blocks.astype(np.uint64)).astype(np.int64)
+                times = np.maximum(blocks - 1, 1)
+                src = np.repeat(np.arange(len(rows)), times)
+                other = np.arange(len(src)) - np.repeat(np.cumsum(times) - times, times)
+                rows, leaf, ids, mine, blocks = rows[src], leaf[src], ids[src], mine[src], blocks[src]
+                other += (other >= mine) & (blocks > 1)
+                part = np.minimum(mine, other) * blocks + np.maximum(mine, other)
+            # copies of a crowded leaf's vectors in batches of bounded size
+            for s in range(0, len(rows), ROUTED):
+                part_, r = slice(s, s + ROUTED), rows[s : s + ROUTED]
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[part_], pa.int64()), pa.array(part[part_]), pa.array(ids[part_]), _raw(x[r])], names=["leaf", "part", "id", "v"])
 
     return points.select("id", "v").mapInArrow(run, "leaf bigint, part bigint, id bigint, v binary")
 

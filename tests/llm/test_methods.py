@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagelattice.llm import leakage, nearcopies, neighbours, sentences, setjoin, splitting, survivors
 
@@ -107,6 +108,18 @@ def test_vectors_too_alike_for_pivots_are_cut_by_hash(spark, monkeypatch):
     assert len(got) == 1200 and all(r.score > 0.999 for r in got)
 
 
+def test_vectors_too_alike_for_pivots_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 50)
+    # pairs close together among vectors that all are alike: a partner in another block must not be lost
+    rows = [(i, [1.0, 1e-3 * (i // 2) + 1e-6 * (i % 2), 0.0, 0.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    tree = neighbours.Tree()
+    tree.parts[0] = 12
+    shards = neighbours.routed(neighbours.usable_vectors(df, "vec_id", "embedding", 4), tree, 4, 4, 0.15).groupBy("leaf", "part").agg(F.collect_list("id").alias("ids")).collect()
+    met = {(a, b) for r in shards for a in r.ids for b in r.ids if a != b}
+    assert len(met) == 300 * 299 and max(len(r.ids) for r in shards) < 100
+
+
 def test_a_tree_leads_to_the_nearest_leaves_behind_farther_nodes():
     rng = np.random.default_rng(3)
     pivots = neighbours._unit(rng.normal(size=(256, 16))).astype(np.float32)
