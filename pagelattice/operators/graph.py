@@ -47,21 +47,29 @@ def affinity(a: Column, b: Column) -> Column:
     return out
 
 
-def resolve_links(links: DataFrame, pages: DataFrame) -> DataFrame:
+def resolve_links(links: DataFrame, pages: DataFrame, to: str = "id") -> DataFrame:
     """``src, dst, times``: links whose target names a page, by the first of four spellings that does.
 
-    links: ``src, target``; pages: ``id``. The spellings, most exact first: as it is; in lower case with hyphens for blanks;
-    in lower case; by the normalised key. Each is an equi-join of the distinct targets; of several pages the lowest id wins.
-    Links to the page itself and to no page are dropped. Null and blank targets are no links.
+    links: ``src, target``; pages: ``id`` and, if other than that, ``to``, which stands for the page in ``src`` and ``dst`` and
+    has the order of the ids. The spellings, most exact first: as it is; in lower case with hyphens for blanks; in lower case;
+    by the normalised key. Each is an equi-join, the last three of the distinct targets that the first leaves; of several pages
+    the lowest wins. Links to the page itself and to no page are dropped. Null and blank targets are no links.
     """
     raw = F.trim("target")
-    counted = links.where(F.col("src").isNotNull() & (F.coalesce(raw, F.lit("")) != "")).groupBy("src", raw.alias("target")).agg(F.count(F.lit(1)).alias("times"))
-    targets = counted.select("target").distinct()
+    given = links.where(F.col("src").isNotNull() & (F.coalesce(raw, F.lit("")) != "")).select("src", raw.alias("target"))
+    exact = pages.groupBy(F.col("id").alias("target")).agg(F.min(to).alias("dst"))
+    tried = shared_table(given.join(exact, "target", "left").select("src", "dst", F.when(F.col("dst").isNull(), F.col("target")).alias("target")))
+    rest = tried.where("dst IS NULL").select("src", "target")
+    form = lambda n, key, k: F.struct(F.lit(n).alias("n"), F.lit(key).alias("key"), k.alias("k"))
     low = F.lower("target")
-    forms = [(1, F.col("target"), F.col("id")), (2, F.regexp_replace(low, r"\s+", "-"), F.lower("id")), (3, low, F.lower("id")), (4, page_key(F.col("target")), page_key(F.col("id")))]
-    found = [targets.select("target", t.alias("k")).join(pages.select(p.alias("k"), "id").groupBy("k").agg(F.min("id").alias("id")), "k").select("target", F.lit(n).alias("n"), "id") for n, t, p in forms]
-    best = reduce(DataFrame.unionByName, found).groupBy("target").agg(F.min(F.struct("n", "id")).alias("m")).select("target", F.col("m.id").alias("dst"))
-    return counted.join(best, "target").where("src <> dst").groupBy("src", "dst").agg(F.sum("times").alias("times"))
+    joined = F.regexp_replace(low, r"\s+", "-")
+    forms = F.array(form(2, False, joined), form(3, False, F.when(joined != low, low)), form(4, True, page_key(F.col("target"))))
+    asked = rest.select("target").distinct().select("target", F.explode(forms).alias("f")).select("target", "f.*").where("k IS NOT NULL")
+    held = pages.select(F.col(to).alias("dst"), F.explode(F.array(form(0, False, F.lower("id")), form(0, True, page_key(F.col("id"))))).alias("f"))
+    held = held.groupBy("f.key", "f.k").agg(F.min("dst").alias("dst"))
+    best = asked.join(held, ["key", "k"]).groupBy("target").agg(F.min(F.struct("n", "dst")).alias("m")).select("target", F.col("m.dst").alias("dst"))
+    found = tried.where("dst IS NOT NULL").select("src", "dst").unionByName(rest.join(best, "target").select("src", "dst"))
+    return found.where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -84,38 +92,55 @@ def link_counts(pairs: DataFrame, every: bool) -> DataFrame:
 
 def shared_sources(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``a, b, shared``: sources that both ends of a pair name. nodes: ``id, sources``; arrays are compared pair by pair, so a source that many pages share joins nothing."""
-    s = nodes.select("id", F.array_distinct(F.filter(F.coalesce("sources", F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))).alias("s"))
+    s = nodes.select("id", _sources().alias("s"))
     j = pairs.select("a", "b").join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return j.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"))
 
 
-def triangles(pairs: DataFrame) -> DataFrame:
-    """``u, v, w``: every triangle once; edges point to the end with more links, wedges start at the lowest end."""
-    size = link_counts(pairs.withColumn("times", F.lit(1)), every=False)
-    d = pairs.select("a", "b").join(size.select(F.col("id").alias("a"), F.col("link_count").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("link_count").alias("nb")), "b")
+def triangles(sized: DataFrame) -> DataFrame:
+    """``u, v, w``: every triangle once; edges point to the end with more links, wedges start at the lowest end. sized: ``a, b, na, nb``, the pairs with the number of pairs at each end."""
     first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    e = d.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"))
+    e = sized.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"))
     wedge = e.join(e.select("u", F.col("v").alias("w")), "u").where("v < w")
-    return wedge.join(pairs.select(F.col("a").alias("v"), F.col("b").alias("w")), ["v", "w"], "left_semi").select("u", "v", "w")
+    return wedge.join(sized.select(F.col("a").alias("v"), F.col("b").alias("w")), ["v", "w"], "left_semi").select("u", "v", "w")
 
 
-def adamic_adar(pairs: DataFrame, degree: DataFrame) -> DataFrame:
-    """``a, b, aa``: for each linked pair the sum of 1 / ln(degree) over shared neighbours, degrees below two counting as two."""
-    t = triangles(pairs)
-    sides = reduce(DataFrame.unionByName, [t.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.col(z).alias("id")) for x, y, z in (("u", "v", "w"), ("u", "w", "v"), ("v", "w", "u"))])
-    return sides.join(degree.select("id", "degree"), "id").groupBy("a", "b").agg(F.sum(1 / F.log(F.greatest(F.col("degree").cast("double"), F.lit(2.0)))).alias("aa"))
+def adamic_adar(sized: DataFrame, degree: DataFrame) -> DataFrame:
+    """``a, b, aa``: for each linked pair the sum of 1 / ln(degree) over shared neighbours, degrees below two counting as two. sized: as for ``triangles``."""
+    sides = lambda x, y, z: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.col(z).alias("id"))
+    t = triangles(sized).select(F.explode(F.array(sides("u", "v", "w"), sides("u", "w", "v"), sides("v", "w", "u"))).alias("t")).select("t.*")
+    return t.join(degree.select("id", "degree"), "id").groupBy("a", "b").agg(F.sum(1 / F.log(F.greatest(F.col("degree").cast("double"), F.lit(2.0)))).alias("aa"))
 
 
-def relevance(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``a, b, ways, shared, aa, weight`` of every linked pair. nodes: ``id, type, sources``. ``edges`` are read several times: hand in a table or checkpoint."""
-    pairs = shared_checkpoint(undirected(edges))
-    return _weighed(pairs, adamic_adar(pairs, degrees(edges)), nodes)
+def relevance(edges: DataFrame, nodes: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """``a, b, ways, shared, aa, weight`` of every linked pair. nodes: ``id, type, sources``. ``pairs``: what ``undirected`` makes of ``edges``, as a table; where it is given, ``edges`` are not read.
+
+    Both ends' types, counts and sources are joined once. Sources go along as hashes, and only pairs that have one of these in
+    common are compared by the sources themselves.
+    """
+    pairs = shared_table(undirected(edges)) if pairs is None else pairs
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), "ways"), F.struct(F.col("b").alias("id"), "ways"))).alias("x"))
+    count = shared_table(ends.groupBy("x.id").agg(F.count(F.lit(1)).alias("n"), F.sum("x.ways").alias("degree")))
+    hashes = F.array_distinct(F.transform(_sources(), lambda x: F.hash(x)))
+    held = count.select("id", "n").join(nodes.select("id", "type", hashes.alias("s")), "id", "left")
+    side = lambda x: held.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("type").alias(f"t{x}"), F.col("s").alias(f"s{x}"))
+    both = pairs.select("a", "b", "ways").join(side("a"), "a").join(side("b"), "b")
+    both = shared_table(both.select("a", "b", "ways", "na", "nb", "ta", "tb", F.coalesce(F.arrays_overlap("sa", "sb"), F.lit(False)).alias("near")))
+    shared = shared_sources(both.where("near"), nodes)
+    return _scored(both.join(shared, ["a", "b"], "left").join(adamic_adar(both, count), ["a", "b"], "left"))
+
+
+def _sources() -> Column:
+    return F.array_distinct(F.filter(F.coalesce("sources", F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")))
 
 
 def _weighed(pairs: DataFrame, aa: DataFrame, nodes: DataFrame) -> DataFrame:
     types = nodes.select("id", F.col("type"))
     out = pairs.join(shared_sources(pairs, nodes), ["a", "b"], "left").join(aa, ["a", "b"], "left")
-    out = out.join(types.select(F.col("id").alias("a"), F.col("type").alias("ta")), "a", "left").join(types.select(F.col("id").alias("b"), F.col("type").alias("tb")), "b", "left")
+    return _scored(out.join(types.select(F.col("id").alias("a"), F.col("type").alias("ta")), "a", "left").join(types.select(F.col("id").alias("b"), F.col("type").alias("tb")), "b", "left"))
+
+
+def _scored(out: DataFrame) -> DataFrame:
     shared, aa = F.coalesce("shared", F.lit(0)), F.coalesce("aa", F.lit(0.0))
     weight = F.col("ways") * DIRECT + shared * SOURCE + aa * NEIGHBOUR + affinity(F.coalesce("ta", F.lit("")), F.coalesce("tb", F.lit("")))
     return out.select("a", "b", "ways", shared.alias("shared"), aa.alias("aa"), weight.alias("weight"), F.col("ta").alias("type_a"), F.col("tb").alias("type_b"))
@@ -211,13 +236,14 @@ def louvain(weighted: DataFrame, resolution: float = 1.0, guard: int = 200) -> D
     Each round over a large graph is a few jobs and a written table. Once a graph, at first or after some levels, has AT_ONCE
     rows at most, one task makes the same moves in arrays: where a graph is looked at changes nothing in what is found.
     """
-    ends = weighted.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("weight").cast("double").alias("w"))
-    ids = ends.select(F.col("a").alias("id")).union(ends.select(F.col("b").alias("id"))).where("id IS NOT NULL").distinct()
+    kind = "bigint" if dict(weighted.dtypes)["a"] == "bigint" else "string"
+    ends = weighted.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), F.col("weight").cast("double").alias("w"))
+    ids = ends.select(F.explode(F.array("a", "b")).alias("id")).where("id IS NOT NULL").distinct()
     names = shared_table(numbered(ids, [F.col("id")], "c").select("id", F.col("c").cast("bigint").alias("c")))
     at = lambda x, y: names.select(F.col("id").alias(x), F.col("c").alias(y))
-    e = ends.join(at("a", "u"), "a").join(at("b", "v"), "b").select("u", "v", "w")
-    e = shared_table(e.select(F.explode(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))).alias("x")).select("x.*"))
-    n, total = e.agg(F.count(F.lit(1)), F.sum("w")).first()
+    e = shared_table(ends.join(at("a", "u"), "a").join(at("b", "v"), "b").select("u", "v", "w"))
+    n, total = e.agg(2 * F.count(F.lit(1)), 2 * F.sum("w")).first()
+    e = e.select(F.explode(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))).alias("x")).select("x.*")
     if not total:
         return names.select("id", F.lit(0).cast("bigint").alias("community"))
     place, level, last = names, 0, False
@@ -307,25 +333,29 @@ def moved(u: np.ndarray, v: np.ndarray, w: np.ndarray, h: np.ndarray, total: flo
     n = len(h)
     k = np.bincount(u, w, n)
     other = u != v
-    u, v, w = u[other], v[other], np.append(w[other], np.zeros(n))
-    c, every = np.arange(n), np.arange(n)
+    u, v, w = u[other], v[other], w[other]
+    c = np.arange(n)
     best, best_q, stale, still, alone = c, None, 0, 0, True
     for r in range(guard):
         mass = np.bincount(c, k, n)
-        key = np.concatenate([u * n + c[v], every * n + c])
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        into, key = np.add.reduceat(w[order], starts), key[starts]
-        node, t = key // n, key % n
-        here = t == c[node]
-        gain = np.round(into - resolution * k[node] * (mass[t] - np.where(here, k[node], 0.0)) / total, 9)
-        first = np.searchsorted(node, every)
-        top = gain == np.maximum.reduceat(gain, first)[node]
-        to = np.where(np.logical_or.reduceat(top & here, first), c, np.maximum.reduceat(np.where(top, t, -1), first))
-        q = float((into[here] - resolution * k * mass[c] / total).sum())
+        inside = c[u] == c[v]
+        q = float(w[inside].sum() - resolution * (k * mass[c]).sum() / total)
         turn = (h >> np.int64(_bit(level, r)) & 1) == r % 2
-        new = np.where(turn, to, c)
+        mine, some = np.flatnonzero(turn), np.flatnonzero(turn[u])  # only they are looked at
+        new = c
+        if len(mine):
+            key = np.concatenate([u[some] * n + c[v[some]], mine * n + c[mine]])
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            into, key = np.add.reduceat(np.append(w[some], np.zeros(len(mine)))[order], starts), key[starts]
+            node, t = np.divmod(key, n)
+            here = t == c[node]
+            gain = np.round(into - resolution * k[node] * (mass[t] - np.where(here, k[node], 0.0)) / total, 9)
+            first = np.searchsorted(node, mine)
+            top = gain == np.repeat(np.maximum.reduceat(gain, first), np.diff(np.append(first, len(node))))
+            new = c.copy()
+            new[mine] = np.where(np.logical_or.reduceat(top & here, first), c[mine], np.maximum.reduceat(np.where(top, t, -1), first))
         if best_q is None or q > best_q + GAIN * total:
             best, best_q, stale, alone = c, q, 0, best_q is None
         else:
@@ -372,15 +402,20 @@ def community_stats(pairs: DataFrame, communities: DataFrame, nodes: DataFrame,
     inner = inner.where("ca = cb").groupBy(F.col("ca").alias("community")).agg(F.count(F.lit(1)).alias("n_inner"))
     size = c.groupBy("community").agg(F.count(F.lit(1)).alias("n_nodes"))
     w = Window.partitionBy("community").orderBy(F.desc(F.coalesce("link_count", F.lit(0))), "id")
-    top = c.join(counts, "id", "left").join(nodes.select("id", "label"), "id", "left").withColumn("r", F.row_number().over(w)).where("r <= 5")
+    top = c.join(counts, "id", "left").withColumn("r", F.row_number().over(w)).where("r <= 5").join(nodes.select("id", "label"), "id", "left")
     top = top.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "label"))), lambda x: x["label"]), "|").alias("top_nodes"))
     possible = F.greatest(F.col("n_nodes") * (F.col("n_nodes") - 1) / 2, F.lit(1.0))
     return size.join(inner, "community", "left").join(top, "community", "left").select("community", "n_nodes", (F.coalesce("n_inner", F.lit(0)) / possible).alias("cohesion"), "top_nodes")
 
 
+def _name(nodes: DataFrame) -> Column:
+    """What names a page: ``name`` where ``id`` is only its number, in the order of the names."""
+    return F.col("name") if "name" in nodes.columns else F.col("id")
+
+
 def surprising(weighted: DataFrame, nodes: DataFrame, communities: DataFrame, counts: DataFrame, n: int = 5) -> DataFrame:
-    """``a, b, score, reasons``: linked pairs that one wouldn't expect, the ``n`` of the highest score of three or more."""
-    info = nodes.join(communities, "id", "left").join(counts, "id", "left").select("id", "type", "community", F.coalesce("link_count", F.lit(0)).alias("n")).where(~F.lower("id").isin(STRUCTURAL[:3]))
+    """``a, b, score, reasons``: linked pairs that one wouldn't expect, the ``n`` of the highest score of three or more. nodes: ``id, type`` and, where ids are numbers, ``name``."""
+    info = nodes.join(communities, "id", "left").join(counts, "id", "left").select("id", _name(nodes).alias("name"), "type", "community", F.coalesce("link_count", F.lit(0)).alias("n")).where(~F.lower("name").isin(STRUCTURAL[:3]))
     most = counts.agg(F.max("link_count").alias("most"))
     side = lambda x: info.select(F.col("id").alias(x), F.col("type").alias(f"t{x}"), F.col("community").alias(f"c{x}"), F.col("n").alias(f"n{x}"))
     j = weighted.select("a", "b", "weight").join(side("a"), "a").join(side("b"), "b").crossJoin(F.broadcast(most))
@@ -393,6 +428,10 @@ def surprising(weighted: DataFrame, nodes: DataFrame, communities: DataFrame, co
     reasons = F.concat_ws("|", *[F.when(t, r) for t, _, r in tests])
     w = Window.orderBy(F.desc("score"), "a", "b")
     top = j.select("a", "b", score.cast("bigint").alias("score"), reasons.alias("reasons")).where("score >= 3").orderBy(F.desc("score"), "a", "b").limit(n)
+    if "name" in nodes.columns:
+        for x in "ab":
+            top = top.join(nodes.select(F.col("id").alias(x), F.col("name").alias(f"name_{x}")), x)
+        top = top.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "score", "reasons")
     return top.withColumn("turn", F.row_number().over(w).cast("bigint"))
 
 
@@ -402,13 +441,15 @@ def neighbour_communities(pairs: DataFrame, communities: DataFrame) -> DataFrame
     return ends.join(communities.select(F.col("id").alias("o"), "community"), "o").select("id", "community").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_communities"))
 
 
-def knowledge_gaps(pairs: DataFrame, nodes: DataFrame, communities: DataFrame, counts: DataFrame) -> DataFrame:
-    """``kind, key, n``: pages with one link at most, communities of three or more that hardly hang together, pages between three or more communities."""
-    linked = nodes.join(counts, "id", "left").select("id", F.coalesce("link_count", F.lit(0)).cast("bigint").alias("n"))
-    alone = linked.where(~F.lower("id").isin(STRUCTURAL[:3]) & (F.col("n") <= 1)).select(F.lit("isolated").alias("kind"), F.col("id").alias("key"), "n")
-    stats = community_stats(pairs, communities, nodes, counts)
+def knowledge_gaps(pairs: DataFrame, nodes: DataFrame, communities: DataFrame, counts: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """``kind, key, n``: pages with one link at most, communities of three or more that hardly hang together, pages between three or more communities. nodes: ``id, label`` and, where ids are numbers, ``name``; ``stats``: as ``community_stats`` gives them, if at hand."""
+    linked = nodes.join(counts, "id", "left").select(_name(nodes).alias("key"), F.coalesce("link_count", F.lit(0)).cast("bigint").alias("n"))
+    alone = linked.where(~F.lower("key").isin(STRUCTURAL[:3]) & (F.col("n") <= 1)).select(F.lit("isolated").alias("kind"), "key", "n")
+    stats = community_stats(pairs, communities, nodes, counts) if stats is None else stats
     sparse = stats.where("cohesion < 0.15 AND n_nodes >= 3").select(F.lit("sparse").alias("kind"), F.col("community").cast("string").alias("key"), F.col("n_nodes").alias("n"))
-    bridges = neighbour_communities(pairs, communities).where("n_communities >= 3").select(F.lit("bridge").alias("kind"), F.col("id").alias("key"), F.col("n_communities").alias("n"))
+    bridges = neighbour_communities(pairs, communities).where("n_communities >= 3")
+    bridges = bridges.join(nodes.select("id", "name"), "id") if "name" in nodes.columns else bridges
+    bridges = bridges.select(F.lit("bridge").alias("kind"), _name(nodes).alias("key"), F.col("n_communities").alias("n"))
     return alone.unionByName(sparse).unionByName(bridges)
 
 
@@ -418,13 +459,14 @@ def gap_report(gaps: DataFrame, nodes: DataFrame, stats: DataFrame, limit: int =
     One row stands for all isolated pages and names the first of them; sparse communities follow in order of their numbers
     under their most linked page; then the ``bridges`` pages that join most communities. Ties go to the lower id.
     """
+    labels = nodes.select(_name(nodes).alias("key"), "label")
     alone = gaps.where("kind = 'isolated'")
-    few = alone.join(nodes.select(F.col("id").alias("key"), "label"), "key").orderBy("key").limit(names)
+    few = alone.join(labels, "key").orderBy("key").limit(names)
     few = few.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "label"))), lambda x: x.label), ", ").alias("names"))
     one = alone.agg(F.count(F.lit(1)).alias("n")).where("n > 0").crossJoin(few).select(F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("a"), F.lit("").alias("b"), F.lit("isolated").alias("kind"), F.concat(F.col("n").cast("string"), F.lit(" isolated pages")).alias("title"), "n", "names")
     sparse = gaps.where("kind = 'sparse'").join(stats.select(F.col("community").cast("string").alias("key"), "top_nodes"), "key")
     sparse = sparse.select(F.lit(1).alias("part"), F.col("key").try_cast("bigint").alias("a"), F.col("key").alias("b"), "kind", F.substring_index("top_nodes", "|", 1).alias("title"), "n", F.replace("top_nodes", F.lit("|"), F.lit(", ")).alias("names"))
-    most = gaps.where("kind = 'bridge' AND NOT lower(key) IN ('index', 'log', 'overview')").orderBy(F.desc("n"), "key").limit(bridges).join(nodes.select(F.col("id").alias("key"), "label"), "key")
+    most = gaps.where("kind = 'bridge' AND NOT lower(key) IN ('index', 'log', 'overview')").orderBy(F.desc("n"), "key").limit(bridges).join(labels, "key")
     most = most.select(F.lit(2).alias("part"), (-F.col("n")).alias("a"), F.col("key").alias("b"), "kind", F.col("label").alias("title"), "n", F.col("key").alias("names"))
     order = ["part", "a", "b"]
     top = one.unionByName(sparse).unionByName(most).orderBy(*order).limit(limit)

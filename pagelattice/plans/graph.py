@@ -8,17 +8,27 @@ from pagelattice.functions import markdown as M
 from pagelattice.operators import graph as G
 from pagelattice.operators import lint as L
 from pagelattice.plans.references import sql_page_key
-from pagelattice.session import shared_checkpoint, table
+from pagelattice.session import shared_checkpoint, shared_table, table
 
 
 def _nodes(spark, d):
     """The latest record of each page: ``id, label, type, path, sources, links``."""
+    return _latest(table(spark, d, "retrieval_nodes"))
+
+
+def _latest(records):
     last = F.max(F.struct("updated_at", "node_id", "ingested_at", "title", "node_type", "path", "sources", "out_links")).alias("r")
-    n = table(spark, d, "retrieval_nodes").groupBy(F.col("page_id").alias("id")).agg(last)
+    n = records.groupBy(F.col("page_id").alias("id")).agg(last)
     type_ = F.coalesce(F.nullif(F.lower(F.trim("r.node_type")), F.lit("")), F.lit("other"))
     return n.select("id", F.coalesce(F.nullif(F.trim("r.title"), F.lit("")), "id").alias("label"), type_.alias("type"), "r.path", "r.sources", F.col("r.out_links").alias("links"))
 
 
+def numbered_nodes(records):
+    """As ``_nodes``, as a table, with the page's name as ``name`` and as ``id`` a number in the order of the names, so that no later join carries names. Without pages that have none: nothing links to them or from them."""
+    n = _latest(records.where("page_id IS NOT NULL").repartitionByRange("page_id")).withColumnRenamed("id", "name")
+    return shared_table(n.sortWithinPartitions("name").withColumn("id", F.monotonically_increasing_id()))
+
+
 def _links(nodes):
     return nodes.select(F.col("id").alias("src"), F.explode("links").alias("target"))
 
@@ -83,15 +93,15 @@ def initial_cohesion(spark, d):
 
 
 def _found(spark, d):
-    """The graph as in ``_graph``, weighted, with the communities that ``louvain`` finds; a page without links has none."""
-    nodes = _nodes(spark, d)
-    return found_graph(nodes, _edges(nodes))
+    """The graph as in ``_graph``, weighted, with the communities that ``louvain`` finds; a page without links has none. Pages are numbers."""
+    nodes = numbered_nodes(table(spark, d, "retrieval_nodes"))
+    return found_graph(nodes, G.resolve_links(_links(nodes), nodes.select(F.col("name").alias("id"), F.col("id").alias("n")), "n"))
 
 
 def found_graph(nodes, edges):
-    weighted = shared_checkpoint(G.relevance(edges, nodes))
-    pairs = G.undirected(edges)
-    return nodes, weighted, pairs, G.link_counts(pairs, every=True), shared_checkpoint(G.louvain(weighted))
+    pairs = shared_table(G.undirected(edges))
+    weighted = shared_table(G.relevance(edges, nodes, pairs))
+    return nodes, weighted, pairs, G.link_counts(pairs, every=True), shared_table(G.louvain(weighted))
 
 
 def louvain_surprising_links(spark, d):
@@ -109,7 +119,8 @@ def louvain_knowledge_gaps(spark, d):
 def louvain_gap_report(spark, d):
     """The report of the gaps: isolated pages as one row, sparse communities, the foremost bridges, eight rows at most."""
     nodes, _, pairs, counts, c = _found(spark, d)
-    return G.gap_report(G.knowledge_gaps(pairs, nodes, c, counts), nodes, G.community_stats(pairs, c, nodes, counts))
+    stats = shared_table(G.community_stats(pairs, c, nodes, counts))
+    return G.gap_report(shared_table(G.knowledge_gaps(pairs, nodes, c, counts, stats)), nodes, stats)
 
 
 def gap_report(spark, d):

@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagelattice.operators import graph
 from pagelattice.plans import graph as plan
@@ -72,3 +73,35 @@ def test_insights_over_found_communities(spark):
     got = {(r.a, r.b): (r.score, r.reasons) for r in graph.surprising(weighted, nodes, c, counts, 50).collect()}
     assert got == {("w0", "x0"): (4, "communities|types"), ("q", "y0"): (3, "communities"), ("q", "z0"): (3, "communities")}
     assert {(r.kind, r.key, r.n) for r in graph.knowledge_gaps(pairs, nodes, c, counts).collect()} == {("isolated", "lone", 0), ("bridge", "q", 3)}
+
+
+def records_of_pages(spark):
+    """Four groups of pages with a page q between them, an older record, a page that is nobody's, one without a name, one left out of gaps."""
+    groups = [[f"{g}{i}" for i in range(6)] for g in "wxyz"]
+    near = {a: [b for b in g if a < b] for g in groups for a in g} | {"q": ["[[w1]]", "y 0", "Y1", "Z-0", "z1", "q", None, " "]}
+    near["w0"].append("X0")
+    rows = [(i, p, None, "concept" if p == "x0" else " Entity", f"wiki/{p}.md", ["s", None, ""] if p in ("w0", "x0") else None, to, i, i) for i, (p, to) in enumerate(near.items())]
+    rows += [(90, "z0", "old", "query", None, None, ["w2"], -1, 90), (91, "lone", None, None, None, None, None, 5, 5), (92, None, "none", None, None, None, ["w0"], 5, 5), (93, "Index", "i", None, None, None, None, 5, 5)]
+    return spark.createDataFrame(rows, "node_id bigint, page_id string, title string, node_type string, path string, sources array<string>, out_links array<string>, updated_at bigint, ingested_at bigint")
+
+
+def by_name_and_number(spark):
+    records = records_of_pages(spark)
+    nodes = plan._latest(records)
+    named = plan.found_graph(nodes, plan._edges(nodes))
+    n = plan.numbered_nodes(records)
+    return named, plan.found_graph(n, graph.resolve_links(plan._links(n), n.select(F.col("name").alias("id"), F.col("id").alias("n")), "n"))
+
+
+def test_gap_report_over_numbered_pages(spark):
+    named, numbers = by_name_and_number(spark)
+    place = [r.name for r in numbers[0].orderBy("id").collect()]
+    assert place == sorted(place) and len(place) == 27 and numbers[2].dtypes[:2] == [("a", "bigint"), ("b", "bigint")]
+    names = dict(numbers[0].select("id", "name").collect())
+    assert {(names[int(r.id)], r.community) for r in numbers[4].collect()} == {(r.id, r.community) for r in named[4].collect()}
+    got = []
+    for nodes, _, pairs, counts, c in (named, numbers):
+        stats = graph.community_stats(pairs, c, nodes, counts)
+        got.append(graph.gap_report(graph.knowledge_gaps(pairs, nodes, c, counts, stats), nodes, stats).collect())
+    assert got[0] == got[1] and [(r.kind, r.title, r.names) for r in got[0]][:1] == [("isolated", "1 isolated pages", "lone")]
+    assert ("bridge", "q", "q") in [(r.kind, r.title, r.names) for r in got[0]]
