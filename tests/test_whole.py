@@ -105,3 +105,8 @@ def test_gap_report_over_numbered_pages(spark):
         got.append(graph.gap_report(graph.knowledge_gaps(pairs, nodes, c, counts, stats), nodes, stats).collect())
     assert got[0] == got[1] and [(r.kind, r.title, r.names) for r in got[0]][:1] == [("isolated", "1 isolated pages", "lone")]
     assert ("bridge", "q", "q") in [(r.kind, r.title, r.names) for r in got[0]]
+
+
+def test_knowledge_gaps_over_numbered_pages(spark):
+    got = [{tuple(r) for r in graph.knowledge_gaps(pairs, nodes, c, counts).collect()} for nodes, _, pairs, counts, c in by_name_and_number(spark)]
+    assert got[0] == got[1] == {("isolated", "lone", 0), ("bridge", "q", 3)}
