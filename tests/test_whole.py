@@ -110,3 +110,8 @@ def test_gap_report_over_numbered_pages(spark):
 def test_knowledge_gaps_over_numbered_pages(spark):
     got = [{tuple(r) for r in graph.knowledge_gaps(pairs, nodes, c, counts).collect()} for nodes, _, pairs, counts, c in by_name_and_number(spark)]
     assert got[0] == got[1] == {("isolated", "lone", 0), ("bridge", "q", 3)}
+
+
+def test_surprising_links_over_numbered_pages(spark):
+    got = [graph.surprising(weighted, nodes, c, counts, 50).collect() for nodes, weighted, _, counts, c in by_name_and_number(spark)]
+    assert got[0] == got[1] and {(r.a, r.b, r.reasons) for r in got[0]} >= {("w0", "x0", "communities|types"), ("q", "y1", "communities")}
