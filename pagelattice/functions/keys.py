@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 #: A blank in any script; Java's ``\\s`` is ASCII only.
 BLANK = r"[\p{Z}\t\n\x0B\f\r\x{85}]"
+#: The same, one by one.
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 QUOTES = "\"'`“”„‘’‚«»‹›"
 
 
 def strip_blanks(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def is_blank(c: Column) -> Column:
@@ -28,8 +30,8 @@ def page_key(c: Column) -> Column:
     """Key of a page name: no outer blanks, link brackets, alias, anchor, folders or ``.md``; case and separators unified."""
     c = strip_blanks(c)
     c = F.regexp_replace(c, r"^!?\[+|\]+$", "")
-    c = F.regexp_replace(c, r"(?s)[|#].*$", "")
-    c = F.regexp_replace(strip_blanks(c), r"(?s)^.*[/\\]", "")
+    c = F.substring_index(F.substring_index(c, "|", 1), "#", 1)
+    c = F.substring_index(F.substring_index(strip_blanks(c), "/", -1), "\\", -1)
     c = F.regexp_replace(c, r"(?i)\.md$", "")
     return joined_key(strip_blanks(c))
 

@@ -47,29 +47,32 @@ def affinity(a: Column, b: Column) -> Column:
     return out
 
 
-def resolve_links(links: DataFrame, pages: DataFrame, to: str = "id") -> DataFrame:
+def resolve_links(links: DataFrame, pages: DataFrame, to: str = "id", summed: bool = True) -> DataFrame:
     """``src, dst, times``: links whose target names a page, by the first of four spellings that does.
 
     links: ``src, target``; pages: ``id`` and, if other than that, ``to``, which stands for the page in ``src`` and ``dst`` and
     has the order of the ids. The spellings, most exact first: as it is; in lower case with hyphens for blanks; in lower case;
-    by the normalised key. Each is an equi-join, the last three of the distinct targets that the first leaves; of several pages
-    the lowest wins. Links to the page itself and to no page are dropped. Null and blank targets are no links.
+    by the normalised key. The first is an equi-join, the other three are one, of the distinct targets that the first leaves; of
+    several pages the lowest wins. Links to the page itself and to no page are dropped. Null and blank targets are no links.
+    Not ``summed``, each link is a row with ``times`` 1.
     """
     raw = F.trim("target")
     given = links.where(F.col("src").isNotNull() & (F.coalesce(raw, F.lit("")) != "")).select("src", raw.alias("target"))
-    exact = pages.groupBy(F.col("id").alias("target")).agg(F.min(to).alias("dst"))
+    exact = pages.groupBy(F.col("id").alias("target")).agg(F.min(to).alias("dst")).hint("shuffle_hash")
     tried = shared_table(given.join(exact, "target", "left").select("src", "dst", F.when(F.col("dst").isNull(), F.col("target")).alias("target")))
     rest = tried.where("dst IS NULL").select("src", "target")
-    form = lambda n, key, k: F.struct(F.lit(n).alias("n"), F.lit(key).alias("key"), k.alias("k"))
+    # a target asks for each different text that its spellings make, once; a page is held under its two texts in the same way
     low = F.lower("target")
-    joined = F.regexp_replace(low, r"\s+", "-")
-    forms = F.array(form(2, False, joined), form(3, False, F.when(joined != low, low)), form(4, True, page_key(F.col("target"))))
-    asked = rest.select("target").distinct().select("target", F.explode(forms).alias("f")).select("target", "f.*").where("k IS NOT NULL")
-    held = pages.select(F.col(to).alias("dst"), F.explode(F.array(form(0, False, F.lower("id")), form(0, True, page_key(F.col("id"))))).alias("f"))
-    held = held.groupBy("f.key", "f.k").agg(F.min("dst").alias("dst"))
-    best = asked.join(held, ["key", "k"]).groupBy("target").agg(F.min(F.struct("n", "dst")).alias("m")).select("target", F.col("m.dst").alias("dst"))
-    found = tried.where("dst IS NOT NULL").select("src", "dst").unionByName(rest.join(best, "target").select("src", "dst"))
-    return found.where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
+    asked = rest.select("target").distinct().select("target", F.regexp_replace(low, r"\s+", "-").alias("k2"), low.alias("k3"), page_key(F.col("target")).alias("k4"))
+    asked = asked.select("*", F.explode(F.array_distinct(F.array("k2", "k3", "k4"))).alias("k"))
+    asked = asked.select("target", "k", *[(F.col("k") == F.col(x)).alias(x) for x in ("k2", "k3", "k4")])
+    held = pages.where("id IS NOT NULL").select(F.col(to).alias("dst"), F.lower("id").alias("low"), page_key(F.col("id")).alias("key"))
+    held = held.select("*", F.explode(F.array_distinct(F.array("low", "key"))).alias("k"))
+    held = held.groupBy("k").agg(*[F.min(F.when(F.col("k") == F.col(x), F.col("dst"))).alias(x) for x in ("low", "key")])
+    best = asked.join(held.hint("shuffle_hash"), "k").groupBy("target").agg(*[F.min(F.when(F.col(k), F.col(x))).alias(k) for k, x in (("k2", "low"), ("k3", "low"), ("k4", "key"))])
+    best = best.select("target", F.coalesce("k2", "k3", "k4").alias("dst")).where("dst IS NOT NULL")
+    found = tried.where("dst IS NOT NULL").select("src", "dst").unionByName(rest.join(best, "target").select("src", "dst")).where("src <> dst")
+    return found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")) if summed else found.withColumn("times", F.lit(1).cast("bigint"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -79,8 +82,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """``a, b, times, ways``: one row per linked pair, a < b."""
-    return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("ways"))
+    """``a, b, times, ways``: one row per linked pair, a < b; ``ways`` counts the directions that are there, however many rows each has."""
+    ways = [F.max((x < y).cast("bigint")) for x, y in ((F.col("src"), F.col("dst")), (F.col("dst"), F.col("src")))]
+    return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("times").alias("times"), (ways[0] + ways[1]).alias("ways"))
 
 
 def link_counts(pairs: DataFrame, every: bool) -> DataFrame:
@@ -90,6 +94,13 @@ def link_counts(pairs: DataFrame, every: bool) -> DataFrame:
     return both.groupBy("id").agg(F.sum("n").alias("link_count"))
 
 
+def end_counts(pairs: DataFrame) -> DataFrame:
+    """``id, n, degree, link_count`` of every linked page, as a table: linked pairs, distinct directed edges, every occurrence of a link."""
+    side = lambda x: F.struct(F.col(x).alias("id"), "ways", "times")
+    both = pairs.select(F.explode(F.array(side("a"), side("b"))).alias("x"))
+    return shared_table(both.groupBy("x.id").agg(F.count(F.lit(1)).alias("n"), F.sum("x.ways").alias("degree"), F.sum("x.times").alias("link_count")))
+
+
 def shared_sources(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``a, b, shared``: sources that both ends of a pair name. nodes: ``id, sources``; arrays are compared pair by pair, so a source that many pages share joins nothing."""
     s = nodes.select("id", _sources().alias("s"))
@@ -102,7 +113,7 @@ def triangles(sized: DataFrame) -> DataFrame:
     first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     e = sized.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"))
     wedge = e.join(e.select("u", F.col("v").alias("w")), "u").where("v < w")
-    return wedge.join(sized.select(F.col("a").alias("v"), F.col("b").alias("w")), ["v", "w"], "left_semi").select("u", "v", "w")
+    return wedge.join(sized.select(F.col("a").alias("v"), F.col("b").alias("w")).hint("shuffle_hash"), ["v", "w"], "left_semi").select("u", "v", "w")
 
 
 def adamic_adar(sized: DataFrame, degree: DataFrame) -> DataFrame:
@@ -112,18 +123,17 @@ def adamic_adar(sized: DataFrame, degree: DataFrame) -> DataFrame:
     return t.join(degree.select("id", "degree"), "id").groupBy("a", "b").agg(F.sum(1 / F.log(F.greatest(F.col("degree").cast("double"), F.lit(2.0)))).alias("aa"))
 
 
-def relevance(edges: DataFrame, nodes: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """``a, b, ways, shared, aa, weight`` of every linked pair. nodes: ``id, type, sources``. ``pairs``: what ``undirected`` makes of ``edges``, as a table; where it is given, ``edges`` are not read.
+def relevance(edges: DataFrame, nodes: DataFrame, pairs: DataFrame | None = None, count: DataFrame | None = None) -> DataFrame:
+    """``a, b, ways, shared, aa, weight`` of every linked pair. nodes: ``id, type, sources``. ``pairs``: what ``undirected`` makes of ``edges``, as a table; where it is given, ``edges`` are not read. ``count``: what ``end_counts`` makes of the pairs, if at hand.
 
     Both ends' types, counts and sources are joined once. Sources go along as hashes, and only pairs that have one of these in
     common are compared by the sources themselves.
     """
     pairs = shared_table(undirected(edges)) if pairs is None else pairs
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), "ways"), F.struct(F.col("b").alias("id"), "ways"))).alias("x"))
-    count = shared_table(ends.groupBy("x.id").agg(F.count(F.lit(1)).alias("n"), F.sum("x.ways").alias("degree")))
-    hashes = F.array_distinct(F.transform(_sources(), lambda x: F.hash(x)))
+    count = end_counts(pairs) if count is None else count
+    hashes = F.transform(_sources(), lambda x: F.hash(x))
     held = count.select("id", "n").join(nodes.select("id", "type", hashes.alias("s")), "id", "left")
-    side = lambda x: held.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("type").alias(f"t{x}"), F.col("s").alias(f"s{x}"))
+    side = lambda x: held.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("type").alias(f"t{x}"), F.col("s").alias(f"s{x}")).hint("shuffle_hash")
     both = pairs.select("a", "b", "ways").join(side("a"), "a").join(side("b"), "b")
     both = shared_table(both.select("a", "b", "ways", "na", "nb", "ta", "tb", F.coalesce(F.arrays_overlap("sa", "sb"), F.lit(False)).alias("near")))
     shared = shared_sources(both.where("near"), nodes)
@@ -131,7 +141,7 @@ def relevance(edges: DataFrame, nodes: DataFrame, pairs: DataFrame | None = None
 
 
 def _sources() -> Column:
-    return F.array_distinct(F.filter(F.coalesce("sources", F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")))
+    return F.array_except(F.coalesce("sources", F.array().cast("array<string>")), F.array(F.lit(""), F.lit(None).cast("string")))
 
 
 def _weighed(pairs: DataFrame, aa: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -234,8 +244,14 @@ def louvain(weighted: DataFrame, resolution: float = 1.0, guard: int = 200) -> D
     lowest id. Not deterministic in its grouping only across changes of the input; ids never depend on row order.
 
     Each round over a large graph is a few jobs and a written table. Once a graph, at first or after some levels, has AT_ONCE
-    rows at most, one task makes the same moves in arrays: where a graph is looked at changes nothing in what is found.
+    rows at most, one task makes the same moves in arrays: where a graph is looked at changes nothing in what is found. Where
+    the ids are numbers and the graph is as small at first, that task does all of it.
     """
+    if dict(weighted.dtypes)["a"] == dict(weighted.dtypes)["b"] == "bigint":
+        given = weighted.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b", F.col("weight").cast("double").alias("w"))
+        n, total = given.agg(2 * F.count(F.lit(1)), 2 * F.sum("w")).first()
+        if total and n <= AT_ONCE:
+            return _found_at_once(given, total, resolution, guard)
     kind = "bigint" if dict(weighted.dtypes)["a"] == "bigint" else "string"
     ends = weighted.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), F.col("weight").cast("double").alias("w"))
     ids = ends.select(F.explode(F.array("a", "b")).alias("id")).where("id IS NOT NULL").distinct()
@@ -302,67 +318,165 @@ def _bit(level: int, r: int) -> int:
     return (r // 2 + 17 * level) % 63
 
 
+def _read(batches) -> list[np.ndarray] | None:
+    cols = None
+    for b in batches:
+        cols = cols or [[] for _ in b.columns]
+        for to, c in zip(cols, b.columns, strict=True):
+            to.append(c.to_numpy())
+    return cols and [np.concatenate(c) for c in cols]
+
+
+def _written(ids: np.ndarray, c: np.ndarray, names: list[str]):
+    for s in range(0, len(ids), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[s : s + (1 << 16)]), pa.array(c[s : s + (1 << 16)])], names=names)
+
+
 def _levels_at_once(e: DataFrame, total: float, resolution: float, level: int, guard: int) -> DataFrame:
     """``u, c``: where the moves of this level and of all that follow lead to, in one task."""
 
     def run(batches):
-        cols = [[], [], [], []]
-        for b in batches:
-            for to, c in zip(cols, b.columns, strict=True):
-                to.append(c.to_numpy())
-        if not cols[0]:
-            return
-        u, v, w, h = (np.concatenate(c) for c in cols)
-        cols.clear()
-        ids, first = np.unique(u, return_index=True)
-        h, u, v = h[first], np.searchsorted(ids, u), np.searchsorted(ids, v)
-        place, at, now = np.arange(len(ids)), np.arange(len(ids)), level
-        while (c := moved(u, v, w, h[at], total, resolution, now, guard)) is not None:
-            kept, c = np.unique(c, return_inverse=True)
-            place, at, now = c[place], at[kept], now + 1
-            key, which = np.unique(c[u] * len(kept) + c[v], return_inverse=True)
-            u, v, w = key // len(kept), key % len(kept), np.bincount(which, w)
-        for s in range(0, len(ids), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[s : s + (1 << 16)]), pa.array(ids[at[place[s : s + (1 << 16)]]])], names=["u", "c"])
+        if cols := _read(batches):
+            u, v, w, h = cols
+            ids, first = np.unique(u, return_index=True)
+            yield from _written(ids, ids[settled(np.searchsorted(ids, u), np.searchsorted(ids, v), w, h[first], total, resolution, level, guard)], ["u", "c"])
 
     return e.select("u", "v", "w", F.xxhash64("u").alias("h")).coalesce(1).mapInArrow(run, "u bigint, c bigint")
 
 
+def _found_at_once(ends: DataFrame, total: float, resolution: float, guard: int) -> DataFrame:
+    """``id, community`` as ``louvain`` gives them, in one task. ends: ``a, b, w``, ids as numbers."""
+
+    def run(batches):
+        if cols := _read(batches):
+            a, b, w = cols
+            ids = np.unique(np.concatenate([a, b]))
+            a, b = np.searchsorted(ids, a), np.searchsorted(ids, b)
+            c = settled(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w]), hashed(np.arange(len(ids))), total, resolution, 0, guard)
+            _, first, c, size = np.unique(c, return_index=True, return_inverse=True, return_counts=True)
+            number = np.empty(len(size), np.int64)
+            number[np.lexsort((first, -size))] = np.arange(len(size))  # by size, ties by the lowest id
+            yield from _written(ids, number[c], ["id", "community"])
+
+    return ends.coalesce(1).mapInArrow(run, "id bigint, community bigint")
+
+
+def hashed(x: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of a bigint."""
+    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda y, k: y << np.uint64(k) | y >> np.uint64(64 - k)
+    h = turned(x.astype(np.int64).view(np.uint64) * p2, 31) * p1 ^ (p5 + np.uint64(42 + 8))
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return (h ^ h >> np.uint64(32)).view(np.int64)
+
+
+def settled(u: np.ndarray, v: np.ndarray, w: np.ndarray, h: np.ndarray, total: float, resolution: float, level: int, guard: int) -> np.ndarray:
+    """For each of the nodes 0 to len(h) - 1 the node that its community is named by once no level moves any more."""
+    place, at = np.arange(len(h)), np.arange(len(h))
+    u, v, w = _merged(u, v, w, len(h))
+    while (c := moved(u, v, w, h[at], total, resolution, level, guard)) is not None:
+        kept, c = np.unique(c, return_inverse=True)
+        place, at, level = c[place], at[kept], level + 1
+        u, v, w = _merged(c[u], c[v], w, len(kept))
+    return at[place]
+
+
+def _merged(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row per pair, in the order of the pairs."""
+    key, w = _sums(u * n + v, w, n * n)
+    return key // n, key % n, w
+
+
+def _order(key: np.ndarray, most: int) -> np.ndarray:
+    """The rows in the order of their keys, which are below ``most``. Where a key and its row fit one number, these are sorted, which is faster."""
+    bits = len(key).bit_length()
+    if most.bit_length() + bits > 63:
+        return np.argsort(key, kind="stable")
+    both = key << bits
+    both |= np.arange(len(key))
+    both.sort()
+    both &= (1 << bits) - 1
+    return both
+
+
+def _sums(key: np.ndarray, w: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, ascending, and the sums of ``w`` over each. Keys are below ``most``."""
+    order = _order(key, most)
+    key = key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[starts], np.add.reduceat(w[order], starts)
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length tells, one run behind the other."""
+    return np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+
+
 def moved(u: np.ndarray, v: np.ndarray, w: np.ndarray, h: np.ndarray, total: float, resolution: float, level: int, guard: int) -> np.ndarray | None:
-    """The labels that ``_level`` would find, of nodes 0 to len(h) - 1; None if no move gains anything."""
+    """The labels that ``_level`` would find, of nodes 0 to len(h) - 1; None if no move gains anything. Each link is there once each way, in the order of ``u, v``.
+
+    A node's sums over its neighbours' communities stand until one of these moves, in the rows of its links; all else follows the nodes that move.
+    """
     n = len(h)
     k = np.bincount(u, w, n)
     other = u != v
     u, v, w = u[other], v[other], w[other]
-    c = np.arange(n)
+    count = np.bincount(u, minlength=n)
+    start = np.cumsum(count) - count
+    back = np.empty(len(u), np.int64)  # of each row, the one of the other way
+    back[_order(v * n + u, n * n)] = np.arange(len(u))
+    del u, other
+    c, mass, inside = np.arange(n), k, 0.0
+    there, old, groups, to, into = v.copy(), count > 0, np.zeros(n, np.int64), np.empty(len(v), np.int64), np.empty(len(v))
     best, best_q, stale, still, alone = c, None, 0, 0, True
     for r in range(guard):
-        mass = np.bincount(c, k, n)
-        inside = c[u] == c[v]
-        q = float(w[inside].sum() - resolution * (k * mass[c]).sum() / total)
-        turn = (h >> np.int64(_bit(level, r)) & 1) == r % 2
-        mine, some = np.flatnonzero(turn), np.flatnonzero(turn[u])  # only they are looked at
+        q = float(inside - resolution * (mass * mass).sum() / total)
+        mine = np.flatnonzero(((h >> np.int64(_bit(level, r)) & 1) == r % 2) & (count > 0))  # only they are looked at
         new = c
         if len(mine):
-            key = np.concatenate([u[some] * n + c[v[some]], mine * n + c[mine]])
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            into, key = np.add.reduceat(np.append(w[some], np.zeros(len(mine)))[order], starts), key[starts]
-            node, t = np.divmod(key, n)
-            here = t == c[node]
-            gain = np.round(into - resolution * k[node] * (mass[t] - np.where(here, k[node], 0.0)) / total, 9)
-            first = np.searchsorted(node, mine)
-            top = gain == np.repeat(np.maximum.reduceat(gain, first), np.diff(np.append(first, len(node))))
+            again = mine[old[mine]]
+            if len(again):
+                rows = _runs(start[again], count[again])
+                key, sums = _sums(np.repeat(np.arange(len(again)) * n, count[again]) + there[rows], w[rows], len(again) * n)
+                node = key // n
+                groups[again] = np.bincount(node, minlength=len(again))
+                at = _runs(start[again], groups[again])
+                to[at], into[at], old[again] = key - node * n, sums, False
+            length = groups[mine]
+            end = np.cumsum(length)
+            first = end - length
+            at, own_k = _runs(start[mine], length), k[mine]
+            t = to[at]
+            home = np.flatnonzero(t == np.repeat(c[mine], length))
+            its = np.searchsorted(first, home, side="right") - 1
+            rest = mass[t]
+            rest[home] -= own_k[its]
+            gain = np.round(into[at] - np.repeat(resolution * own_k, length) * rest / total, 9)
+            most = np.maximum.reduceat(gain, first)
+            even = np.flatnonzero(gain == np.repeat(most, length))
+            top = t[even[np.searchsorted(even, end) - 1]]  # the last of them is the highest
+            stay = np.round(0.0 - resolution * own_k * (mass[c[mine]] - own_k) / total, 9)  # where no neighbour is of the own community
+            stay[its] = gain[home]
             new = c.copy()
-            new[mine] = np.where(np.logical_or.reduceat(top & here, first), c[mine], np.maximum.reduceat(np.where(top, t, -1), first))
+            new[mine] = np.where(stay >= most, c[mine], top)
         if best_q is None or q > best_q + GAIN * total:
             best, best_q, stale, alone = c, q, 0, best_q is None
         else:
             stale += 1
-        still = 0 if (new != c).any() else still + 1
+        left = np.flatnonzero(new != c)
+        still = 0 if len(left) else still + 1
         if still == 2 or stale == PATIENCE:
             return None if alone else best
+        if len(left):
+            rows = _runs(start[left], count[left])
+            far, goes = v[rows], np.repeat(new[left], count[left])
+            # a link of two nodes that move is met from both of them, any other from one
+            change = w[rows] * (1.0 + (new[far] == c[far])) * ((goes == new[far]) * 1.0 - (np.repeat(c[left], count[left]) == c[far]))
+            inside += float(change.sum())
+            there[back[rows]], old[far] = goes, True
+            mass = np.bincount(new, k, n)
         c = new
     raise RuntimeError(f"communities still move after {guard} rounds")
 
@@ -415,9 +529,10 @@ def _name(nodes: DataFrame) -> Column:
 
 def surprising(weighted: DataFrame, nodes: DataFrame, communities: DataFrame, counts: DataFrame, n: int = 5) -> DataFrame:
     """``a, b, score, reasons``: linked pairs that one wouldn't expect, the ``n`` of the highest score of three or more. nodes: ``id, type`` and, where ids are numbers, ``name``."""
-    info = nodes.join(communities, "id", "left").join(counts, "id", "left").select("id", _name(nodes).alias("name"), "type", "community", F.coalesce("link_count", F.lit(0)).alias("n")).where(~F.lower("name").isin(STRUCTURAL[:3]))
+    info = nodes.where(~F.lower(_name(nodes)).isin(STRUCTURAL[:3])).join(communities, "id", "left").join(counts, "id", "left")
+    info = shared_table(info.select("id", "type", "community", F.coalesce("link_count", F.lit(0)).alias("n")))
     most = counts.agg(F.max("link_count").alias("most"))
-    side = lambda x: info.select(F.col("id").alias(x), F.col("type").alias(f"t{x}"), F.col("community").alias(f"c{x}"), F.col("n").alias(f"n{x}"))
+    side = lambda x: info.select(F.col("id").alias(x), F.col("type").alias(f"t{x}"), F.col("community").alias(f"c{x}"), F.col("n").alias(f"n{x}")).hint("shuffle_hash")
     j = weighted.select("a", "b", "weight").join(side("a"), "a").join(side("b"), "b").crossJoin(F.broadcast(most))
     far = reduce(lambda x, y: x | y, [((F.col("ta") == p) & (F.col("tb") == q)) | ((F.col("ta") == q) & (F.col("tb") == p)) for p, q in DISTANT])
     tests = [

@@ -25,7 +25,7 @@ def _latest(records):
 
 def numbered_nodes(records):
     """As ``_nodes``, as a table, with the page's name as ``name`` and as ``id`` a number in the order of the names, so that no later join carries names. Without pages that have none: nothing links to them or from them."""
-    n = _latest(records.where("page_id IS NOT NULL").repartitionByRange("page_id")).withColumnRenamed("id", "name")
+    n = _latest(records.where("page_id IS NOT NULL").repartitionByRange("page_id")).withColumnRenamed("id", "name").drop("path")
     return shared_table(n.sortWithinPartitions("name").withColumn("id", F.monotonically_increasing_id()))
 
 
@@ -95,13 +95,14 @@ def initial_cohesion(spark, d):
 def _found(spark, d):
     """The graph as in ``_graph``, weighted, with the communities that ``louvain`` finds; a page without links has none. Pages are numbers."""
     nodes = numbered_nodes(table(spark, d, "retrieval_nodes"))
-    return found_graph(nodes, G.resolve_links(_links(nodes), nodes.select(F.col("name").alias("id"), F.col("id").alias("n")), "n"))
+    return found_graph(nodes, G.resolve_links(_links(nodes), nodes.select(F.col("name").alias("id"), F.col("id").alias("n")), "n", summed=False))
 
 
 def found_graph(nodes, edges):
     pairs = shared_table(G.undirected(edges))
-    weighted = shared_table(G.relevance(edges, nodes, pairs))
-    return nodes, weighted, pairs, G.link_counts(pairs, every=True), shared_table(G.louvain(weighted))
+    count = G.end_counts(pairs)
+    weighted = shared_table(G.relevance(edges, nodes, pairs, count).select("a", "b", "weight"))
+    return nodes, weighted, pairs, count.select("id", "link_count"), shared_table(G.louvain(weighted))
 
 
 def louvain_surprising_links(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,32 @@ def test_knowledge_gaps_over_numbered_pages(spark):
 def test_surprising_links_over_numbered_pages(spark):
     got = [graph.surprising(weighted, nodes, c, counts, 50).collect() for nodes, weighted, _, counts, c in by_name_and_number(spark)]
     assert got[0] == got[1] and {(r.a, r.b, r.reasons) for r in got[0]} >= {("w0", "x0", "communities|types"), ("q", "y1", "communities")}
+
+
+def test_links_resolved_unsummed_make_the_same_pairs(spark):
+    pages = spark.createDataFrame([("b-c", 1), ("B c", 2), ("b c", 3), ("dir", 4), ("x", 5), (None, 6)], "id string, n bigint")
+    asked = ["b-c", "b c", "B  C", "B C", "[[Dir|d]]", "\u2003wiki\\DIR.MD#top\u2003", "x", "x", "y", "[[]]", None, " "]
+    links = spark.createDataFrame([(i, t) for i in (1, 5, 6) for t in asked], "src bigint, target string")
+    rows = graph.resolve_links(links, pages, "n", summed=False)
+    got = {(r.src, r.dst): r.times for r in rows.groupBy("src", "dst").agg(F.sum("times").alias("times")).collect()}
+    summed = graph.resolve_links(links, pages, "n")
+    # in lower case with hyphens "B C" is page 1 before it is page 2 or 3; both last spellings of dir are found by their keys
+    to = {1: 3, 3: 1, 4: 2, 5: 2}
+    assert got == {(r.src, r.dst): r.times for r in summed.collect()} == {(i, j): k for i in (1, 5, 6) for j, k in to.items() if i != j}
+    assert set(graph.undirected(rows).collect()) == set(graph.undirected(summed).collect())
+    assert {(r.a, r.b): (r.times, r.ways) for r in graph.undirected(rows).collect()}[1, 5] == (5, 2)
+
+
+def test_communities_of_numbers_are_found_in_one_task(spark, monkeypatch):
+    rnd = random.Random(7)
+    links = {(min(a, b), max(a, b)) for a in range(400) for b in [a // 20 * 20 + rnd.randint(0, 19), a // 100 * 100 + rnd.randint(0, 99), rnd.randint(0, 399)] if a != b}
+    rows = [(3 * a, 3 * b, rnd.choice([1.0, 2.5, 4.2])) for a, b in sorted(links)]
+    numbers = spark.createDataFrame([*rows, (None, 3, 9.0)], "a bigint, b bigint, weight double")
+    written, table = [], graph.shared_table
+    monkeypatch.setattr(graph, "shared_table", lambda df: written.append(1) or table(df))
+    got = {r.id: r.community for r in graph.louvain(numbers).collect()}
+    assert not written
+    names = spark.createDataFrame([(f"p{a:04d}", f"p{b:04d}", w) for a, b, w in rows], "a string, b string, weight double")
+    assert {f"p{i:04d}": c for i, c in got.items()} == {r.id: r.community for r in graph.louvain(names).collect()} and 2 < len(set(got.values())) < 40
+    ids = spark.range(-3, 2000, 7).select("id", F.xxhash64("id").alias("h")).collect()
+    assert graph.hashed(np.array([r.id for r in ids])).tolist() == [r.h for r in ids]
