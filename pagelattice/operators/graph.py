@@ -509,17 +509,26 @@ def modularity(weighted: DataFrame, communities: DataFrame) -> DataFrame:
     return both.crossJoin(ends.agg(F.sum(F.col("k") * F.col("k")).alias("kk"))).select((F.col("inside") / F.col("m") - F.col("kk") / (4 * F.col("m") * F.col("m"))).alias("q"))
 
 
-def community_stats(pairs: DataFrame, communities: DataFrame, nodes: DataFrame, counts: DataFrame) -> DataFrame:
-    """``community, n_nodes, cohesion, top_nodes``: cohesion is inner pairs over possible ones (0 for a single node); the five most linked labels."""
-    c = communities
-    inner = pairs.join(c.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(c.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
+def placed(pairs: DataFrame, communities: DataFrame) -> DataFrame:
+    """``a, b, ca, cb``: pairs with the communities of their ends, which both have one."""
+    side = lambda x: communities.select(F.col("id").alias(x), F.col("community").alias(f"c{x}")).hint("shuffle_hash")
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ca", "cb")
+
+
+def cohesion(inner: DataFrame, communities: DataFrame) -> DataFrame:
+    """``community, n_nodes, cohesion``: inner pairs over possible ones (0 for a single node). inner: as ``placed`` gives them."""
     inner = inner.where("ca = cb").groupBy(F.col("ca").alias("community")).agg(F.count(F.lit(1)).alias("n_inner"))
-    size = c.groupBy("community").agg(F.count(F.lit(1)).alias("n_nodes"))
+    size = communities.groupBy("community").agg(F.count(F.lit(1)).alias("n_nodes"))
+    possible = F.greatest(F.col("n_nodes") * (F.col("n_nodes") - 1) / 2, F.lit(1.0))
+    return size.join(inner, "community", "left").select("community", "n_nodes", (F.coalesce("n_inner", F.lit(0)) / possible).alias("cohesion"))
+
+
+def community_stats(pairs: DataFrame, communities: DataFrame, nodes: DataFrame, counts: DataFrame) -> DataFrame:
+    """``community, n_nodes, cohesion, top_nodes``: as ``cohesion``, with the five most linked labels."""
     w = Window.partitionBy("community").orderBy(F.desc(F.coalesce("link_count", F.lit(0))), "id")
-    top = c.join(counts, "id", "left").withColumn("r", F.row_number().over(w)).where("r <= 5").join(nodes.select("id", "label"), "id", "left")
+    top = communities.join(counts, "id", "left").withColumn("r", F.row_number().over(w)).where("r <= 5").join(nodes.select("id", "label"), "id", "left")
     top = top.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "label"))), lambda x: x["label"]), "|").alias("top_nodes"))
-    possible = F.greatest(F.col("n_nodes") * (F.col("n_nodes") - 1) / 2, F.lit(1.0))
-    return size.join(inner, "community", "left").join(top, "community", "left").select("community", "n_nodes", (F.coalesce("n_inner", F.lit(0)) / possible).alias("cohesion"), "top_nodes")
+    return cohesion(placed(pairs, communities), communities).join(top, "community", "left").select("community", "n_nodes", "cohesion", "top_nodes")
 
 
 def _name(nodes: DataFrame) -> Column:
@@ -550,19 +559,22 @@ def surprising(weighted: DataFrame, nodes: DataFrame, communities: DataFrame, co
     return top.withColumn("turn", F.row_number().over(w).cast("bigint"))
 
 
-def neighbour_communities(pairs: DataFrame, communities: DataFrame) -> DataFrame:
-    """``id, n_communities``: different communities among a page's neighbours."""
-    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("o")))
-    return ends.join(communities.select(F.col("id").alias("o"), "community"), "o").select("id", "community").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_communities"))
+def neighbour_communities(linked: DataFrame) -> DataFrame:
+    """``id, n_communities``: different communities among a page's neighbours. linked: as ``placed`` gives them."""
+    ends = linked.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("cb").alias("community")), F.struct(F.col("b").alias("id"), F.col("ca").alias("community")))).alias("x"))
+    return ends.select("x.*").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_communities"))
 
 
 def knowledge_gaps(pairs: DataFrame, nodes: DataFrame, communities: DataFrame, counts: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """``kind, key, n``: pages with one link at most, communities of three or more that hardly hang together, pages between three or more communities. nodes: ``id, label`` and, where ids are numbers, ``name``; ``stats``: as ``community_stats`` gives them, if at hand."""
+    """``kind, key, n``: pages with one link at most, communities of three or more that hardly hang together, pages between three or more communities. nodes: ``id, label`` and, where ids are numbers, ``name``; ``stats``: as ``community_stats`` or ``cohesion`` gives them, if at hand."""
     linked = nodes.join(counts, "id", "left").select(_name(nodes).alias("key"), F.coalesce("link_count", F.lit(0)).cast("bigint").alias("n"))
     alone = linked.where(~F.lower("key").isin(STRUCTURAL[:3]) & (F.col("n") <= 1)).select(F.lit("isolated").alias("kind"), "key", "n")
-    stats = community_stats(pairs, communities, nodes, counts) if stats is None else stats
+    both = placed(pairs, communities)
+    if stats is None:
+        both = shared_table(both)
+        stats = cohesion(both, communities)
     sparse = stats.where("cohesion < 0.15 AND n_nodes >= 3").select(F.lit("sparse").alias("kind"), F.col("community").cast("string").alias("key"), F.col("n_nodes").alias("n"))
-    bridges = neighbour_communities(pairs, communities).where("n_communities >= 3")
+    bridges = neighbour_communities(both).where("n_communities >= 3")
     bridges = bridges.join(nodes.select("id", "name"), "id") if "name" in nodes.columns else bridges
     bridges = bridges.select(F.lit("bridge").alias("kind"), _name(nodes).alias("key"), F.col("n_communities").alias("n"))
     return alone.unionByName(sparse).unionByName(bridges)

@@ -145,3 +145,11 @@ def test_communities_of_numbers_are_found_in_one_task(spark, monkeypatch):
     assert {f"p{i:04d}": c for i, c in got.items()} == {r.id: r.community for r in graph.louvain(names).collect()} and 2 < len(set(got.values())) < 40
     ids = spark.range(-3, 2000, 7).select("id", F.xxhash64("id").alias("h")).collect()
     assert graph.hashed(np.array([r.id for r in ids])).tolist() == [r.h for r in ids]
+
+
+def test_gaps_rank_no_labels(spark):
+    nodes, _, pairs, counts, c = by_name_and_number(spark)[1]
+    gaps = graph.knowledge_gaps(pairs, nodes, c, counts)
+    assert "Window" not in gaps._jdf.queryExecution().optimizedPlan().toString()
+    stats = graph.community_stats(pairs, c, nodes, counts)
+    assert set(gaps.collect()) == set(graph.knowledge_gaps(pairs, nodes, c, counts, stats).collect())
